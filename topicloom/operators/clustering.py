@@ -17,6 +17,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from topicloom.functions.binding import computed
 from topicloom.operators.embedding import embed, reduce
 from topicloom.operators.skew import partitions
 
@@ -51,7 +52,8 @@ def assign(
         cluster = pd.Series(names[best], dtype="Int32").mask(missing)
         return pd.DataFrame({"cluster": cluster, "distance": pd.Series(exact).mask(missing)})
 
-    found = df.withColumn("__near", nearest(_sized(vector, centres)))
+    sized = computed(df, "__sized", _sized(vector, centres))
+    found = sized.withColumn("__near", nearest("__sized"))
     return found.select(
         *df.columns, F.col("__near.cluster").alias(out), F.col("__near.distance").alias(distance)
     )
@@ -103,8 +105,8 @@ def inertias(
         columns = [_nearest(vectors, c)[1] ** 2 for c in centres]
         return pd.Series(list(np.stack(columns, axis=1).reshape(-1, len(centres))))
 
-    sized = df.select(_sized(vector, centres[0]).alias("__v")).where(F.col("__v").isNotNull())
-    rows = sized.select(F.posexplode(squares("__v")).alias("__at", "__x"))
+    sized = computed(df.select(vector), "__v", _sized(vector, centres[0]))
+    rows = sized.where(F.col("__v").isNotNull()).select(F.posexplode(squares("__v")).alias("__at", "__x"))
     k = F.array(*[F.lit(k) for k in ks])[F.col("__at")]
     return rows.groupBy(k.alias("k")).agg(F.sum("__x").alias("inertia"))
 

@@ -11,6 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from topicloom.functions.binding import computed
 from topicloom.functions.text import hash_vector, tokens
 from topicloom.functions.vectors import l2_normalize
 
@@ -44,9 +45,8 @@ def embedding(
 
 def embed(df: DataFrame, text: str, out: str = "embedding", normalize: bool = True, **options) -> DataFrame:
     """Add the vector of a text column, at length one if ``normalize``."""
-    raw = df.withColumn(out, embedding(F.col(text), normalize=False, **options))
-    # A separate projection, so that the vector is computed before it is normalised.
-    return raw.withColumn(out, l2_normalize(F.col(out))) if normalize else raw
+    raw = computed(df, out, embedding(F.col(text), normalize=False, **options))
+    return computed(raw, out, l2_normalize(F.col(out))) if normalize else raw
 
 
 def reduce(
@@ -75,7 +75,7 @@ def reduce(
     signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])])
     raw = model.transform(centred).withColumn("__p", vector_to_array("__p"))
     flipped = F.zip_with("__p", F.array(*[F.lit(float(s)) for s in signs]), lambda x, s: x * s)
-    return raw.withColumn(out, flipped).drop("__v", "__centred", "__p")
+    return computed(raw, out, flipped).drop("__v", "__centred", "__p")
 
 
 def project_2d(

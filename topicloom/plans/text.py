@@ -168,7 +168,7 @@ def hash_embedding(spark: SparkSession, folder: str) -> DataFrame:
 EMBEDDING_CTE = f"""
 all_tokens AS (SELECT doc_id, unnest({TOKENS_SQL}) AS term FROM documents), hashed AS (
   SELECT doc_id, {_bucket_sql(embedding.DIMENSIONS)} FROM all_tokens
-), sums AS (
+), bucket_sums AS (
   SELECT doc_id, bucket, sum(sign) AS v FROM hashed GROUP BY doc_id, bucket
 ), places AS (
   SELECT doc_id, place::INTEGER AS place
@@ -176,7 +176,7 @@ all_tokens AS (SELECT doc_id, unnest({TOKENS_SQL}) AS term FROM documents), hash
 ), dense AS (
   SELECT p.doc_id, place, coalesce(v, 0)::DOUBLE AS v,
          sqrt(sum(coalesce(v, 0)::DOUBLE ^ 2) OVER (PARTITION BY p.doc_id)) AS length
-  FROM places p LEFT JOIN sums s ON p.doc_id = s.doc_id AND p.place = s.bucket
+  FROM places p LEFT JOIN bucket_sums s ON p.doc_id = s.doc_id AND p.place = s.bucket
 ), vectors AS (
   SELECT doc_id, place, CASE WHEN length > 0 THEN v / length ELSE 0 END AS value FROM dense
 )"""

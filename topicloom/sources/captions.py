@@ -156,10 +156,13 @@ def load_status(
         .groupBy("video_id")
         .agg(F.min_by("file_name", rank).alias("file_name"))
     )
-    problem = F.coalesce(
-        F.col("error"), F.when(F.col("file_name").isNull(), F.lit("no subtitle file"))
+    known = info.select("video_id", "error", F.lit(True).alias("__known"))
+    joined = known.join(used, "video_id", "full")
+    problem = (
+        F.when(F.col("__known").isNull(), F.lit("no info file"))
+        .when(F.col("error").isNotNull(), F.col("error"))
+        .when(F.col("file_name").isNull(), F.lit("no subtitle file"))
     )
-    joined = info.select("video_id", "error").join(used, "video_id", "full")
     return joined.select(
         "video_id",
         "file_name",
