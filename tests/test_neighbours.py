@@ -5,7 +5,7 @@ from conftest import rows
 from topicloom.operators import neighbours
 from topicloom.operators.components import connected_components
 from topicloom.operators.density import dbscan
-from topicloom.operators.neighbours import block_pairs
+from topicloom.operators.neighbours import Cells
 
 
 @pytest.fixture(scope="module")
@@ -69,17 +69,21 @@ def test_affinities(table, points):
         assert r.w == 0.5 * (((r.i, r.j) in linked) + ((r.j, r.i) in linked))
 
 
-def test_rings_leave_out_only_distant_pairs(table, points):
+def test_cells_leave_out_only_distant_pairs(table, points):
     radius = 0.8
-    pairs = block_pairs(table, "id", "embedding", radius, 16)
-    met = {}
-    for r in pairs.select("id", "__low", "__high").collect():
-        met.setdefault((r["__low"], r["__high"]), set()).add(r["id"])
-    together = {(a, b) for group in met.values() for a in group for b in group}
+    cells = Cells(table, "id", "embedding", 16)
+    assert len(cells.pivots) == len(points) // 16
+    sizes = cells.points.groupBy("__block").count().agg({"count": "max"}).first()[0]
+    assert sizes <= 40
+    asking, given = {}, {}
+    for r in cells.pairs(radius).select("id", "__probe", "__data", "__asks").collect():
+        side = asking if r["__asks"] else given
+        side.setdefault((r["__probe"], r["__data"]), set()).add(r["id"])
+    met = {(a, b) for pair, group in asking.items() for a in group for b in given[pair]}
     names = ids(points)
     for i, j in np.argwhere(distances(points) <= radius):
-        assert (names[i], names[j]) in together
-    assert len(together) < len(points) ** 2
+        assert (names[i], names[j]) in met
+    assert len(met) < len(points) ** 2 / 2
 
 
 def brute_dbscan(points, eps, least):
@@ -123,5 +127,11 @@ def test_components(spark):
     assert rows(found) == sorted(expected + [(i, 500) for i in range(500, 540)], key=repr)
 
 
+def test_no_points(spark):
+    none = spark.createDataFrame([], "id long, embedding array<double>")
+    assert neighbours.knn(none, 3, "id", "embedding").count() == 0
+    assert dbscan(none, 1.0, 2).count() == 0
+
+
 def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0

@@ -11,7 +11,7 @@ from topicloom.operators.components import connected_components
 from topicloom.operators.neighbours import (
     BLOCK_ROWS,
     ROUNDING,
-    block_pairs,
+    Cells,
     compare_blocks,
     squared_distances,
 )
@@ -63,10 +63,10 @@ def dbscan(
     distinct = checkpoint(
         rows.groupBy("v").agg(F.min("id").alias("p"), F.count("*").alias("n"))
     )
-    pairs = checkpoint(block_pairs(distinct, "p", "v", eps, block_rows))
+    pairs = checkpoint(Cells(distinct, "p", "v", block_rows).pairs(eps))
 
     def counts(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty:
+        if a.empty or b.empty:
             return pd.DataFrame({"p": [], "near": []})
         near = _within(a, b, eps)
         return pd.DataFrame({"p": a["p"].to_numpy(), "near": near @ b["n"].to_numpy()})
@@ -81,6 +81,7 @@ def dbscan(
         a, b = a[a["core"]], b[b["core"]]
         if a.empty or b.empty:
             return pd.DataFrame({"a": [], "b": []})
+        # A block compared with itself is on both sides.
         names = np.concatenate([a["p"].to_numpy(), b["p"].to_numpy()])
         near = np.zeros((len(names), len(names)), dtype=bool)
         near[: len(a), len(a) :] = _within(a, b, eps)

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from topicloom.functions.binding import computed
 from topicloom.functions.text import (
     hash_weights,
     ngrams,
@@ -97,11 +98,22 @@ def count_vectorize(
     text: str = "text",
     sizes: tuple[int, int] = (1, 1),
     stop_words: Sequence[str] = (),
+    total: str | None = None,
 ) -> DataFrame:
-    """``(id, term, tf)``, one row of ``df`` per document. No shuffle."""
+    """``(id, term, tf)``, one row of ``df`` per document. No shuffle.
+
+    ``total`` names a column for the number of terms in the document.
+    """
     id = as_list(id)
-    counted = df.select(*id, F.explode(term_counts(terms(text, sizes, stop_words))).alias("__c"))
-    return counted.select(*id, F.col("__c.term").alias("term"), F.col("__c.tf").alias("tf"))
+    found = terms(text, sizes, stop_words)
+    if total is None:
+        counted = df.select(*id, F.explode(term_counts(found)).alias("__c"))
+        extra = []
+    else:
+        kept = computed(df.select(*id, text), "__terms", found).withColumn(total, F.size("__terms"))
+        counted = kept.select(*id, total, F.explode(term_counts(F.col("__terms"))).alias("__c"))
+        extra = [total]
+    return counted.select(*id, F.col("__c.term").alias("term"), F.col("__c.tf").alias("tf"), *extra)
 
 
 def frequent_terms(df: DataFrame, id: str, text: str, **options) -> list[int]:
@@ -151,12 +163,12 @@ def hashing_vectorize(
 ) -> DataFrame:
     """``(id, bucket, value)``: signed hash counts at document length one. No shuffle."""
     weights = hash_weights(term_counts(terms(text, sizes, stop_words)), n_features)
-    with_weights = df.select(id, weights.alias("__w"))
+    with_weights = computed(df.select(id, text), "__w", weights).drop(text)
     squares = F.aggregate(
         "__w", F.lit(0).cast("bigint"), lambda t, p: t + p["weight"].cast("bigint") * p["weight"]
     )
     # Before the explode: an expression beside it would be computed for every exploded row.
-    with_length = with_weights.withColumn("__length", F.sqrt(squares))
+    with_length = computed(with_weights, "__length", F.sqrt(squares))
     rows = with_length.select(id, "__length", F.explode("__w").alias("__p"))
     return rows.where(F.col("__p.weight") != 0).select(
         id,
@@ -185,7 +197,8 @@ def class_tfidf(
 
     ``tf`` is the share of the term in its class, or the root of it when frequent words are
     reduced; ``f`` the count over all classes; ``A`` the mean number of terms per class, cut to a
-    whole number. The class totals are small and joined as measured at run time.
+    whole number. The class totals are small and joined as measured at run time. The counts are
+    read three times, so write or checkpoint them first.
     """
     totals = counts.groupBy(group).agg(F.sum("n").alias("__total"))
     mean = totals.agg(F.floor(F.avg("__total")).alias("a")).scalar()

@@ -57,12 +57,10 @@ def representative_documents(
     All documents of a topic take part.
     """
     terms = scores.select(topic, "term", "score", "idf")
-    placed = count_vectorize(df.select(id, topic, text), [id, topic], text, **options)
+    placed = count_vectorize(df, [id, topic], text, total="__total", **options)
     # The count in the class is no less than the number of documents that have the term.
     hot = frequent_keys(scores, [topic, "term"], weight="n")
-    # A window holds the distinct terms of one document.
-    total = F.sum("tf").over(Window.partitionBy(id))
-    joined = salted_join(placed.withColumn("__total", total), terms, [topic, "term"], id, hot)
+    joined = salted_join(placed, terms, [topic, "term"], id, hot)
     weight = share(F.col("tf"), F.col("__total"), reduce_frequent_words) * F.col("idf")
     sums = joined.groupBy(id, topic).agg(
         F.sum(weight * F.col("score")).alias("__dot"), F.sum(weight * weight).alias("__own")
@@ -342,7 +340,7 @@ def score_words(
     reduce_frequent_words: bool = True,
 ) -> DataFrame:
     """Class TF-IDF of the words of each topic."""
-    counts = class_counts(documents, "topic", text, sizes, stop_words)
+    counts = checkpoint(class_counts(documents, "topic", text, sizes, stop_words))
     return class_tfidf(counts, "topic", reduce_frequent_words)
 
 

@@ -46,7 +46,8 @@ def _case(rows: list[dict], value: str, default: str | None = None) -> str:
 
 
 def _micros() -> Column:
-    return F.unix_micros(F.col("ts").cast("timestamp"))
+    # The time stamps have no zone and count as UTC, whatever the zone of the session.
+    return F.unix_micros(F.concat(F.col("ts").cast("string"), F.lit("Z")).cast("timestamp"))
 
 
 def turn_captions(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from topicloom.operators import embedding
 from topicloom.operators import text_features as features
 from topicloom.plans.base import EXTRA_STOP_WORDS, STOP_WORDS, Query, quoted, text_table
+from topicloom.session import checkpoint
 from topicloom.sources.tables import load
 
 TOKENS_SQL = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
@@ -116,7 +117,7 @@ FROM sums"""
 def class_tfidf(spark: SparkSession, folder: str) -> DataFrame:
     """Words of each quality class, over the documents that have a label."""
     docs = text_table(spark, folder).join(load(spark, folder, "labels"), "doc_id")
-    counts = features.class_counts(docs, "quality", stop_words=STOP_WORDS)
+    counts = checkpoint(features.class_counts(docs, "quality", stop_words=STOP_WORDS))
     scored = features.class_tfidf(counts, "quality")
     return scored.select("quality", "term", "n", F.round("score", 6).alias("score"))
 
@@ -143,8 +144,8 @@ SELECT quality, term, n, round(score, 6) AS score FROM scores"""
 
 
 def top_terms(spark: SparkSession, folder: str) -> DataFrame:
-    counts = features.class_counts(
-        text_table(spark, folder), "lang", sizes=(1, 3), stop_words=STOP_WORDS
+    counts = checkpoint(
+        features.class_counts(text_table(spark, folder), "lang", sizes=(1, 3), stop_words=STOP_WORDS)
     )
     scored = features.class_tfidf(counts, "lang", reduce_frequent_words=True)
     best = features.top_terms(scored.withColumn("score", F.round("score", 9)), "lang", 50)

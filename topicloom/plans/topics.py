@@ -10,6 +10,7 @@ from topicloom.operators.embedding import embed
 from topicloom.operators.text_features import class_counts, class_tfidf, top_terms
 from topicloom.plans.base import STOP_WORDS, Query, text_table
 from topicloom.plans.text import EMBEDDING_CTE, WORDS_SQL, _bucket_sql, _class_sql
+from topicloom.session import checkpoint
 from topicloom.sources.tables import load
 
 # Languages stand for topics where a fixed assignment is wanted.
@@ -37,9 +38,10 @@ assigned AS (SELECT doc_id, text, source AS video_title, {TOPIC_SQL} AS topic FR
 
 
 def _scores(docs: DataFrame) -> DataFrame:
-    counts = class_counts(docs, "topic", stop_words=STOP_WORDS)
+    # Written once: the counts are read for terms, totals and their mean, the scores several times.
+    counts = checkpoint(class_counts(docs, "topic", stop_words=STOP_WORDS))
     scored = class_tfidf(counts, "topic", reduce_frequent_words=True)
-    return scored.withColumn("score", F.round("score", 9))
+    return checkpoint(scored.withColumn("score", F.round("score", 9)))
 
 
 def _word_lists(docs: DataFrame, n: int = 10) -> DataFrame:
