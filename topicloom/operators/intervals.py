@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from topicloom.functions.intervals import first_containing
 from topicloom.operators.runs import forward_fill
-from topicloom.operators.skew import Slices, as_list, attach
+from topicloom.operators.skew import Slices, as_list, attach, find_slices, salted_join
 
 
 def interval_label(
@@ -127,8 +127,10 @@ def augment_captions(
     gets 0. Videos without chapters get null chapters. ``info`` has one row per video, which
     carries its lists with it.
     """
+    order = as_list(order)
+    slices = find_slices(captions, key, order[0]) if slices is None else slices
     lists = info.select(key, F.col("chapters").alias("__chapters"), F.col("heatmap").alias("__heat"))
-    joined = captions.join(lists, key, "left")
+    joined = salted_join(captions, lists, key, order, slices.hot, "left")
     labelled = interval_label(
         joined, F.col("__chapters"), "chapters", "title",
         fill="forward", key=key, order=order, slices=slices,

@@ -303,6 +303,7 @@ class TopicModel:
     numbers: dict[int, int]
     settings: dict[str, Any] = field(default_factory=dict)
     parent_topics: tuple[int, ...] = ()
+    kept: DataFrame | None = None
 
     @property
     def assigned(self) -> DataFrame:
@@ -323,7 +324,9 @@ class TopicModel:
         return [(self.numbers[c], v) for c, v in centroids(self.chosen.model) if c in self.numbers]
 
     def unpersist(self) -> None:
-        self.documents.unpersist()
+        """Give up the kept vectors; they are computed anew if needed again."""
+        if self.kept is not None:
+            self.kept.unpersist()
 
 
 def assign_topics(
@@ -418,8 +421,9 @@ def fit_topics(
     new = F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair])
     documents = labelled.withColumn("topic", new[F.col("topic")])
     model = TopicModel(
-        uuid.uuid4().hex, documents, None, None, chosen, numbers, settings, tuple(parent_topics)
-    )
+        uuid.uuid4().hex, documents, None, None, chosen, numbers, settings, tuple(parent_topics),
+        with_vectors,
+    )
     return update_topics(model)
 
 

@@ -20,7 +20,7 @@ words AS (
 )"""
 
 
-def _grams_sql(low: int, high: int) -> str:
+def grams_sql(low: int, high: int) -> str:
     """Rows ``(doc_id, lang, term)``, one per n-gram."""
     joined = ["w", "w || ' ' || w2", "w || ' ' || w2 || ' ' || w3"]
     parts = " UNION ALL ".join(
@@ -64,7 +64,7 @@ def ngram_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 NGRAM_COUNTS_SQL = f"""
-WITH {_grams_sql(1, 3)}
+WITH {grams_sql(1, 3)}
 SELECT term, count(DISTINCT doc_id) AS n_docs, count(*) AS n FROM grams GROUP BY term"""
 
 
@@ -78,7 +78,7 @@ def tfidf(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("tfidf", F.round("tfidf", 6))
 
 
-TFIDF_CTE = f"""{_grams_sql(1, 1)}, tf AS (
+TFIDF_CTE = f"""{grams_sql(1, 1)}, tf AS (
   SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY doc_id, term
 ), df AS (
   SELECT term, count(*) AS df FROM tf GROUP BY term
@@ -97,7 +97,7 @@ def hashing_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("value", F.round("value", 6))
 
 
-def _bucket_sql(dimensions: int) -> str:
+def bucket_sql(dimensions: int) -> str:
     return (
         f"(('0x' || substr(md5(term), 1, 8))::BIGINT % {dimensions})::INTEGER AS bucket,"
         " CASE WHEN substr(md5(term), 9, 1) < '8' THEN 1 ELSE -1 END AS sign"
@@ -105,8 +105,8 @@ def _bucket_sql(dimensions: int) -> str:
 
 
 HASHING_SQL = f"""
-WITH {_grams_sql(1, 2)}, hashed AS (
-  SELECT doc_id, {_bucket_sql(2**20)} FROM grams
+WITH {grams_sql(1, 2)}, hashed AS (
+  SELECT doc_id, {bucket_sql(2**20)} FROM grams
 ), sums AS (
   SELECT doc_id, bucket, sum(sign) AS v FROM hashed GROUP BY doc_id, bucket HAVING sum(sign) <> 0
 )
@@ -122,7 +122,7 @@ def class_tfidf(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("quality", "term", "n", F.round("score", 6).alias("score"))
 
 
-def _class_sql(group: str, reduce_frequent_words: bool) -> str:
+def class_sql(group: str, reduce_frequent_words: bool) -> str:
     share = "sqrt(n / total)" if reduce_frequent_words else "n / total"
     return f"""counts AS (
   SELECT {group}, term, count(*) AS n FROM grams GROUP BY {group}, term
@@ -139,7 +139,7 @@ def _class_sql(group: str, reduce_frequent_words: bool) -> str:
 CLASS_TFIDF_SQL = f"""
 WITH {WORDS_SQL}, grams AS (
   SELECT quality, unnest(w) AS term FROM words JOIN labels USING (doc_id)
-), {_class_sql("quality", False)}
+), {class_sql("quality", False)}
 SELECT quality, term, n, round(score, 6) AS score FROM scores"""
 
 
@@ -153,7 +153,7 @@ def top_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 TOP_TERMS_SQL = f"""
-WITH {_grams_sql(1, 3)}, {_class_sql("lang", True)}, ranked AS (
+WITH {grams_sql(1, 3)}, {class_sql("lang", True)}, ranked AS (
   SELECT *, row_number() OVER (PARTITION BY lang ORDER BY round(score, 9) DESC, term) AS rank FROM scores
 )
 SELECT lang, rank::INTEGER AS rank, term, n, round(score, 6) AS score FROM ranked WHERE rank <= 50"""
@@ -168,7 +168,7 @@ def hash_embedding(spark: SparkSession, folder: str) -> DataFrame:
 # Rows (doc_id, place, value): the vector of a document, at length one.
 EMBEDDING_CTE = f"""
 all_tokens AS (SELECT doc_id, unnest({TOKENS_SQL}) AS term FROM documents), hashed AS (
-  SELECT doc_id, {_bucket_sql(embedding.DIMENSIONS)} FROM all_tokens
+  SELECT doc_id, {bucket_sql(embedding.DIMENSIONS)} FROM all_tokens
 ), bucket_sums AS (
   SELECT doc_id, bucket, sum(sign) AS v FROM hashed GROUP BY doc_id, bucket
 ), places AS (
@@ -211,7 +211,7 @@ QUERIES = {
     "ngram_counts": Query(ngram_counts, NGRAM_COUNTS_SQL),
     "term_counts": Query(
         term_counts,
-        f"WITH {_grams_sql(1, 1)} SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY doc_id, term",
+        f"WITH {grams_sql(1, 1)} SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY doc_id, term",
     ),
     "tfidf": Query(tfidf, f"WITH {TFIDF_CTE} SELECT doc_id, term, round(tfidf, 6) AS tfidf FROM unit"),
     "hashing_vectors": Query(hashing_vectors, HASHING_SQL),

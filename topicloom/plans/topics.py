@@ -9,7 +9,7 @@ from topicloom.operators import topics
 from topicloom.operators.embedding import embed
 from topicloom.operators.text_features import class_counts, class_tfidf, top_terms
 from topicloom.plans.base import STOP_WORDS, Query, text_table
-from topicloom.plans.text import EMBEDDING_CTE, WORDS_SQL, _bucket_sql, _class_sql
+from topicloom.plans.text import EMBEDDING_CTE, WORDS_SQL, bucket_sql, class_sql, grams_sql
 from topicloom.session import checkpoint
 from topicloom.sources.tables import load
 
@@ -52,7 +52,7 @@ TOPIC_WORDS_CTE = f"""{ASSIGNED_CTE}, {WORDS_SQL}, placed AS (
   SELECT a.doc_id, topic, unnest(w) AS term FROM words JOIN assigned a USING (doc_id)
 ), grams AS (
   SELECT doc_id, topic, term FROM placed
-), {_class_sql("topic", True)}, ranked AS (
+), {class_sql("topic", True)}, ranked AS (
   SELECT *, row_number() OVER (PARTITION BY topic ORDER BY round(score, 9) DESC, term) AS rank FROM scores
 )"""
 
@@ -77,6 +77,22 @@ SELECT topic, "count", 'Topic ' || topic || ': `' || array_to_string(k[1:5], ',
 FROM sizes JOIN lists USING (topic)"""
 
 
+def score_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of given topics scored anew, as when a model is updated with other n-grams."""
+    scores = topics.score_words(assigned(spark, folder, text=True), "text", (1, 2), STOP_WORDS)
+    best = top_terms(scores.withColumn("score", F.round("score", 9)), "topic", 100)
+    return best.select("topic", "rank", "term", "n", F.round("score", 6).alias("score"))
+
+
+SCORE_WORDS_SQL = f"""
+WITH {ASSIGNED_CTE}, {grams_sql(1, 2).replace("grams AS (", "all_grams AS (")}, grams AS (
+  SELECT topic, term FROM all_grams JOIN assigned USING (doc_id)
+), {class_sql("topic", True)}, ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY topic ORDER BY round(score, 9) DESC, term) AS rank FROM scores
+)
+SELECT topic, rank::INTEGER AS rank, term, n, round(score, 6) AS score FROM ranked WHERE rank <= 100"""
+
+
 def topic_files(spark: SparkSession, folder: str) -> DataFrame:
     return topics.topic_files(assigned(spark, folder))
 
@@ -206,7 +222,7 @@ WITH {REPRESENTATIVE_CTE}, {EMBEDDING_CTE}, means AS (
 ), norms AS (
   SELECT topic, sqrt(sum(mean * mean)) AS length FROM means GROUP BY topic
 ), candidates AS (
-  SELECT topic, term, {_bucket_sql(64)} FROM ranked WHERE rank <= {topics.CANDIDATE_WORDS}
+  SELECT topic, term, {bucket_sql(64)} FROM ranked WHERE rank <= {topics.CANDIDATE_WORDS}
 ), closeness AS (
   SELECT topic, term, round(sign * mean / length, 9) AS score
   FROM candidates JOIN means USING (topic, bucket) JOIN norms USING (topic)
@@ -279,6 +295,7 @@ def new_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "topic_info": Query(topic_info, TOPIC_INFO_SQL),
+    "score_words": Query(score_words, SCORE_WORDS_SQL),
     "topic_files": Query(
         topic_files, f"WITH {ASSIGNED_CTE} SELECT DISTINCT topic, video_title FROM assigned"
     ),
