@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from topicloom.functions.binding import computed
+
 
 @dataclass(frozen=True)
 class Scaler:
@@ -98,42 +100,65 @@ def process_json(df: DataFrame, column: str, schema: T.StructType | str) -> Data
     )
 
 
-def process_all(
+def per_row(
     df: DataFrame,
     column: str,
-    process: Callable[[Any], Any],
-    post: Sequence[Callable[[Any], Any]] = (),
+    make: Callable[[], Callable[[Any], Any]],
+    out: str = "value",
     value_type: str = "string",
 ) -> DataFrame:
-    """Apply a Python function and its post-steps to a column, one outcome per row.
+    """Apply a Python function to a column; adds ``out``, ``successful`` and ``error``.
 
-    An exception ends only its own row: ``(value, successful, error)``.
+    ``make`` builds the function, once per task. Only this column goes to Python. An exception ends
+    only its own row, and no row is asked twice by the plan.
     """
-    schema = T.StructType(
-        [
-            *df.schema.fields,
-            T.StructField("value", T._parse_datatype_string(value_type)),
-            T.StructField("successful", T.BooleanType()),
-            T.StructField("error", T.StringType()),
-        ]
-    )
 
-    def outcome(item: Any) -> tuple[Any, bool, str | None]:
-        try:
-            return reduce(lambda v, step: step(v), post, process(item)), True, None
-        except Exception as problem:  # the outcome column is the report
-            return None, False, f"{type(problem).__name__}: {problem}"
-
-    def batches(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for frame in frames:
-            results = [outcome(item) for item in frame[column]]
-            yield frame.assign(
-                value=pd.Series([r[0] for r in results], dtype=object, index=frame.index),
-                successful=[r[1] for r in results],
-                error=pd.Series([r[2] for r in results], dtype=object, index=frame.index),
+    def outcomes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        function = make()
+        for batch in batches:
+            results = []
+            for item in batch:
+                try:
+                    results.append((function(item), True, None))
+                except Exception as problem:  # the outcome columns are the report
+                    results.append((None, False, f"{type(problem).__name__}: {problem}"))
+            values, good, errors = zip(*results, strict=True) if results else ((), (), ())
+            yield pd.DataFrame(
+                {
+                    "value": pd.Series(values, dtype=object),
+                    "successful": pd.Series(good, dtype=bool),
+                    "error": pd.Series(errors, dtype=object),
+                }
             )
 
-    return df.mapInPandas(batches, schema)
+    outcomes.__annotations__ = {
+        "batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]
+    }
+    kind = f"value {value_type}, successful boolean, error string"
+    ask = F.pandas_udf(outcomes, kind).asNondeterministic()
+    kept = [c for c in df.columns if c not in (out, "successful", "error")]
+    asked = computed(df, "__item", F.col(column)).withColumn("__outcome", ask("__item"))
+    return asked.select(
+        *kept,
+        F.col("__outcome.value").alias(out),
+        F.col("__outcome.successful").alias("successful"),
+        F.col("__outcome.error").alias("error"),
+    )
+
+
+def process_all(
+    df: DataFrame,
+    column: str,
+    process: Callable[[Any], Any],
+    post: Sequence[Callable[[Any], Any]] = (),
+    value_type: str = "string",
+) -> DataFrame:
+    """A Python function and its post-steps on a column, one outcome per row."""
+
+    def whole(item: Any) -> Any:
+        return reduce(lambda value, step: step(value), post, process(item))
+
+    return per_row(df, column, lambda: whole, value_type=value_type)
 
 
 @dataclass(frozen=True)

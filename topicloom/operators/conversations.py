@@ -6,11 +6,10 @@ the user's model. Turn tables are turned into histories and back.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +25,7 @@ from topicloom.functions.messages import (
     message,
     no_history,
 )
+from topicloom.operators.columns import per_row
 from topicloom.operators.skew import SLICE, Slices, as_list, find_slices
 
 #: Makes a model: called once per task with the length limit, returns a function from a list of
@@ -111,39 +111,20 @@ def batch_infer(
     The model is made once per task. ``prompt`` holds messages, or a text that is sent as the only
     user message. A failure ends only its own row. ``tasks`` spreads the rows over as many calls.
     """
-    schema = T.StructType(
-        [
-            *[f for f in df.schema.fields if f.name not in (out, "successful", "error")],
-            T.StructField(out, T.StringType()),
-            T.StructField("successful", T.BooleanType()),
-            T.StructField("error", T.StringType()),
-        ]
-    )
     is_text = isinstance(df.schema[prompt].dataType, T.StringType)
-    kept = [f.name for f in schema.fields[:-3]]
-
-    def messages(value: Any) -> list[dict[str, str]]:
-        if is_text:
-            return [{"role": USER, "content": value}]
-        return [{"role": m["role"], "content": m["content"]} for m in value]
 
-    def ask(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+    def make() -> Callable[[Any], str]:
         chat = model(max_length)
-        for frame in frames:
-            results = []
-            for value in frame[prompt]:
-                try:
-                    results.append((chat(messages(value)), True, None))
-                except Exception as problem:  # the outcome columns are the report
-                    results.append((None, False, f"{type(problem).__name__}: {problem}"))
-            yield frame[kept].assign(
-                **{out: pd.Series([r[0] for r in results], dtype=object, index=frame.index)},
-                successful=[r[1] for r in results],
-                error=pd.Series([r[2] for r in results], dtype=object, index=frame.index),
-            )
+
+        def ask(value: Any) -> str:
+            if is_text:
+                return chat([{"role": USER, "content": value}])
+            return chat([{"role": m["role"], "content": m["content"]} for m in value])
+
+        return ask
 
     spread = df if tasks is None else df.repartition(tasks)
-    return spread.mapInPandas(ask, schema)
+    return per_row(spread, prompt, make, out)
 
 
 @dataclass(frozen=True)

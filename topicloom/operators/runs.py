@@ -106,6 +106,8 @@ def clean_captions(
     before the shuffle.
     """
     key = as_list(key)
+    # Frequent keys are looked for among the cues: a cue is one row, so it has few lines.
+    slices = find_slices(captions, key, order) if slices is None else slices
     lines = captions.select(
         *key,
         order,

@@ -215,8 +215,7 @@ def keyword_words(spark: SparkSession, folder: str) -> DataFrame:
     return _keywords(spark, folder).withColumn("score", F.round("score", 6))
 
 
-KEYWORDS_SQL = f"""
-WITH {REPRESENTATIVE_CTE}, {EMBEDDING_CTE}, means AS (
+KEYWORDS_CTE = f"""{REPRESENTATIVE_CTE}, {EMBEDDING_CTE}, means AS (
   SELECT topic, place AS bucket, avg(value) AS mean
   FROM vectors JOIN (SELECT topic, doc_id FROM nearest) USING (doc_id) GROUP BY topic, place
 ), norms AS (
@@ -224,13 +223,12 @@ WITH {REPRESENTATIVE_CTE}, {EMBEDDING_CTE}, means AS (
 ), candidates AS (
   SELECT topic, term, {bucket_sql(64)} FROM ranked WHERE rank <= {topics.CANDIDATE_WORDS}
 ), closeness AS (
-  SELECT topic, term, round(sign * mean / length, 9) AS score
+  SELECT topic, term, bucket, sign, round(sign * mean / length, 9) AS score
   FROM candidates JOIN means USING (topic, bucket) JOIN norms USING (topic)
 ), best AS (
   SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, term) AS rank FROM closeness
   QUALIFY rank <= {topics.KEYWORDS}
-)
-SELECT topic, term, round(score, 6) AS score, rank::INTEGER AS rank FROM best"""
+)"""
 
 
 def diverse_words(spark: SparkSession, folder: str) -> DataFrame:
@@ -238,6 +236,40 @@ def diverse_words(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
+# The words of a topic read together, their closeness to this and to each other, and the greedy choice.
+DIVERSE_SQL = f"""
+WITH RECURSIVE {KEYWORDS_CTE}, together AS (
+  SELECT topic, bucket, sum(sign)::DOUBLE AS v FROM best GROUP BY topic, bucket
+), lengths_together AS (
+  SELECT topic, sqrt(sum(v * v)) AS length FROM together GROUP BY topic
+), words_near AS (
+  SELECT topic, rank, term, score, bucket, sign, round(sign * v / length, 9) AS near
+  FROM best JOIN together USING (topic, bucket) JOIN lengths_together USING (topic)
+), alike AS (
+  SELECT a.topic, a.rank AS a, b.rank AS b,
+         CASE WHEN a.bucket = b.bucket THEN a.sign * b.sign ELSE 0 END AS same
+  FROM words_near a JOIN words_near b ON a.topic = b.topic
+), chosen AS (
+  SELECT topic, [arg_max(rank, (near, -rank))] AS taken FROM words_near GROUP BY topic
+  UNION ALL
+  SELECT c.topic, list_append(any_value(c.taken), arg_max(g.rank, (g.gain, -g.rank)))
+  FROM chosen c JOIN (
+    SELECT c2.topic, w.rank, {1 - topics.DIVERSITY} * any_value(w.near)
+             - {topics.DIVERSITY} * max(l.same) AS gain
+    FROM chosen c2 JOIN words_near w ON w.topic = c2.topic AND NOT list_contains(c2.taken, w.rank)
+    JOIN alike l ON l.topic = w.topic AND l.a = w.rank AND list_contains(c2.taken, l.b)
+    GROUP BY c2.topic, w.rank
+  ) g ON g.topic = c.topic
+  WHERE len(c.taken) < {topics.DIVERSE_WORDS}
+  GROUP BY c.topic
+), kept AS (
+  SELECT topic, unnest(taken) AS rank FROM chosen WHERE len(taken) = {topics.DIVERSE_WORDS}
+)
+SELECT topic, term, round(score, 6) AS score,
+       (row_number() OVER (PARTITION BY topic ORDER BY rank))::INTEGER AS rank
+FROM kept JOIN best USING (topic, rank)"""
+
+
 def assign_topics(spark: SparkSession, folder: str) -> DataFrame:
     """Documents to the nearest mean document of a language."""
     docs = embed(text_table(spark, folder).select("doc_id", "text", _topic().alias("label")), "text")
@@ -312,8 +344,12 @@ QUERIES = {
         f"WITH {REPRESENTATIVE_CTE}"
         " SELECT topic, doc_id, round(similarity, 6) AS similarity FROM nearest",
     ),
-    "keyword_words": Query(keyword_words, KEYWORDS_SQL),
-    "diverse_words": Query(diverse_words),
+    "keyword_words": Query(
+        keyword_words,
+        f"WITH {KEYWORDS_CTE}"
+        " SELECT topic, term, round(score, 6) AS score, rank::INTEGER AS rank FROM best",
+    ),
+    "diverse_words": Query(diverse_words, DIVERSE_SQL),
     "assign_topics": Query(assign_topics, ASSIGN_TOPICS_SQL),
     "fit_topics": Query(fit_topics),
     "subtopics": Query(subtopics),
