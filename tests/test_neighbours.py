@@ -73,6 +73,7 @@ def test_cells_leave_out_only_distant_pairs(table, points):
     radius = 0.8
     cells = Cells(table, "id", "embedding", 16)
     assert len(cells.pivots) == len(points) // 16
+    assert max(cells.first) < len(points) // 8
     sizes = cells.points.groupBy("__block").count().agg({"count": "max"}).first()[0]
     assert sizes <= 40
     asking, given = {}, {}

@@ -23,8 +23,8 @@ from topicloom.operators.skew import partitions
 
 log = logging.getLogger(__name__)
 
-#: Numbers a set of centroids may hold to be sent along with every task.
-MAX_CENTROID_NUMBERS = 10_000_000
+#: Centroids, and numbers in all of them, that may be sent along with every task.
+MAX_CENTROIDS, MAX_CENTROID_NUMBERS = 10_000, 10_000_000
 
 FEATURES = "__features"
 
@@ -62,11 +62,12 @@ def assign(
 def _model(centroids: Centroids) -> tuple[np.ndarray, np.ndarray]:
     """Cluster numbers in order and the matrix of centres, checked for size."""
     if isinstance(centroids, DataFrame):
-        centroids = [(r[0], r[1]) for r in centroids.limit(MAX_CENTROID_NUMBERS).collect()]
+        centroids = [(r[0], r[1]) for r in centroids.limit(MAX_CENTROIDS + 1).collect()]
     ordered = sorted((int(c), list(v)) for c, v in centroids)
     if not ordered:
         raise ValueError("no centroids")
-    if len(ordered) * len(ordered[0][1]) > MAX_CENTROID_NUMBERS:
+    numbers = len(ordered) * len(ordered[0][1])
+    if len(ordered) > MAX_CENTROIDS or numbers > MAX_CENTROID_NUMBERS:
         raise ValueError("too many centroids to send to every task")
     names = np.array([c for c, _ in ordered], dtype="int32")
     return names, np.array([v for _, v in ordered], dtype=float)
@@ -115,7 +116,7 @@ def elbow(points: DataFrame, k: str = "k", score: str = "score") -> DataFrame:
     """``(k, score, chord, chosen)``: signed distance to the chord from the first to the last point.
 
     The chosen ``k`` lies farthest below the chord, the smallest such one on ties. ``points`` has
-    one row per tried ``k``.
+    one row per tried ``k`` and is read several times, so it should be at rest.
     """
     ends = points.agg(
         F.min(F.struct(k, score)).alias("a"), F.max(F.struct(k, score)).alias("b")

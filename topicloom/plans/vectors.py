@@ -9,6 +9,7 @@ from topicloom.functions.vectors import l2_normalize
 from topicloom.operators import clustering, density, neighbours, spectral
 from topicloom.operators.embedding import embed, project_2d, reduce
 from topicloom.plans.base import Query, text_table
+from topicloom.session import checkpoint
 from topicloom.sources.tables import load
 
 NEIGHBOURS = 10
@@ -92,7 +93,8 @@ def elbow(spark: SparkSession, folder: str) -> DataFrame:
     df = _vectors(spark, folder)
     means = label_means(df)
     tried = {k: [m for m in means if m[0] < k] for k in range(2, LABELS + 1)}
-    found = clustering.elbow(clustering.inertias(df, tried).withColumnRenamed("inertia", "score"))
+    points = checkpoint(clustering.inertias(df, tried).withColumnRenamed("inertia", "score"))
+    found = clustering.elbow(points)
     return found.select("k", F.round("score", 5).alias("score"), F.round("chord", 5).alias("chord"), "chosen")
 
 
