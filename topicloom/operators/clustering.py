@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from topicloom.functions.binding import computed
 from topicloom.operators.embedding import embed, reduce
-from topicloom.operators.skew import partitions
+from topicloom.session import checkpoint
 
 log = logging.getLogger(__name__)
 
@@ -156,10 +156,10 @@ class Chosen:
 
 def vectors(df: DataFrame, id: str, vector: str) -> DataFrame:
     """Ids and ML vectors, spread and ordered by id, so that a seed gives the same fit again."""
-    n = partitions(df)
+    # No number of partitions: small tables are joined into few by their measured size.
     return (
         df.select(id, array_to_vector(vector).alias(FEATURES))
-        .repartition(n, id)
+        .repartition(F.col(id))
         .sortWithinPartitions(id)
     )
 
@@ -170,9 +170,12 @@ def _fit_range(
     fit: Callable[[DataFrame, int], tuple[Any, float]],
     parallel: int,
 ) -> Chosen:
-    """Fit every ``k`` on the kept vectors, several at a time; a ``k`` that fails is left out."""
+    """Fit every ``k`` on the kept vectors, several at a time; a ``k`` that fails is left out.
+
+    The vectors are written once and then kept in memory: a lost executor costs a read.
+    """
     ks = list(ks)
-    kept = data.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = checkpoint(data).persist(StorageLevel.MEMORY_AND_DISK)
 
     def one(k: int) -> tuple[int, Any, float, float] | None:
         begun = time.time()
