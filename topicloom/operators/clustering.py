@@ -198,8 +198,11 @@ def _fit_range(
         thread.join()
 
     try:
-        with ThreadPoolExecutor(max(1, min(parallel, len(ks) or 1))) as pool:
-            list(pool.map(run, range(len(ks))))
+        # The first fit runs alone and fills the memory that the others read.
+        if ks:
+            run(0)
+        with ThreadPoolExecutor(max(1, parallel)) as pool:
+            list(pool.map(run, range(1, len(ks))))
     finally:
         kept.unpersist()
     done = [r for r in results if r is not None]
