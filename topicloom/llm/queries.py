@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import bpe, language, quality, toxicity
+from topicloom.llm import bpe, language, minhash, quality, substring, suffixes, toxicity
 from topicloom.llm.sample import crc_remainder, labelled_sample
 from topicloom.plans.base import Query
 from topicloom.sources.tables import load
@@ -74,9 +74,83 @@ def bpe_tokens(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def repeated_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that stand in passages of smaller ids."""
+    return substring.remove_repeats(load(spark, folder, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+def repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document that stand in strings that start earlier."""
+    return suffixes.remove_repeated_bytes(load(spark, folder, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of similar documents."""
+    return minhash.near_duplicates(load(spark, folder, "documents"))
+
+
+REPEATED_WORDS_SQL = r"""
+WITH texts AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), places AS (
+    SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS place FROM texts
+), windows AS (
+    SELECT doc_id, place, array_to_string(words[place:place + 12], ' ') AS words
+    FROM places WHERE place + 12 <= len(words)
+), firsts AS (
+    SELECT words, min(doc_id) AS doc_id FROM windows GROUP BY words
+), repeats AS (
+    SELECT w.doc_id, w.place FROM windows w JOIN firsts f ON w.words = f.words AND w.doc_id > f.doc_id
+), removed AS (
+    SELECT DISTINCT doc_id, unnest(range(place, place + 13)) AS place FROM repeats
+), kept AS (
+    SELECT p.doc_id, count(*) AS n, string_agg(p.words[p.place], ' ' ORDER BY p.place) AS words
+    FROM places p ANTI JOIN removed r ON p.doc_id = r.doc_id AND p.place = r.place GROUP BY p.doc_id
+)
+SELECT t.doc_id, CAST(len(t.words) AS BIGINT) AS n_words,
+       CAST(len(t.words) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.words, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k USING (doc_id)
+"""
+
+NEAR_DUPLICATES_SQL = r"""
+WITH RECURSIVE texts AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, CASE WHEN len(words) < 5 THEN array_to_string(words, ' ')
+        ELSE array_to_string(words[place:place + 4], ' ') END AS shingle
+    FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS place
+          FROM texts WHERE len(words) > 0)
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+    FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+    SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * common.n >= 85 * (x.n + y.n - common.n)
+), reached AS (
+    SELECT doc_id AS a, doc_id AS b FROM texts UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+), named AS (
+    SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, component_id = doc_id AS kept
+FROM named LEFT JOIN sizes USING (doc_id)
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_quality": Query(quality_scores),
+    "op2_substring": Query(repeated_words, REPEATED_WORDS_SQL),
     "op3_toxicity": Query(toxicity_scores),
     "op4_language": Query(languages),
+    "op5_suffixes": Query(repeated_bytes),
+    "op6_minhash": Query(near_duplicates, NEAR_DUPLICATES_SQL),
     "op7_bpe": Query(bpe_tokens),
 }
