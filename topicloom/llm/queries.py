@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import bpe, language, minhash, quality, substring, suffixes, toxicity
+from topicloom.llm import bpe, language, minhash, quality, spaced_seeds, substring, suffixes, toxicity
 from topicloom.llm.sample import crc_remainder, labelled_sample
 from topicloom.plans.base import Query
 from topicloom.sources.tables import load
@@ -93,6 +93,46 @@ def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, folder, "documents"))
 
 
+def leaked_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold passages of the benchmark, by item."""
+    return spaced_seeds.find_passages(load(spark, folder, "documents"), load(spark, folder, "benchmark"))
+
+
+LEAKED_PASSAGES_SQL = r"""
+WITH texts AS (
+    SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS words FROM documents
+), items AS (
+    SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS words FROM benchmark
+), text_grams AS (
+    SELECT doc_id, place, array_to_string(words[place:place + 2], ' ') AS gram
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS place FROM texts)
+), item_grams AS (
+    SELECT item_id, place, array_to_string(words[place:place + 2], ' ') AS gram
+    FROM (SELECT item_id, words, unnest(range(1, len(words) - 1)) AS place FROM items WHERE len(words) >= 8)
+), shifts AS (  -- thirteen words of which two differ hold three in a row that agree
+    SELECT DISTINCT doc_id, item_id, t.place - i.place AS shift
+    FROM text_grams t JOIN item_grams i USING (gram)
+), opposite AS (
+    SELECT doc_id, item_id, shift, i.words AS item_words, t.words AS words,
+           greatest(1, 1 - shift) AS first, least(len(i.words), len(t.words) - shift) AS last
+    FROM shifts JOIN texts t USING (doc_id) JOIN items i USING (item_id)
+), agreed AS (
+    SELECT doc_id, item_id, shift, first, last, len(item_words) AS size,
+           list_transform(range(first, last + 1), lambda j:
+               CASE WHEN item_words[j] = words[j + shift] THEN 1 ELSE 0 END) AS agree
+    FROM opposite
+), windows AS (
+    SELECT *, list_filter(range(1, len(agree) - least(13, size) + 2), lambda s:
+               list_sum(agree[s:s + least(13, size) - 1]) >=
+                   CASE WHEN size < 13 THEN size ELSE 11 END) AS starts
+    FROM agreed
+)
+SELECT doc_id, item_id, CAST(min(starts[1] - 1 + first - 1 + shift) AS BIGINT) AS start,
+       CAST(max(list_sum(agree)) AS BIGINT) AS matched,
+       CAST(max_by(len(agree), list_sum(agree) * 1000000 + len(agree)) AS BIGINT) AS aligned
+FROM windows WHERE len(starts) > 0 GROUP BY doc_id, item_id
+"""
+
 REPEATED_WORDS_SQL = r"""
 WITH texts AS (
     SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
@@ -153,4 +193,5 @@ QUERIES: dict[str, Query] = {
     "op5_suffixes": Query(repeated_bytes),
     "op6_minhash": Query(near_duplicates, NEAR_DUPLICATES_SQL),
     "op7_bpe": Query(bpe_tokens),
+    "op10_spaced_seeds": Query(leaked_passages, LEAKED_PASSAGES_SQL),
 }
