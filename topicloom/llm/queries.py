@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import bpe, language, minhash, quality, spaced_seeds, substring, suffixes, toxicity
+from topicloom.llm import (
+    bpe,
+    language,
+    minhash,
+    nearest,
+    quality,
+    spaced_seeds,
+    substring,
+    suffixes,
+    toxicity,
+    warc,
+)
 from topicloom.llm.sample import crc_remainder, labelled_sample
 from topicloom.plans.base import Query
 from topicloom.sources.tables import load
@@ -98,6 +109,49 @@ def leaked_passages(spark: SparkSession, folder: str) -> DataFrame:
     return spaced_seeds.find_passages(load(spark, folder, "documents"), load(spark, folder, "benchmark"))
 
 
+def archived_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page as the archives give it back."""
+    return warc.round_trip(spark, load(spark, folder, "pages")).select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+ARCHIVED_PAGES_SQL = """
+WITH payloads AS (
+    SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), digests AS (
+    SELECT page_id, octet_length(payload) AS size, sha1(payload) AS digest FROM payloads
+), named AS (
+    SELECT *, max(page_id) OVER (PARTITION BY digest) AS last FROM digests
+)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN size >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN size >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM named
+"""
+
+
+def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one."""
+    return nearest.nearest(load(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+NEAREST_VECTORS_SQL = """
+WITH vectors AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), distances AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.v, c.v) AS score
+    FROM vectors q JOIN vectors c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(row_number() OVER nearest AS INTEGER) AS rank, vec_id, score
+FROM distances
+WINDOW nearest AS (PARTITION BY query_id ORDER BY score, vec_id)
+QUALIFY row_number() OVER nearest <= 10
+"""
+
 LEAKED_PASSAGES_SQL = r"""
 WITH texts AS (
     SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS words FROM documents
@@ -193,5 +247,7 @@ QUERIES: dict[str, Query] = {
     "op5_suffixes": Query(repeated_bytes),
     "op6_minhash": Query(near_duplicates, NEAR_DUPLICATES_SQL),
     "op7_bpe": Query(bpe_tokens),
+    "op8_warc": Query(archived_pages, ARCHIVED_PAGES_SQL),
+    "op9_nearest": Query(nearest_vectors, NEAREST_VECTORS_SQL),
     "op10_spaced_seeds": Query(leaked_passages, LEAKED_PASSAGES_SQL),
 }
