@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNKNOWN = "und"
 
@@ -261,12 +262,14 @@ def label_languages(
     penalty: float = SWITCH,
     id: str = "doc_id",
     text: str = "text",
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """``id``, ``lang_pred``, ``score`` and the language spans of every whole text.
 
     The language of a text is the one with the most letters in its spans, ties to the first by
     name; the score is its share of the letters. A text that is null or has no letter is ``und``
-    with score 0 and no span. Rows stay one to one; other columns are not read; no shuffle.
+    with score 0 and no span. Rows stay one to one; no shuffle. Other columns are not read, unless
+    ``keep`` names some: then a struct ``row`` of them follows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.struct(
@@ -284,12 +287,18 @@ def label_languages(
                     pa.array([x[0] for x in found], pa.string()),
                     pa.array([x[1] for x in found], pa.float64()),
                     pa.array([x[2] for x in found], pa.list_(span)),
+                    *batch.columns[2:],
                 ],
-                ["id", "lang_pred", "score", "spans"],
+                names,
             )
 
-    kind = docs.schema[id].dataType.simpleString()
-    labelled = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(
-        labels, f"id {kind}, lang_pred string, score double, spans {SPANS}"
+    rows = docs.select(
+        F.col(id).alias("id"),
+        F.col(text).alias("text"),
+        *([] if keep is None else [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")]),
     )
+    found = T.StructType.fromDDL(f"lang_pred string, score double, spans {SPANS}").fields
+    kind = T.StructType([rows.schema["id"], *found, *rows.schema.fields[2:]])
+    names = kind.names
+    labelled = rows.mapInArrow(labels, kind)
     return labelled.withColumnRenamed("id", id)

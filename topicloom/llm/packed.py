@@ -14,7 +14,7 @@ text in its bucket, and is never joined with itself.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from topicloom.llm.words import flat, mix, slices
 from topicloom.operators.skew import partitions
@@ -248,19 +249,20 @@ def meet(blocks: DataFrame, choose: Choose, layout: Layout) -> DataFrame:
     return blocks.groupBy("bucket").applyInArrow(run, REPLIES)
 
 
-def texts_by_place(docs: DataFrame, id: str, text: str, layout: Layout) -> DataFrame:
-    """``(place, id, text)``; rows without an id are spread by their text."""
+def texts_by_place(
+    docs: DataFrame, id: str, text: str, layout: Layout, keep: Sequence[str] | None = None
+) -> DataFrame:
+    """``(place, id, text)``, and ``row`` with other columns to keep; rows without an id are spread."""
     by_id, by_text = F.xxhash64(F.col(id).cast("long")), F.xxhash64(F.col(text))
     key = F.when(F.col(id).isNull(), by_text).otherwise(by_id)
     return docs.select(
         F.pmod(key, F.lit(layout.places)).cast("int").alias("place"),
         F.col(id).cast("long").alias("id"),
         F.col(text).alias("text"),
+        *([] if keep is None else [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")]),
     )
 
 
-
-
 #: From texts of a place (ids, bytes, offsets) and a test of entries to tables of results.
 Receive = Callable[[pa.Array, np.ndarray, np.ndarray, "Entered"], Iterator[pa.Table]]
 
@@ -290,7 +292,10 @@ def _joined(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
 def receive(
     texts: DataFrame, replies: DataFrame, work: Receive, layout: Layout, schema: pa.Schema, kind: str
 ) -> DataFrame:
-    """Rows that ``work`` makes of the texts of each place and what was sent to them."""
+    """Rows that ``work`` makes of the texts of each place and what was sent to them.
+
+    Where the texts carry a ``row``, ``work`` must give one result per text: text and row follow it.
+    """
     return _received(texts, [replies], work, layout, schema, kind)
 
 
@@ -309,6 +314,10 @@ def receive_both(
 
 def _received(texts, replies: list[DataFrame], work, layout, schema, kind) -> DataFrame:
     kinds = len(replies)
+    carried = [f for f in texts.schema.fields if f.name == "row"]
+    carried = [texts.schema["text"], *carried] if carried else []
+    names = [f.name for f in carried]
+    kind = T.StructType([*T.StructType.fromDDL(kind).fields, *carried])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         sort = right.column("sort").to_numpy()
@@ -323,7 +332,10 @@ def _received(texts, replies: list[DataFrame], work, layout, schema, kind) -> Da
         for begin, end in slices(offsets):
             cut = offsets[begin : end + 1]
             parts.extend(work(ids.slice(begin, end - begin), data[cut[0] : cut[-1]], cut - cut[0], *tests))
-        return pa.concat_tables(parts) if parts else schema.empty_table()
+        result = pa.concat_tables(parts) if parts else schema.empty_table()
+        for name in names:
+            result = result.append_column(name, left.column(name))
+        return result
 
     sent = replies[0].withColumn("sort", F.lit(0))
     for i, more in enumerate(replies[1:], 1):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +56,11 @@ def _blocks_and_probes(window: int, block: int) -> packed.Enter:
 
 
 def remove_repeats(
-    docs: DataFrame, window: int = WINDOW, id: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    window: int = WINDOW,
+    id: str = "doc_id",
+    text: str = "text",
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Remove words in passages that also start in a text with a smaller id.
 
@@ -64,7 +68,8 @@ def remove_repeats(
     ``n_words``, ``n_removed``, the removed ``spans`` (maximal, as ranges of word numbers) and
     ``kept``, the other words joined by one blank. Windows of ``window`` words are judged on the
     input. A null or empty text has no words. Rows with the same id are no smaller than each other;
-    a row without an id is kept whole and makes nothing else a repeat. Other columns are not read.
+    a row without an id is kept whole and makes nothing else a repeat. Other columns are not read,
+    unless ``keep`` names some: then the row's ``text`` and a struct ``row`` of them follow the result.
 
     A window holds at least one whole block of the texts' fixed blocks of ``(window + 1) // 2``
     words, wherever it lies. So the blocks that do not overlap are indexed, and every rolling block
@@ -114,7 +119,8 @@ def remove_repeats(
         start[whole] = entered(_padded(ngrams(words.hashes(), window), size)[whole], doc[whole])
         yield _result(ids, words, covered(start, window, size))
 
-    result = packed.receive(texts, repeats, cut, fine, RESULT, RESULT_KIND)
+    rows = packed.texts_by_place(docs, id, text, coarse, keep)
+    result = packed.receive(rows, repeats, cut, fine, RESULT, RESULT_KIND)
     return result.withColumnRenamed("id", id)
 
 
