@@ -134,6 +134,7 @@ def test_tree(spark):
     assert found == {"a": [(3, "c"), (4, "d")], "b": []}
 
 
-def test_too_many_topics(spark):
-    with pytest.raises(ValueError):
-        topics.renumber_topics(spark.range(200).withColumnRenamed("id", "topic"))
+def test_more_than_a_hundred_topics(spark):
+    df = spark.range(300).select((F.col("id") % 200).alias("topic"), "id")
+    found = topics.renumber_topics(df).groupBy("topic").agg(F.count("*").alias("n")).orderBy("topic").collect()
+    assert [(r.topic, r.n) for r in found] == [(t, 2 if t < 100 else 1) for t in range(200)]

@@ -33,14 +33,30 @@ def _within(a: pd.DataFrame, b: pd.DataFrame, eps: float) -> np.ndarray:
 
 
 def _roots(near: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """Smallest name each point reaches through the links of one block pair."""
-    label = names.copy()
-    while True:
-        best = np.where(near, label[None, :], np.iinfo(np.int64).max).min(1)
-        new = np.minimum(label, best)
-        if (new == label).all():
-            return label
-        label = new
+    """Smallest name each point reaches through the links of one block pair.
+
+    From the smallest names on, every point is reached and looked at once.
+    """
+    # A name may stand on both sides; its places are linked.
+    _, place = np.unique(names, return_inverse=True)
+    firsts = np.full(place.max() + 1, -1)
+    label = np.full(len(names), -1, np.int64)
+    left = np.ones(len(names), bool)
+    for at in range(len(names)):
+        if firsts[place[at]] < 0:
+            firsts[place[at]] = at
+    twins = np.flatnonzero(firsts[place] != np.arange(len(names)))
+    near = near.copy()
+    near[twins, firsts[place[twins]]] = near[firsts[place[twins]], twins] = True
+    for start in np.argsort(names, kind="stable").tolist():
+        if not left[start]:
+            continue
+        reached = np.array([start])
+        while len(reached):
+            label[reached] = names[start]
+            left[reached] = False
+            reached = np.flatnonzero(near[reached].any(0) & left)
+    return label
 
 
 def dbscan(

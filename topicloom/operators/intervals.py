@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from topicloom.functions.binding import computed
 from topicloom.functions.intervals import first_containing
 from topicloom.operators.runs import forward_fill
 from topicloom.operators.skew import Slices, as_list, attach, find_slices, salted_join
@@ -131,10 +132,12 @@ def augment_captions(
     slices = find_slices(captions, key, order[0]) if slices is None else slices
     lists = info.select(key, F.col("chapters").alias("__chapters"), F.col("heatmap").alias("__heat"))
     joined = salted_join(captions, lists, key, order, slices.hot, "left")
-    labelled = interval_label(
-        joined, F.col("__chapters"), "chapters", "title",
-        fill="forward", key=key, order=order, slices=slices,
-    )
+    labelled = interval_label(joined, F.col("__chapters"), "chapters", "title")
     labelled = interval_label(labelled, F.col("__heat"), "heatmap", "value", default=0.0)
+    # Captions go on without the lists: each value is computed in this place, once.
+    for column in ("chapters", "heatmap"):
+        labelled = computed(labelled, column, F.col(column))
+    labelled = labelled.drop("__chapters", "__heat")
     # A matching heat span may itself hold null, which takes the value before it.
-    return forward_fill(labelled, key, order, "heatmap", slices=slices).drop("__chapters", "__heat")
+    filled = forward_fill(labelled, key, order, "chapters", slices=slices)
+    return forward_fill(filled, key, order, "heatmap", slices=slices)

@@ -3,7 +3,8 @@
 A window or an ordered collection over ``key`` puts all rows of one key into one task. Here the
 rows of keys that hold a large share of the table are cut into slices along their order, so that
 work is grouped by ``(key, slice)`` and only one summary row per slice meets again under the key.
-What the driver receives is bounded: at most ``parts`` key hashes and ``parts`` slice limits.
+What the driver receives is bounded: at most ``FREQUENT_KEYS`` key hashes and as many slice limits
+as there are partitions.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 #: Rows of one key that a single task sorts without trouble.
 ROWS_PER_TASK = 1_000_000
 
+#: Frequent keys that are split at most. The next one holds less than a 10,000th of the table.
+FREQUENT_KEYS = 10_000
+
 SLICE = "__slice"
 SALT = "__salt"
 
@@ -44,19 +48,18 @@ def frequent_keys(
     df: DataFrame,
     key: str | Sequence[str],
     rows: int = ROWS_PER_TASK,
-    parts: int | None = None,
     weight: str | None = None,
 ) -> list[int]:
-    """Hashes of the keys with more than ``rows`` rows, the ``parts`` most frequent at most.
+    """Hashes of the keys with more than ``rows`` rows, the most frequent ones if there are very many.
 
     ``weight`` names a column that holds the number of rows, for a table counted before.
 
-    Keys beyond these hold less than ``1 / parts`` of the table each. Two keys with one hash are
+    However many partitions there are, every such key is split. Two keys with one hash are
     sliced or salted together, which changes where rows are worked on and not what comes out.
     """
     size = F.count("*") if weight is None else F.sum(weight)
     counted = df.groupBy(F.xxhash64(*as_list(key)).alias("h")).agg(size.alias("n"))
-    found = counted.where(F.col("n") > rows).orderBy(F.desc("n")).limit(parts or partitions(df))
+    found = counted.where(F.col("n") > rows).orderBy(F.desc("n")).limit(FREQUENT_KEYS)
     return [r.h for r in found.collect()]
 
 
@@ -106,7 +109,7 @@ def find_slices(
     about ``1 / parts`` of these rows. The order column is a number or a time.
     """
     parts = parts or partitions(df)
-    hot = frequent_keys(df, key, rows, parts)
+    hot = frequent_keys(df, key, rows)
     if not hot:
         return WHOLE
     timed = df.schema[order].dataType.typeName() in ("timestamp", "timestamp_ntz", "date")

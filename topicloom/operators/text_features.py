@@ -23,6 +23,7 @@ from topicloom.functions.text import (
     without,
 )
 from topicloom.operators.skew import (
+    attach,
     ROWS_PER_TASK,
     as_list,
     frequent_keys,
@@ -229,7 +230,10 @@ def top_terms(
 def tfidf_summarize(
     df: DataFrame, id: str, text: str = "text", n: int = 3, separator: str = "\n"
 ) -> DataFrame:
-    """``(id, summary)``: the ``n`` sentences with the highest mean TF-IDF, in text order."""
+    """``(id, summary)``: the ``n`` sentences with the highest mean TF-IDF, in text order.
+
+    A document without any token has an empty summary.
+    """
     weights = tfidf(df, id, text)
     sentences = df.select(
         id, F.posexplode(split_text(F.col(text), separator)).alias("__at", "__sentence")
@@ -246,8 +250,9 @@ def tfidf_summarize(
     best = Window.partitionBy(id).orderBy(F.desc(F.round("__score", 9)), "__at")
     chosen = scored.withColumn("__rank", F.row_number().over(best)).where(F.col("__rank") <= n)
     ordered = F.sort_array(F.collect_list(F.struct("__at", "__sentence")))
-    return (
+    found = (
         sentences.join(chosen, [id, "__at"])
         .groupBy(id)
         .agg(F.array_join(F.transform(ordered, lambda s: s["__sentence"]), separator).alias("summary"))
     )
+    return attach(df.select(id), found, id).withColumn("summary", F.coalesce("summary", F.lit("")))

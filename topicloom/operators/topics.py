@@ -34,7 +34,6 @@ REPRESENTATIVE_DOCUMENTS = 5
 DIVERSE_WORDS = 10
 DIVERSITY = 0.5
 MAIN_WORDS = 10
-MIN_TOPICS, MAX_TOPICS = 2, 100
 DEFAULT_K_RANGE = range(2, 20)
 
 
@@ -185,14 +184,13 @@ def topic_sizes(assigned: DataFrame, topic: str = "topic") -> DataFrame:
 
 
 def renumber_topics(assigned: DataFrame, topic: str = "topic") -> DataFrame:
-    """Number the topics 0, 1, ... by falling size. Topics are bounded by the range of ``k``."""
-    sizes = topic_sizes(assigned, topic).orderBy(F.desc("count"), topic).limit(MAX_TOPICS + 1).collect()
-    if len(sizes) > MAX_TOPICS:
-        raise ValueError(f"more than {MAX_TOPICS} topics")
-    if not sizes:
-        return assigned
-    new = F.create_map(*[F.lit(x) for n, r in enumerate(sizes) for x in (r[topic], n)])
-    return assigned.withColumn(topic, new[F.col(topic)])
+    """Number the topics 0, 1, ... by falling size, then by topic. Only one row per topic is ordered."""
+    by_size = Window.orderBy(F.desc("count"), topic)
+    numbers = topic_sizes(assigned, topic).select(
+        topic, (F.row_number().over(by_size) - 1).alias("__number")
+    )
+    numbered = attach(assigned, numbers, topic)
+    return numbered.withColumn(topic, F.col("__number")).select(*assigned.columns)
 
 
 def topic_files(assigned: DataFrame, topic: str = "topic", file: str = "video_title") -> DataFrame:

@@ -10,7 +10,14 @@ from topicloom.functions.text import strip, to_seconds
 from topicloom.operators import content as texts
 from topicloom.operators import intervals, runs
 from topicloom.plans.base import Query, text_table
-from topicloom.sources.captions import load_videos, parse_cues, parse_video_info
+from topicloom.session import scratch_path
+from topicloom.sources.captions import (
+    load_videos,
+    parse_cues,
+    parse_video_info,
+    read_captions,
+    read_video_info,
+)
 from topicloom.sources.tables import load
 
 # Chapters of a conversation by turn: two overlap, there is a gap, a turn may straddle an end.
@@ -99,6 +106,55 @@ AUGMENTED_SQL = f"""{CLEAN_TURNS_SQL}, labelled AS (
 )"""
 
 
+def augmented_videos(spark: SparkSession, folder: str) -> DataFrame:
+    """Captions labelled from the lists of their own video; some videos lack one, a heat is null."""
+    turns = load(spark, folder, "conversations")
+    n, conv = F.col("n"), F.col("conv_id")
+
+    def spans(value: str, rows: list[tuple]) -> Column:
+        parts = [(start, end, what) for start, end, what in rows]
+        return F.array(
+            *[
+                F.struct(s.alias("start_time"), e.alias("end_time"), w.alias(value))
+                for s, e, w in parts
+            ]
+        )
+
+    chapters = spans("title", [
+        (F.lit(0.0), F.lit(1.5), F.lit("opening")), (F.lit(1.0), n - 1, F.concat(F.lit("part "), conv)),
+        (n, n + 5, F.lit("after")),
+    ])
+    heat = spans("value", [
+        (F.lit(0.0), F.lit(2.0), conv.cast("double")), (F.lit(2.0), F.lit(3.0), F.lit(None).cast("double")),
+        (F.lit(3.0), n, F.lit(0.25)),
+    ])
+    sizes = turns.groupBy("conv_id").agg((F.max("turn") + 1.0).alias("n"))
+    info = sizes.select(
+        "conv_id",
+        F.when(conv % 4 != 0, chapters).alias("chapters"),
+        F.when(conv % 5 != 0, heat).alias("heatmap"),
+    )
+    return intervals.augment_captions(clean_turns(spark, folder), info, "conv_id")
+
+
+AUGMENTED_VIDEOS_SQL = f"""WITH {CLEAN_TURNS_SQL}, sizes AS (
+  SELECT conv_id, max(turn) + 1.0::DOUBLE AS n FROM conversations GROUP BY conv_id
+), labelled AS (
+  SELECT c.*,
+    CASE WHEN conv_id % 4 = 0 THEN NULL WHEN "start" >= 0 AND "end" <= 1.5 THEN 'opening'
+         WHEN "start" >= 1 AND "end" <= n - 1 THEN 'part ' || conv_id
+         WHEN "start" >= n AND "end" <= n + 5 THEN 'after' END AS label,
+    CASE WHEN conv_id % 5 = 0 THEN 0.0::DOUBLE WHEN "start" >= 0 AND "end" <= 2 THEN conv_id::DOUBLE
+         WHEN "start" >= 2 AND "end" <= 3 THEN NULL WHEN "start" >= 3 AND "end" <= n THEN 0.25::DOUBLE
+         ELSE 0.0::DOUBLE END AS heat
+  FROM clean c JOIN sizes USING (conv_id)
+)
+SELECT conv_id, run, "start", "end", text,
+       last_value(label IGNORE NULLS) OVER w AS chapters, last_value(heat IGNORE NULLS) OVER w AS heatmap
+FROM labelled WINDOW w AS (PARTITION BY conv_id ORDER BY run
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+
 def chapter_text(spark: SparkSession, folder: str) -> DataFrame:
     return texts.chapters_content(augmented_turns(spark, folder), key="conv_id")
 
@@ -351,6 +407,65 @@ SELECT doc_id,
 FROM documents"""
 
 
+def _files(df: DataFrame, spark: SparkSession, name: str) -> str:
+    """Write one text file per conversation below a folder of its own; returns the root folder."""
+    path = scratch_path(spark, name)
+    df.write.partitionBy("conv_id").text(path)
+    return path
+
+
+def _of_folder(video: str = "video_id") -> Column:
+    return F.regexp_extract(video, r"conv_id=(\d+)", 1).cast("bigint").alias("conv_id")
+
+
+def caption_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations written to a folder of video folders and read from the root; cues hold blank lines."""
+    turn, text = F.col("turn"), F.regexp_replace(F.col("text"), r"[\s<>]+", " ")
+    clock = F.format_string("%02d:%02d.500", F.floor(turn / 60).cast("int"), (turn % 60).cast("int"))
+    later = F.format_string("%02d:%02d.750", F.floor(turn / 60).cast("int"), (turn % 60).cast("int"))
+    block = F.concat(clock, F.lit(" --> "), later, F.lit("\n \nsaid <c>"), text, F.lit("</c>\n \nend\n"))
+    cues = load(spark, folder, "conversations").select("conv_id", "turn", block.alias("text"))
+    files = texts.content(cues, "conv_id", "turn", separator="\n", out="value")
+    headed = files.select("conv_id", F.concat(F.lit("WEBVTT\n\n"), "value").alias("value"))
+    found = read_captions(spark, _files(headed, spark, "subtitles"), "*.txt")
+    return found.select(_of_folder(), "cue_ix", "start", "end", "text")
+
+
+CAPTION_FILES_SQL = r"""
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS cue_ix,
+       turn + 0.5::DOUBLE AS "start", turn + 0.75::DOUBLE AS "end",
+       'said ' || regexp_replace(text, '[\s<>]+', ' ', 'g') || chr(10) || ' ' || chr(10) || 'end' AS text
+FROM conversations"""
+
+
+def video_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Info files of conversations, read from the root folder."""
+    turns = load(spark, folder, "conversations").groupBy("conv_id").agg(F.count("*").cast("int").alias("n"))
+    name = F.concat(F.lit("video "), "conv_id")
+    record = F.to_json(
+        F.struct(
+            name.alias("title"), name.alias("fulltitle"), F.lit("").alias("description"),
+            F.col("n").alias("duration"), F.array(F.lit("a")).alias("categories"),
+            F.array(name).alias("tags"), F.lit("list").alias("playlist_title"), F.lit("en").alias("language"),
+        )
+    )
+    cut = F.when(F.col("conv_id") % 7 == 0, F.expr("substring(__json, 2)")).otherwise(F.col("__json"))
+    files = turns.withColumn("__json", record).select("conv_id", cut.alias("value"))
+    info = read_video_info(spark, _files(files, spark, "videos"), "*.txt")
+    broken = F.col("error").isNotNull()
+    return info.select(
+        _of_folder(), F.when(~broken, F.col("title")).alias("title"),
+        F.when(~broken, F.col("duration")).alias("duration"), "error",
+    )
+
+
+VIDEO_FILES_SQL = """
+SELECT conv_id, CASE WHEN conv_id % 7 <> 0 THEN 'video ' || conv_id END AS title,
+       CASE WHEN conv_id % 7 <> 0 THEN count(*)::INTEGER END AS duration,
+       CASE WHEN conv_id % 7 = 0 THEN 'malformed JSON' END AS error
+FROM conversations GROUP BY conv_id"""
+
+
 def load_status(spark: SparkSession, folder: str) -> DataFrame:
     """Roles as subtitle files of a conversation: system is preferred, user the fallback."""
     turns = load(spark, folder, "conversations")
@@ -399,6 +514,9 @@ QUERIES = {
     "augmented_captions": Query(
         augmented_turns, f"WITH {AUGMENTED_SQL} SELECT * FROM filled"
     ),
+    "augmented_videos": Query(augmented_videos, AUGMENTED_VIDEOS_SQL),
+    "read_caption_files": Query(caption_files, CAPTION_FILES_SQL),
+    "read_video_files": Query(video_files, VIDEO_FILES_SQL),
     "clean_captions": Query(clean_turns, f"WITH {CLEAN_TURNS_SQL} SELECT * FROM clean"),
     "collapse_lines": Query(collapse_lines, COLLAPSE_LINES_SQL),
     "event_runs": Query(event_runs, EVENT_RUNS_SQL),

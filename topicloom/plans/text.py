@@ -201,8 +201,11 @@ sentences AS (
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, ix) AS rank FROM scored
 )
-SELECT doc_id, string_agg(line, chr(10) ORDER BY ix) AS summary
-FROM ranked JOIN sentences USING (doc_id, ix) WHERE rank <= 2 GROUP BY doc_id"""
+SELECT d.doc_id, coalesce(summary, '') AS summary
+FROM documents d LEFT JOIN (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY ix) AS summary
+  FROM ranked JOIN sentences USING (doc_id, ix) WHERE rank <= 2 GROUP BY doc_id
+) s USING (doc_id)"""
 
 
 QUERIES = {

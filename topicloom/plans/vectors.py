@@ -14,7 +14,6 @@ from topicloom.sources.tables import load
 
 NEIGHBOURS = 10
 EPS, MIN_SAMPLES = 1.15, 5
-LABELS = 10
 
 
 def _vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,18 +36,17 @@ WITH moved AS (
 SELECT vec_id, place, round(v / sqrt(sum(v * v) OVER (PARTITION BY vec_id)), 6) + 0.0 AS value FROM moved"""
 
 
-def label_means(df: DataFrame, labels: int = LABELS) -> list[tuple[int, list[float]]]:
-    """Mean vector of each of the first labels: few rows, partly aggregated in every task."""
+def label_means(df: DataFrame) -> list[tuple[int, list[float]]]:
+    """Mean vector of each label: one row per label, partly aggregated in every task."""
     rows = (
-        df.where(F.col("label") < labels)
-        .select("label", F.posexplode("embedding").alias("place", "x"))
+        df.select("label", F.posexplode("embedding").alias("place", "x"))
         .groupBy("label", "place")
         .agg(F.avg(F.col("x").cast("double")).alias("x"))
         .groupBy("label")
         .agg(F.sort_array(F.collect_list(F.struct("place", "x"))).alias("v"))
         .collect()
     )
-    return [(r.label, [p.x for p in r.v]) for r in rows]
+    return sorted((r.label, [p.x for p in r.v]) for r in rows)
 
 
 MEANS_SQL = """
@@ -89,10 +87,10 @@ SELECT round(sum(d * d), 5) AS inertia FROM distances"""
 
 
 def elbow(spark: SparkSession, folder: str) -> DataFrame:
-    """Inertia around the means of the first 2, 3, ... labels, and the elbow of that curve."""
+    """Inertia around the means of the labels below 2, 3, ... and the elbow of that curve."""
     df = _vectors(spark, folder)
     means = label_means(df)
-    tried = {k: [m for m in means if m[0] < k] for k in range(2, LABELS + 1)}
+    tried = {k: [m for m in means if m[0] < k] for k in range(2, means[-1][0] + 2)}
     points = checkpoint(clustering.inertias(df, tried).withColumnRenamed("inertia", "score"))
     found = clustering.elbow(points)
     return found.select("k", F.round("score", 5).alias("score"), F.round("chord", 5).alias("chord"), "chosen")
@@ -101,7 +99,7 @@ def elbow(spark: SparkSession, folder: str) -> DataFrame:
 ELBOW_SQL = f"""
 WITH {MEANS_SQL}, distances AS (
   SELECT vec_id, m.label, list_distance(embedding::DOUBLE[], mean) AS d FROM embeddings, means m
-), ks AS (SELECT unnest(range(2, {LABELS + 1}))::INTEGER AS k), nearest AS (
+), ks AS (SELECT unnest(range(2, (SELECT max(label) + 2 FROM embeddings)))::INTEGER AS k), nearest AS (
   SELECT k, vec_id, min(d) AS d FROM distances JOIN ks ON label < k GROUP BY k, vec_id
 ), points AS (
   SELECT k, sum(d * d) AS score FROM nearest GROUP BY k

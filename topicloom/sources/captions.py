@@ -57,11 +57,12 @@ _TEXT = r"(?s)^.*?-->[^\n]*\n?(.*)$"
 def parse_cues(files: DataFrame, text: str = "value") -> DataFrame:
     """Explode whole subtitle files into cues, all in JVM expressions.
 
-    Blocks are divided by blank lines; those without a time line (header, notes, styles) are
-    dropped. Tags are taken out of the text and white space off its ends.
+    Blocks are divided by empty lines; a line of white space belongs to its cue. Blocks without a
+    time line (header, notes, styles) are dropped. Tags are taken out of the text and white space off
+    its ends.
     """
     clean = F.regexp_replace(F.col(text), "\r\n?", "\n")
-    blocks = F.filter(F.split(clean, r"\n(?:[ \t]*\n)+", -1), lambda b: b.rlike(_TIMES))
+    blocks = F.filter(F.split(clean, r"\n{2,}", -1), lambda b: b.rlike(_TIMES))
     others = [c for c in files.columns if c != text]
     cues = files.select(*others, F.posexplode(blocks).alias("cue_ix", "__block"))
 
@@ -86,9 +87,16 @@ def _file(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def read_captions(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Cues of all ``.vtt`` files of many video folders, the folder name as ``video_id``."""
-    files = spark.read.text(paths, wholetext=True).select(
+def _whole_files(spark: SparkSession, paths: str | Sequence[str], pattern: str) -> DataFrame:
+    """Files of these names in the folders and all folders below."""
+    return spark.read.text(paths, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
+
+
+def read_captions(
+    spark: SparkSession, paths: str | Sequence[str], pattern: str = "*.vtt"
+) -> DataFrame:
+    """Cues of all subtitle files in a folder of video folders, their names as ``video_id``."""
+    files = _whole_files(spark, paths, pattern).select(
         _folder(F.col("_metadata.file_path")).alias("video_id"),
         _file(F.col("_metadata.file_path")).alias("file_name"),
         "value",
@@ -123,9 +131,11 @@ def parse_video_info(files: DataFrame, text: str = "metadata") -> DataFrame:
     return parsed.select(*files.columns, *fields, error.alias("error"))
 
 
-def read_video_info(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """One row per info file of many video folders, the folder name as ``video_id``."""
-    files = spark.read.text(paths, wholetext=True).select(
+def read_video_info(
+    spark: SparkSession, paths: str | Sequence[str], pattern: str = "video.info.json"
+) -> DataFrame:
+    """One row per info file in a folder of video folders, their names as ``video_id``."""
+    files = _whole_files(spark, paths, pattern).select(
         _folder(F.col("_metadata.file_path")).alias("video_id"), F.col("value").alias("metadata")
     )
     return parse_video_info(files)

@@ -24,12 +24,13 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of a table that lies in fewer files than there are cores, on all cores.
+    """Rows of a table that is read in fewer tasks than there are cores, on all cores.
 
-    Large tables have many files and are left as they are.
+    A table is left as it is as soon as its scan keeps all cores busy: large files are split by
+    ``spark.sql.files.maxPartitionBytes``, so what is dealt anew is less than that for each core.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def write_content(df: DataFrame, path: str, format: str = "csv") -> None:
