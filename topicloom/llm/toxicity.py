@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -17,10 +17,12 @@ from topicloom.llm.sample import logistic
 
 WORD = re.compile(r"[^\W\d_]+")
 
-#: Lexicons drawn from the labelled texts, entries of one at most, texts an entry must occur in.
+#: Lexicons drawn from the labelled texts, entries of one at most, texts an entry must occur in,
+#: and its least log-odds.
 LEXICONS = 6
 LEXICON_ENTRIES = 200
 LEAST_TEXTS = 3
+LEXICON_ODDS = 2.5
 #: Beginnings of words that serve as patterns, by length.
 PREFIXES = (5, 6, 7, 8)
 #: Numbers of words that share a beginning from which that counts as a key of its own.
@@ -35,6 +37,7 @@ CORRELATED = 0.3
 FEATURES = 5_000
 BEYOND_CHANCE = 4.0
 RIDGE = 2.0
+STEPS = 150
 CACHE_WORDS = 500_000
 
 # Plain insults and words of threat that any English list holds.
@@ -136,40 +139,69 @@ class ToxicityModel:
         known = sorted(self.weights[k] for k in found if k in self.weights)
         return self.bias + self.length * _length(words) + sum(known)
 
-    def votes(self, text: str, words: set[str], keys: set[str]) -> list[int]:
-        """Votes of all voters on one text."""
-        lowered = [len(lexicon & keys) for lexicon in self.lexicons]
-        cast = [FOR if hits else NONE for hits in lowered]
+
+@dataclass(frozen=True)
+class _Corpus:
+    """Texts as numbers of their keys; keys of fewer than ``LEAST_TEXTS`` texts are left out."""
+
+    names: list[str]
+    keys: list[np.ndarray]
+    words: list[int]
+    pattern_votes: np.ndarray
+
+
+def _read(texts: Sequence[str]) -> _Corpus:
+    """Two passes, so that memory holds frequent keys only: the first counts hashes of keys."""
+    counts = np.zeros(1 << 22, np.int32)
+    slot = len(counts) - 1
+    for text in texts:
+        keys = text_keys(set(WORD.findall(text.lower())))
+        counts[np.unique(np.fromiter((hash(k) & slot for k in keys), np.int64, len(keys)))] += 1
+    often = (counts >= LEAST_TEXTS).tobytes()
+    places: dict[str, int] = {}
+    rows, sizes, votes = [], [], []
+    for text in texts:
+        words = set(WORD.findall(text.lower()))
+        kept = sorted(k for k in text_keys(words) if often[hash(k) & slot])
+        rows.append(np.array([places.setdefault(k, len(places)) for k in kept], np.int32))
+        sizes.append(len(words))
         insults = words & INSULTS
-        cast.append(FOR if insults else NONE)
-        cast.append(FOR if insults and SHOUTING.search(text) else NONE)
         spoken = {m.lower() for m in ADDRESSED.findall(text)} if insults else set()
-        cast.append(FOR if spoken & INSULTS else NONE)
-        # Nothing in any list at all speaks against.
-        cast.append(NONE if any(lowered) or insults else AGAINST)
-        return cast
+        said = (insults, insults and SHOUTING.search(text), spoken & INSULTS)
+        votes.append([FOR if x else NONE for x in said])
+    return _Corpus(list(places), rows, sizes, np.array(votes))
+
+
+def _votes(corpus: _Corpus, rows: Sequence[int], lexicons: Sequence[np.ndarray]) -> np.ndarray:
+    """Votes of the lexicons, of the patterns, and of a voter against what nothing speaks for."""
+    member = np.zeros((len(lexicons), len(corpus.names)), bool)
+    for i, lexicon in enumerate(lexicons):
+        member[i, lexicon] = True
+    listed = np.array([member[:, corpus.keys[r]].any(1) for r in rows])
+    cast = np.concatenate([np.where(listed, FOR, NONE), corpus.pattern_votes[rows]], axis=1)
+    return np.concatenate([cast, np.where((cast == FOR).any(1), NONE, AGAINST)[:, None]], axis=1)
+
 
+def _count(keys: Sequence[np.ndarray], kinds: int, weights=None) -> np.ndarray:
+    where = np.concatenate(keys) if keys else np.zeros(0, np.int32)
+    each = None if weights is None else np.repeat(weights, [len(k) for k in keys])
+    return np.bincount(where, each, kinds).astype(float)
 
-def _draw_lexicons(keys: Sequence[set[str]], labels: Sequence[int]) -> tuple[frozenset[str], ...]:
+
+def _draw_lexicons(corpus: _Corpus, rows: Sequence[int], labels: np.ndarray) -> list[np.ndarray]:
     """Keys that toxic texts hold much more often than others, dealt to lexicons in turn.
 
-    Strong keys come first, so every lexicon gets strong and weak ones. A beginning that its only
-    word explains is left to the word.
+    Strong keys come first, so every lexicon gets strong and weak ones.
     """
-    toxic, other = Counter(), Counter()
-    for found, label in zip(keys, labels, strict=True):
-        (toxic if label else other).update(found)
-    t, o = max(1, sum(labels)), max(1, len(labels) - sum(labels))
-    scored = []
-    for key, n in toxic.items():
-        if n < LEAST_TEXTS:
-            continue
-        odds = math.log((n + 0.5) / (t + 1)) - math.log((other[key] + 0.5) / (o + 1))
-        if odds > 2.5:
-            scored.append((odds * math.sqrt(n), key))
-    scored.sort(reverse=True)
-    best = [key for _, key in scored[: LEXICONS * LEXICON_ENTRIES]]
-    return tuple(frozenset(best[i::LEXICONS]) for i in range(LEXICONS))
+    found = [corpus.keys[r] for r in rows]
+    toxic = _count(found, len(corpus.names), labels)
+    other = _count(found, len(corpus.names), 1 - labels)
+    t, o = max(1.0, labels.sum()), max(1.0, (1 - labels).sum())
+    odds = np.log((toxic + 0.5) / (t + 1)) - np.log((other + 0.5) / (o + 1))
+    good = np.flatnonzero((toxic >= LEAST_TEXTS) & (odds > LEXICON_ODDS))
+    order = sorted(good.tolist(), key=lambda k: (-odds[k] * math.sqrt(toxic[k]), corpus.names[k]))
+    best = order[: LEXICONS * LEXICON_ENTRIES]
+    return [np.array(best[i::LEXICONS], int) for i in range(LEXICONS)]
 
 
 def fit_toxicity(sample: Sequence[tuple[str, int]]) -> ToxicityModel:
@@ -180,57 +212,55 @@ def fit_toxicity(sample: Sequence[tuple[str, int]]) -> ToxicityModel:
     trained on its posterior labels. Every third row is kept from both and only calibrates. Without
     rows of both classes every score is that of the share.
     """
-    words = [set(WORD.findall(text.lower())) for text, _ in sample]
-    labels = [label for _, label in sample]
-    keys = [text_keys(w) for w in words]
-    if len(set(labels)) < 2:
-        share = labels[0] if labels else 0
-        return ToxicityModel((), None, bias=4.0 if share else -4.0)
+    labels = np.array([label for _, label in sample], float)
+    if len(set(labels.tolist())) < 2:
+        return ToxicityModel((), None, bias=4.0 if labels.any() else -4.0)
+    corpus = _read([text for text, _ in sample])
     fitted = [i for i in range(len(sample)) if i % 3] or [0]
     held = [i for i in range(len(sample)) if i % 3 == 0]
-    lexicons = _draw_lexicons([keys[i] for i in fitted], [labels[i] for i in fitted])
-    model = ToxicityModel(lexicons, None)
-    votes = np.array([model.votes(sample[i][0], words[i], keys[i]) for i in fitted])
-    label_model = fit_label_model(votes, sum(labels) / len(labels))
-    weights, bias = _fit_linear([keys[i] for i in fitted], label_model.posterior(votes))
-    model = ToxicityModel(lexicons, label_model, weights, 0.0, bias)
-    features = np.array([[model.margin(keys[i], 0), _length(len(words[i])), 1.0] for i in held])
-    target = np.array([labels[i] for i in held], float)
-    scale, length, shift = logistic(features, target, ridge=1e-2)
-    scaled = {k: float(w * scale) for k, w in weights.items()}
-    return ToxicityModel(lexicons, label_model, scaled, float(length), float(bias * scale + shift))
-
-
-def _fit_linear(keys: Sequence[set[str]], target: np.ndarray) -> tuple[dict[str, float], float]:
-    """A logistic regression on the presence of words and beginnings, by gradient steps."""
-    counts = Counter(key for found in keys for key in found)
-    lift: dict[str, float] = defaultdict(float)
-    for found, p in zip(keys, target, strict=True):
-        for key in found:
-            lift[key] += p
+    lexicons = _draw_lexicons(corpus, fitted, labels[fitted])
+    votes = _votes(corpus, fitted, lexicons)
+    label_model = fit_label_model(votes, float(labels.mean()))
+    weights, bias = _fit_linear(corpus, fitted, label_model.posterior(votes))
+    margins = [bias + weights[corpus.keys[i]].sum() for i in held]
+    features = np.array([[m, _length(corpus.words[i]), 1.0] for m, i in zip(margins, held, strict=True)])
+    scale, length, shift = logistic(features, labels[held], ridge=1e-2)
+    return ToxicityModel(
+        tuple(frozenset(corpus.names[k] for k in lexicon) for lexicon in lexicons),
+        label_model,
+        {corpus.names[k]: float(weights[k] * scale) for k in np.flatnonzero(weights)},
+        float(length),
+        float(bias * scale + shift),
+    )
+
+
+def _fit_linear(corpus: _Corpus, rows: Sequence[int], target: np.ndarray) -> tuple[np.ndarray, float]:
+    """A logistic regression on the presence of keys, by gradient steps."""
+    found = [corpus.keys[r] for r in rows]
+    counts = _count(found, len(corpus.names))
+    lift = _count(found, len(corpus.names), target)
     mean = float(np.clip(target.mean(), 1e-6, 1 - 1e-6))
-    apart = {
-        k: abs(lift[k] - mean * n) / math.sqrt(n * mean * (1 - mean))
-        for k, n in counts.items()
-        if n >= LEAST_TEXTS
-    }
-    ranked = sorted((k for k, z in apart.items() if z >= BEYOND_CHANCE), key=lambda k: (-apart[k], k))
-    ranked = ranked[:FEATURES]
-    place = {k: i for i, k in enumerate(ranked)}
-    rows = [np.fromiter((place[k] for k in found if k in place), int) for found in keys]
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col = np.concatenate(rows) if rows else np.zeros(0, int)
-    weights, bias = np.zeros(len(ranked)), math.log(mean / (1 - mean))
-    square, bias_square = np.full(len(ranked), 1e-3), 1e-3
-    for _ in range(150):
-        margin = bias + np.bincount(row, weights[col], len(rows))
+    apart = np.abs(lift - mean * counts) / np.sqrt(np.maximum(counts, 1) * mean * (1 - mean))
+    chosen = np.flatnonzero((counts >= LEAST_TEXTS) & (apart >= BEYOND_CHANCE)).tolist()
+    chosen = sorted(chosen, key=lambda k: (-apart[k], corpus.names[k]))[:FEATURES]
+    place = np.full(len(corpus.names), -1)
+    place[chosen] = np.arange(len(chosen))
+    col = place[np.concatenate(found)] if found else np.zeros(0, int)
+    row = np.repeat(np.arange(len(found)), [len(f) for f in found])[col >= 0]
+    col = col[col >= 0]
+    weights, bias = np.zeros(len(chosen)), math.log(mean / (1 - mean))
+    square, bias_square = np.full(len(chosen), 1e-3), 1e-3
+    for _ in range(STEPS):
+        margin = bias + np.bincount(row, weights[col], len(found))
         error = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - target
-        gradient = np.bincount(col, error[row], len(ranked)) + RIDGE * weights
+        gradient = np.bincount(col, error[row], len(chosen)) + RIDGE * weights
         square += gradient**2
         weights -= 0.5 * gradient / np.sqrt(square)
         bias_square += error.sum() ** 2
         bias -= 0.5 * error.sum() / math.sqrt(bias_square)
-    return {k: float(w) for k, w in zip(ranked, weights, strict=True) if abs(w) > 1e-3}, float(bias)
+    every = np.zeros(len(corpus.names))
+    every[chosen] = np.where(np.abs(weights) > 1e-3, weights, 0)
+    return every, float(bias)
 
 
 def score_toxicity(
