@@ -28,8 +28,8 @@ from topicloom.llm.words import flat, mix, slices
 from topicloom.operators.skew import partitions
 
 #: Keys that a task sorts and sends together, keys of a bucket, bytes of text of a place.
-KEYS_SENT = 1 << 22
-KEYS_PER_BUCKET = 1 << 22
+KEYS_SENT = 1 << 20
+KEYS_PER_BUCKET = 1 << 21
 BYTES_PER_PLACE = 1 << 24
 
 BLOCKS = "bucket int, block binary"

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer text stands alone.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
 
 # What parts words, U+0020 and U+0009 to U+000D.
 _PARTS = np.zeros(256, bool)
