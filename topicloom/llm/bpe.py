@@ -243,7 +243,7 @@ class Encoder:
         distinct = list(set(pieces).union(*alone))
         merged = dict(zip(distinct, self.merge([p.encode() for p in distinct]), strict=True))
         coded = [merged[piece] for piece in pieces]
-        ends = [*begins[1:], len(pieces)]
+        ends = [*begins[1:], len(pieces)] if begins else []
         for word, begin, end in zip(plain, begins, ends, strict=True):
             known[word] = coded[begin] if end == begin + 1 else b"".join(coded[begin:end])
         rest = [b"".join([merged[piece] for piece in found]) for found in alone]
