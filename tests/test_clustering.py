@@ -140,6 +140,26 @@ def test_spectral_on_two_triangles(spark):
     assert k == 2 and at[0] == at[1] == at[2] != at[3] == at[4] == at[5]
 
 
+@pytest.mark.parametrize("apart", [0.0, 50.0], ids=["one sheet", "four strips"])
+def test_spectrum_like_a_dense_solver(spark, apart):
+    rng = np.random.default_rng(1)
+    n = 120
+    x = rng.random((n, 2)) * [4, 1] + np.stack([apart * (np.arange(n) // (n // 4)), np.zeros(n)], 1)
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, 1)[:, :10]
+    w = np.zeros((n, n))
+    for i in range(n):
+        for j in near[i]:
+            w[i, j] = w[j, i] = np.exp(-d[i, j] / 0.1)
+    degree = w.sum(1)
+    expected = np.linalg.eigvalsh(np.eye(n) - w / np.sqrt(np.outer(degree, degree)))[:8]
+    data = [(int(i), int(j), float(w[i, j])) for i, j in zip(*np.nonzero(w), strict=True)]
+    found = spectral.spectrum(spark.createDataFrame(data, "i long, j long, w double"), 8, columns=60)
+    assert np.allclose(found.eigenvalues, expected, atol=1e-6)
+    assert max(found.residuals) <= spectral.TOLERANCE
+
+
 def test_spectral_on_blobs(table):
     edges = neighbours.self_tuning_affinity(neighbours.knn(table, 10, "id", "embedding"))
     labels, k = spectral.spectral_clustering(edges, k=4)

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from conftest import rows
 
-from topicloom.operators import neighbours
+from topicloom.operators import density, neighbours
 from topicloom.operators.components import connected_components
 from topicloom.operators.density import dbscan
 from topicloom.operators.neighbours import Cells
@@ -136,3 +136,28 @@ def test_no_points(spark):
 
 def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_long_paths_settle_in_few_rounds(spark, shuffled):
+    names = np.arange(1000)
+    if shuffled:
+        np.random.default_rng(0).shuffle(names)
+    edges = [(int(a), int(b)) for a, b in zip(names, names[1:], strict=False)]
+    found = connected_components(spark.createDataFrame(edges, "a long, b long"), max_rounds=12)
+    assert found.count() == 1000 and [r[0] for r in found.select("component").distinct().collect()] == [0]
+
+
+def test_block_links_reach_whole_chains():
+    names = np.array([5, 3, 9, 1, 7, 3])
+    near = np.zeros((6, 6), bool)
+    for a, b in ((0, 1), (2, 5), (3, 3)):
+        near[a, b] = near[b, a] = True
+    assert density._roots(near, names).tolist() == [3, 3, 3, 1, 7, 3]
+
+
+def test_chain_is_one_cluster(spark):
+    data = [(i, [0.4 * i, 0.0]) for i in range(300)]
+    df = spark.createDataFrame(data, "id long, embedding array<double>")
+    found = dbscan(df, 0.5, 2, block_rows=16)
+    assert [tuple(r) for r in found.select("cluster", "core").distinct().collect()] == [(0, True)]

@@ -147,3 +147,8 @@ def test_slice_search_is_exact(spark):
     hot = df.select(F.xxhash64("k")).first()[0]
     found = df.select("id", Slices((hot,), limits).column("k", "id").alias("s")).collect()
     assert all(r.s == 1 + sum(x <= r.id for x in limits) for r in found)
+
+
+def test_more_frequent_keys_than_partitions(spark):
+    df = spark.range(4000).select((F.col("id") % 40).alias("k"), "id")
+    assert len(frequent_keys(df, "k", rows=50)) == 40

@@ -157,3 +157,15 @@ def test_observe(spark):
     df, seen = observe(spark.range(10), "seen", F.count("*").alias("n"))
     assert df.where("id > 4").count() == 5
     assert seen.get["n"] == 10
+
+
+def test_root_folder_and_lines_of_white_space(spark, tmp_path):
+    for video, text in (("a", "first\n \nthird"), ("b/c", "\n \nwelcome<00:00:01.000><c> to</c>")):
+        (tmp_path / video).mkdir(parents=True)
+        cue = f"WEBVTT\r\n\r\n00:00.000 --> 00:02.389 align:start\n{text}\n\nNOTE x\n"
+        (tmp_path / video / "s.vtt").write_text(cue)
+        (tmp_path / video / "video.info.json").write_text("{}")
+    found = rows(read_captions(spark, str(tmp_path)), "video_id", "file_name", "start", "end", "text")
+    assert found == [("a", "s.vtt", 0.0, 2.389, "first\n \nthird"), ("c", "s.vtt", 0.0, 2.389, "welcome to")]
+    assert rows(read_captions(spark, f"{tmp_path}/*/*.vtt"), "video_id") == [("a",)]
+    assert rows(read_video_info(spark, str(tmp_path)), "video_id") == [("a",), ("c",)]

@@ -142,7 +142,8 @@ def test_english(spark):
 
 def test_summaries(spark):
     text = "common words here\nrare zebra\ncommon words here again"
-    df = spark.createDataFrame([(1, text), (2, "common words here")], "doc_id int, text string")
+    data = [(1, text), (2, "common words here"), (3, "."), (4, ""), (5, None)]
+    df = spark.createDataFrame(data, "doc_id int, text string")
     found = {r.doc_id: r.summary for r in features.tfidf_summarize(df, "doc_id", n=1).collect()}
-    assert found[2] == "common words here"
+    assert found[2] == "common words here" and [found[i] for i in (3, 4, 5)] == [""] * 3
     assert rows(features.tfidf_summarize(df, "doc_id", n=9))[0] == (1, text)
