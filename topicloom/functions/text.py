@@ -106,11 +106,13 @@ def hash_weights(counts: Column, size: int) -> Column:
             runs, lambda r: F.struct(r["value"].alias("bucket"), total(pairs, r).alias("weight"))
         )
 
+    # Each digest is made once and read twice.
+    digests = F.transform(counts, lambda c: F.struct(F.md5(c["term"]).alias("digest"), c["tf"].alias("tf")))
     pairs = F.transform(
-        counts,
+        digests,
         lambda c: F.struct(
-            hash_bucket(c["term"], size).alias("bucket"),
-            (hash_sign(c["term"]) * c["tf"]).alias("weight"),
+            hash_bucket(c["digest"], size).alias("bucket"),
+            (hash_sign(c["digest"]) * c["tf"]).alias("weight"),
         ),
     )
     return let(F.sort_array(pairs), sums)

@@ -32,11 +32,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(scale > 0, dot(a, b) / scale).otherwise(F.lit(0.0))
 
 
-def hash_bucket(term: Column, size: int) -> Column:
+def hash_bucket(digest: Column, size: int) -> Column:
     """Bucket of a term from the first eight hex digits of its md5."""
-    return (F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("bigint") % size).cast("int")
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % size).cast("int")
 
 
-def hash_sign(term: Column) -> Column:
-    """+1 or -1 from the ninth hex digit of the term's md5."""
-    return F.when(F.substring(F.md5(term), 9, 1) < "8", 1).otherwise(-1)
+def hash_sign(digest: Column) -> Column:
+    """+1 or -1 from the ninth hex digit of a term's md5."""
+    return F.when(F.substring(digest, 9, 1) < "8", 1).otherwise(-1)

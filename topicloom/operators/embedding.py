@@ -83,6 +83,6 @@ def project_2d(
 ) -> DataFrame:
     """``(id, x, y, label)`` for a scatter drawing; vectors of two numbers are taken as they are."""
     if dimensions is None:
-        dimensions = len(df.select(column).first()[0])
+        dimensions = df.agg(F.max(F.size(column))).first()[0] or 0
     flat = reduce(df, column, "pca" if dimensions > 2 else "identity", 2, "__xy")
     return flat.select(id, F.col("__xy")[0].alias("x"), F.col("__xy")[1].alias("y"), label)

@@ -13,6 +13,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from topicloom.functions.stopwords import english
 from topicloom.functions.text import topic_name
 from topicloom.functions.vectors import cosine
 from topicloom.operators.clustering import Chosen, assign, auto_kmeans, centroids
@@ -390,7 +391,7 @@ def fit_topics(
     text: str = "text",
     k_range: Iterable[int] = DEFAULT_K_RANGE,
     seed: int = 42,
-    stop_words: Sequence[str] = (),
+    stop_words: Sequence[str] | None = None,
     sizes: tuple[int, int] = (1, 3),
     reduce_frequent_words: bool = True,
     aspects: dict[str, Aspect] | None = None,
@@ -403,7 +404,10 @@ def fit_topics(
     """Embed, cluster with the chosen number of topics, and describe the clusters.
 
     Topics are numbered by falling size. ``embedded`` says that ``df`` has its vectors already.
+    Without ``stop_words`` the English ones are left out of the descriptions.
     """
+    if stop_words is None:
+        stop_words = english(df.sparkSession)
     settings = {
         "id": id, "text": text, "seed": seed, "stop_words": tuple(stop_words), "sizes": sizes,
         "reduce_frequent_words": reduce_frequent_words, "embedding": embedding or {},

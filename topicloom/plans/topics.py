@@ -299,7 +299,7 @@ SELECT doc_id, arg_min(topic, (d, topic))::INTEGER AS topic FROM distances GROUP
 def _fitted(spark: SparkSession, folder: str) -> topics.TopicModel:
     return topics.fit_topics(
         text_table(spark, folder).withColumnRenamed("source", "video_title"),
-        k_range=range(2, 6), stop_words=STOP_WORDS, sizes=(1, 2),
+        k_range=range(2, 6), stop_words=STOP_WORDS, sizes=(1, 3),
     )
 
 
@@ -319,6 +319,11 @@ def subtopics(spark: SparkSession, folder: str) -> DataFrame:
     return _info(topics.subtopics(_fitted(spark, folder), [0], range(2, 4)))
 
 
+def recomputed(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of a fit with another range of topic numbers."""
+    return _info(topics.recompute(_fitted(spark, folder), range(2, 4)))
+
+
 def new_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Topics of the benchmark texts under a model fitted on the documents."""
     model = _fitted(spark, folder)
@@ -326,6 +331,7 @@ def new_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "recompute": Query(recomputed),
     "topic_info": Query(topic_info, TOPIC_INFO_SQL),
     "score_words": Query(score_words, SCORE_WORDS_SQL),
     "topic_files": Query(
