@@ -71,8 +71,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     # Rows are told apart by id and text, so that null and repeated ids do no harm.
     row = F.xxhash64("doc_id", "text")
     benchmark = load(spark, sf_dir, "benchmark")
-    leaks = spaced_seeds.find_passages(docs.select(row.alias("row"), "text"), benchmark, id="row")
-    return docs.join(leaks.select("row").distinct(), row == F.col("row"), "left_anti")
+    leaks = spaced_seeds.find_passages(docs.select(row.alias("__row"), "text"), benchmark, id="__row")
+    return docs.join(leaks.select("__row").distinct(), row == F.col("__row"), "left_anti")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
