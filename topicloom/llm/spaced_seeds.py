@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from topicloom.functions.binding import computed
+from topicloom.llm.store import written
 from topicloom.operators.skew import frequent_keys, salted_join
 
 #: Words of a window that is compared, and substituted words that it may hold.
@@ -27,17 +29,25 @@ def word_hashes(text: str) -> Column:
 
 
 def _seeds(rows: DataFrame, *kept: str) -> DataFrame:
-    """``(seed, place)`` for every place of every mask in the array ``words``."""
-    placed = rows.where(F.size("words") >= SHORTEST).select(
-        *kept, "words", F.explode(F.sequence(F.lit(0), F.size("words") - SHORTEST)).alias("place")
-    )
-    # A place beyond the end gives null, and the hash leaves it out: what such a seed meets by
-    # that is compared like any other hit.
-    hashes = [
-        F.xxhash64(F.lit(number), *[F.get("words", F.col("place") + at) for at in mask])
-        for number, mask in enumerate(MASKS)
-    ]
-    return placed.select(*kept, "words", "place", F.explode(F.array(*hashes)).alias("seed"))
+    """``(seed, place)`` for every place of every mask in the array ``words``.
+
+    Seeds are made inside the row; the words themselves go no further.
+    """
+
+    def hashes(place: Column) -> Column:
+        # A place beyond the end gives null, and the hash leaves it out: what such a seed meets by
+        # that is compared like any other hit.
+        return F.array(
+            *[
+                F.xxhash64(F.lit(number), *[F.get("words", place + at) for at in mask])
+                for number, mask in enumerate(MASKS)
+            ]
+        )
+
+    places = F.sequence(F.lit(0), F.size("words") - SHORTEST)
+    long_enough = rows.where(F.size("words") >= SHORTEST)
+    placed = long_enough.select(*kept, F.posexplode(F.transform(places, hashes)).alias("place", "seeds"))
+    return placed.select(*kept, "place", F.explode("seeds").alias("seed"))
 
 
 def find_passages(
@@ -60,30 +70,37 @@ def find_passages(
 
     Every place of every text gives a seed per mask, inside the scan; seeds of the benchmark are
     broadcast after a count, or else met in a shuffle with frequent seeds salted. Hits of one
-    alignment become one before anything is exchanged, with the words of the text opposite the item.
+    alignment become one, and only texts with hits are compared word by word.
     """
-    items = (
-        benchmark.select(F.col(item).alias("item"), word_hashes(item_text).alias("item_words"))
-        .where(F.size("item_words") >= SHORTEST)
-        .distinct()
-        .withColumn("words", F.col("item_words"))
+    items = computed(
+        benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text")),
+        "words",
+        word_hashes("text"),
+    ).select("item", "words")
+    items = items.where(F.size("words") >= SHORTEST).distinct()
+    numbered = items.withColumn("key", F.xxhash64("item", "words"))
+    seeds = written(
+        _seeds(numbered, "key").select("seed", "key", F.col("place").alias("item_place")), "seeds"
     )
-    seeds = _seeds(items, "item", "item_words").select(
-        "seed", "item", "item_words", F.col("place").alias("item_place")
-    )
-    texts = docs.select(F.col(id).alias("id"), word_hashes(text).alias("words"))
+    texts = computed(
+        docs.select(F.col(id).alias("id"), F.col(text).alias("text")), "words", word_hashes("text")
+    ).select("id", "words")
     probes = _seeds(texts, "id")
-    known = seeds.count()
-    if known <= BROADCAST_SEEDS:
+    if seeds.count() <= BROADCAST_SEEDS:
         hits = probes.join(F.broadcast(seeds), "seed")
     else:
-        held = seeds.select("seed").distinct()
-        found = salted_join(probes.select("id", "place", "seed"), held, "seed", "id", frequent_keys(seeds, "seed"))
-        hits = found.join(texts, "id").join(seeds, "seed")
+        held = seeds.groupBy("seed").agg(F.count("*").alias("n"))
+        found = salted_join(probes, held.select("seed"), "seed", "id", frequent_keys(probes, "seed"))
+        hits = found.join(seeds, "seed")
     shift = (F.col("place") - F.col("item_place")).alias("shift")
+    aligned = written(hits.select("id", "key", shift).distinct(), "hits")
+
+    known = numbered.select("key", F.col("item"), F.col("words").alias("item_words"))
+    with_items = aligned.withColumnRenamed("id", "hit_id").join(known, "key")
+    pairs = with_items.join(texts, F.col("hit_id").eqNullSafe(F.col("id")))
     first = F.greatest(F.lit(0), -F.col("shift"))
     last = F.least(F.size("item_words"), F.size("words") - F.col("shift"))
-    opposite = hits.select("id", "item", "item_words", "words", shift).select(
+    opposite = pairs.select(
         "id",
         "item",
         "shift",
@@ -106,8 +123,7 @@ def find_passages(
         lambda at: F.get("totals", at + width) - F.get("totals", at) >= needed,
     )
     compared = (
-        opposite.distinct()
-        .select("id", "item", "shift", "first", "item_size", agree.alias("agree"))
+        opposite.select("id", "item", "shift", "first", "item_size", agree.alias("agree"))
         .where(F.size("agree") >= width)
         .withColumn("totals", totals)
         .withColumn("windows", windows)
