@@ -27,9 +27,8 @@ COORDINATES = BANDS * ROWS
 UNIVERSE = 1 << 22
 #: Standard errors below the threshold from which an estimate rules a pair out.
 DEVIATIONS = 6.0
-#: Members of a bucket that are compared in one piece, and partners tested in a first round.
-PIECE = 512
-PARTNERS = 4
+#: Members of a bucket that are compared in one piece.
+PIECE = 1024
 
 SIGNATURES = "id long, n long, d1 long, d2 long, bands array<long>, sketch binary"
 SIGNATURE_SCHEMA = pa.schema(
@@ -214,13 +213,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets are similar enough."""
 
     def similar(x: bytes, y: bytes) -> bool:
-        left, right = len(x) // 8, len(y) // 8
-        if 100 * min(left, right) < percent * max(left, right):
-            return False
-        both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
-        both.sort(kind="stable")
-        common = int((both[1:] == both[:-1]).sum())
-        return 100 * common >= percent * (left + right - common)
+        return _common(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
 
     return _kept_pairs(_pair_up(pairs, sets, "shingles"), "shingles", similar)
 
@@ -233,59 +226,91 @@ def _verified(pairs: DataFrame, signed: DataFrame, texts: DataFrame, percent: in
     return written(_linked(likely, sets, percent), "links")
 
 
-def _residual(members: DataFrame, percent: int, low: int, high: int) -> DataFrame:
-    """Pairs across components within buckets, by rank of their estimate.
+def _common(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
-    ``members`` has ``(bucket, id, start, now, sketch)``: the component at the start, which fixes
-    the ranks, and now. Each member's partners of other components are ordered by their estimate;
-    those of rank ``low`` to ``high`` that are still apart come out, with ``more`` where others wait.
-    Large buckets are cut into pieces, and pairs of pieces are compared by themselves.
-    """
-    least = _least_estimate(percent)
-    sized = members.join(members.groupBy("bucket").agg(F.count("*").alias("size")), "bucket")
+
+def _piecewise(members: DataFrame, group: str, work) -> DataFrame:
+    """``(a, b)`` that ``work`` finds in each group; large groups are cut, every two pieces meet."""
+    sized = members.join(members.groupBy(group).agg(F.count("*").alias("size")), group)
     pieces = F.ceil(F.col("size") / PIECE).cast("int")
     own = F.pmod(F.xxhash64("id"), pieces).cast("int")
-    other = F.explode(F.sequence(F.lit(0), pieces - 1))
-    placed = sized.withColumn("own", own).withColumn("other", other)
-    groups = placed.groupBy(
-        "bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")
-    ).agg(F.collect_list(F.struct("id", "start", "now", "sketch", "own")).alias("members"))
+    placed = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    placed = placed.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: list[tuple[int, int, bool]] = []
-            for p, q, rows in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                found.extend(_ranked_pairs(p, q, rows, least, low, high))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([x[0] for x in found], pa.int64()),
-                    pa.array([x[1] for x in found], pa.int64()),
-                    pa.array([x[2] for x in found], pa.bool_()),
-                ],
-                ["a", "b", "more"],
-            )
-
-    return groups.select("p", "q", "members").mapInArrow(run, "a long, b long, more boolean")
-
-
-def _ranked_pairs(p: int, q: int, rows: list[dict], least: int, low: int, high: int):
-    rows = list({(r["id"], r["own"]): r for r in rows}.values())
-    left = [r for r in rows if r["own"] == p]
-    right = [r for r in rows if r["own"] == q]
-    ids = np.array([r["id"] for r in right])
-    start = np.array([r["start"] for r in right])
-    now = np.array([r["now"] for r in right])
-    sketches = np.array([np.frombuffer(r["sketch"], np.uint8) for r in right])
-    for r in left:
-        alike = (sketches == np.frombuffer(r["sketch"], np.uint8)).sum(1)
-        partner = np.flatnonzero((alike >= least) & (start != r["start"]))
-        partner = partner[np.lexsort((ids[partner], -alike[partner]))]
-        more = len(partner) > high
-        for k in partner[low:high].tolist():
-            if now[k] != r["now"]:
-                yield min(r["id"], int(ids[k])), max(r["id"], int(ids[k])), more
-        if more and not len(partner[low:high]):
-            yield r["id"], r["id"], True
+    def run(table: pa.Table) -> pa.Table:
+        own = table.column("own").to_numpy()
+        left = np.flatnonzero(own == table.column("p")[0].as_py())
+        right = np.flatnonzero(own == table.column("q")[0].as_py())
+        ids = table.column("id").to_numpy()
+        found = [(int(ids[i]), int(ids[j])) for i, j in work(table, left, right)]
+        columns = [[x for x, _ in found], [y for _, y in found]]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+    return placed.groupBy(group, "p", "q").applyInArrow(run, "a long, b long")
+
+
+def _partners(table: pa.Table, left: np.ndarray, right: np.ndarray, least: int):
+    """For each member on the left: those on the right of other components that may be linked with it."""
+    sketches = np.array([np.frombuffer(x.as_py(), np.uint8) for x in table.column("sketch")])
+    now = table.column("now").to_numpy()
+    for i in left.tolist():
+        alike = (sketches[right] == sketches[i]).sum(1)
+        partner = np.flatnonzero((alike >= least) & (now[right] != now[i]))
+        yield i, right[partner[np.argsort(-alike[partner], kind="stable")]]
+
+
+def _likely_within(members: DataFrame, percent: int) -> DataFrame:
+    """Edges that connect all members of a bucket whose estimates allow a link across components.
+
+    ``members`` has ``(bucket, id, now, sketch)``. As many edges come out as join them, not all pairs.
+    """
+    least = _least_estimate(percent)
+
+    def work(table: pa.Table, left: np.ndarray, right: np.ndarray):
+        label = np.arange(len(table))
+        for i, partners in _partners(table, left, right, least):
+            for other in np.unique(label[partners]).tolist():
+                if other != label[i]:
+                    yield i, other
+                    label[label == other] = label[i]
+
+    return _piecewise(members, "bucket", work)
+
+
+def _links_within(members: DataFrame, percent: int) -> DataFrame:
+    """Links across components among the members of each cluster, as many as join components.
+
+    ``members`` has ``(cluster, id, now, sketch, shingles)``, ``now`` being the component so far. A pair
+    is tested on its full sets if its estimate allows a link and nothing found so far joins it. So a
+    group costs tests, but never more links than members.
+    """
+    least = _least_estimate(percent)
+
+    def work(table: pa.Table, left: np.ndarray, right: np.ndarray):
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
+        now = table.column("now").to_pylist()
+        joined: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in joined:
+                c = joined[c]
+            return c
+
+        for i, partners in _partners(table, left, right, least):
+            for j in partners.tolist():
+                mine, other = root(now[i]), root(now[j])
+                if mine != other and _common(sets[i], sets[j], percent):
+                    joined[mine] = other
+                    yield i, j
+
+    return _piecewise(members, "cluster", work)
 
 
 def near_duplicates(
@@ -302,10 +327,10 @@ def near_duplicates(
 
     Equal sets are one class from the start, by a digest that is grouped with partial aggregation.
     Texts that share a band are candidates. Within a bucket the least id is tested against all
-    others: linear, and enough where copies are alike. Buckets that still hold several components
-    are compared further, by estimates from the signatures, in pieces; only pairs across components
-    whose estimate allows a link are tested on their full sets, the likeliest first, until none is
-    left. So no pair of a group is emitted that cannot change the answer.
+    others: linear, and enough where copies are alike. In buckets that still hold several components
+    estimates tell which texts may be linked across them; these form clusters, and the texts of a
+    cluster meet piece by piece, where what could join two components is tested on full sets. So pairs
+    of a group are tested where they must be, and never become rows.
     """
     texts = _texts(docs, id, text)
     signed = written(sign(docs, id, text), "signatures")
@@ -319,12 +344,15 @@ def near_duplicates(
         salted_join(real.select("id", *key), classes.select(*key, "rep"), key, "id", hot).select("id", "rep"),
         "members",
     )
+    # One row of each class stands for it; rows of one id and digest are the same.
     reps = real.join(classes.select(F.col("rep").alias("id"), *key), ["id", *key], "left_semi")
+    reps = written(reps.dropDuplicates(["id", *key]), "representatives")
 
-    banded = reps.select("id", F.explode("bands").alias("bucket"))
+    banded = reps.select("id", F.posexplode("bands").alias("band", "bucket"))
     crowded = written(
         banded.groupBy("bucket")
         .agg(
+            F.min("band").alias("band"),
             F.min("id").alias("pivot"),
             F.count("*").alias("size"),
             F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("all"),
@@ -344,37 +372,31 @@ def near_duplicates(
     same = members.join(several.select("id", "a"), "id").select("a", F.col("rep").alias("b")).where("a <> b")
     links = links.union(same)
     component = written(connected_components(links), "components")
-    start = component
 
-    # Buckets of more than two that hold several components; equal buckets once.
-    wide = crowded.where("size > 2").dropDuplicates(["pivot", "size", "all"]).select("bucket")
-    inside = banded.join(wide, "bucket")
-    inside = _with_component(inside, start, "start")
+    # Buckets of more than two that hold several components; of equal buckets the first.
+    wide = crowded.where("size > 2").groupBy("pivot", "size", "all").agg(
+        F.min_by("bucket", "band").alias("bucket")
+    )
+    inside = _with_component(banded.join(wide.select("bucket"), "bucket"), component, "now")
     mixed = (
         inside.groupBy("bucket")
-        .agg(F.min("start").alias("least"), F.max("start").alias("most"))
+        .agg(F.min("now").alias("least"), F.max("now").alias("most"))
         .where("least <> most")
         .select("bucket")
     )
-    inside = written(
-        inside.join(mixed, "bucket").join(reps.select("id", "sketch").dropDuplicates(["id"]), "id"), "mixed"
+    sketches = reps.select("id", "sketch")
+    inside = written(inside.select("bucket", "id", "now").join(mixed, "bucket").join(sketches, "id"), "mixed")
+    likely = written(_likely_within(inside, percent), "likely_within")
+    # What may be linked is one cluster, whichever buckets it shares: full sets travel once a piece.
+    clusters = connected_components(likely).select(
+        F.col("node").alias("id"), F.col("component").alias("cluster")
     )
-    low, high = 0, PARTNERS
-    while True:
-        found = written(
-            _residual(_with_component(inside, component, "now"), percent, low, high).distinct(), "residual"
-        )
-        if not found.take(1):
-            break
-        pairs = found.where("a <> b").select("a", "b").distinct()
-        fresh = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.union(fresh)
-        if fresh.take(1):
-            links = links.union(_verified(fresh, signed, texts, percent))
-            component = written(connected_components(links), "components")
-        if not found.where("more").take(1):
-            break
-        low, high = high, high * PARTNERS
+    clusters = written(_with_component(clusters, component, "now"), "clusters")
+    sets = _sets(texts.join(clusters.select("id"), "id", "left_semi")).where(F.octet_length("shingles") > 0)
+    known = clusters.join(sketches, "id").join(written(sets, "cluster_sets"), "id")
+    more = written(_links_within(known, percent), "more_links")
+    if more.take(1):
+        component = written(connected_components(links.union(more)), "components")
     result = signed.select("id", F.col("n").alias("n_shingles"), *key)
     copied = frequent_keys(classes, "rep", weight="copies")
     named = _with_component(members, component, "component", "rep", copied)
