@@ -37,7 +37,7 @@ TABLE_ROWS = 1 << 18
 #: Letters scored at once, and letters of all texts whose paths are searched together; divided by
 #: the number of languages.
 LETTERS = 1 << 21
-PATH_LETTERS = 1 << 26
+PATH_LETTERS = 1 << 24
 _MIX = np.uint32(0x9E3779B1)
 
 
