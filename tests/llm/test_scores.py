@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from topicloom.llm import language, quality, toxicity
+from topicloom.llm import language, quality, queries, toxicity
+from topicloom.llm.sample import class_weights
 from topicloom.sources.tables import load
 
 FOLDER = "/root/testdata/sf0.1"
@@ -30,6 +31,38 @@ def test_held_out_accuracy(spark, query, label):
     assert abs(score.mean() - truth.mean()) < 0.03
 
 
+@pytest.mark.parametrize("query,label,limit", [
+    ("op1_quality", "quality", "QUALITY_TEXTS"), ("op3_toxicity", "toxic", "TOXICITY_TEXTS")
+])
+def test_limited_sample_keeps_the_share(spark, monkeypatch, query, label, limit):
+    # Both classes of 300 rows, of which the table has one in seven or eight.
+    monkeypatch.setattr(queries, limit, 10**6)
+    whole = held_out(spark, query, label)
+    monkeypatch.setattr(queries, limit, 300)
+    predicted, score, truth = held_out(spark, query, label).T
+    assert abs(score.mean() - truth.mean()) < 0.02
+    assert abs(score.mean() - whole[:, 1].mean()) < 0.02
+    assert abs(predicted.mean() - whole[:, 0].mean()) < 0.02
+
+
+def test_weights_stand_for_the_table(spark):
+    rows = [(i, int(i % 10 == 0)) for i in range(100)] + [(None, 1), (200, None)]
+    labels = spark.createDataFrame(rows, "doc_id long, y int")
+    assert class_weights(labels, "y", 5) == {0: 18.0, 1: 2.0}
+    assert class_weights(labels, "y", 50) == {0: 1.8, 1: 1.0}
+    assert class_weights(labels.where("y > 1"), "y", 5) == {}
+    rng = random.Random(4)
+    text = lambda bad: " ".join(rng.choice(["tree", "stone", "light", *bad]) for _ in range(20))
+    sample = [(text([]), 0) for _ in range(60)] + [(text(["scum"]), 1) for _ in range(60)]
+    model = toxicity.fit_toxicity(sample, {0: 18.0, 1: 2.0})
+    assert model.label_model.prior == pytest.approx(0.1)
+    # Texts that say nothing of their class have the score of the table's share.
+    alike = [(text([]), x) for x in (0, 1) for _ in range(200)]
+    model = quality.fit_quality(alike, {0: 1.0, 1: 9.0})
+    scores = [1 / (1 + np.exp(-np.dot(model.measure()(t.encode()), model.weights))) for t, _ in alike[:50]]
+    assert np.mean(scores) == pytest.approx(0.9, abs=0.05)
+
+
 def test_held_out_languages(spark):
     found = entry.queries()["op4_language"](spark, FOLDER).where("held_out")
     rows = found.join(load(spark, FOLDER, "documents"), "doc_id").select("lang_pred", "lang").collect()

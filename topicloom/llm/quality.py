@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.sample import logistic, texts_of
+from topicloom.llm.sample import logistic, row_weights, texts_of
 
 #: Bytes of a dictionary, of a piece it is trained on, and the compression level.
 DICTIONARY_BYTES = 64 * 1024
@@ -58,14 +58,18 @@ def _dictionary(texts: Sequence[bytes]) -> bytes:
         return b"".join(pieces)[-DICTIONARY_BYTES:] or b" " * 8
 
 
-def fit_quality(sample: Sequence[tuple[str, int]]) -> QualityModel:
+def fit_quality(
+    sample: Sequence[tuple[str, int]], class_weights: Mapping[object, float] | None = None
+) -> QualityModel:
     """Fit on ``(text, label)`` rows; label 1 is good.
 
     Every other text of a class goes into its dictionary, the rest calibrate: a logistic regression
     of the label on the normalised difference ``(bad - good) / (bad + good)`` of the compressed
     sizes. What a difference says depends on the length of the text and on how far it shrinks at all
     (a line said a thousand times shrinks to nothing with either dictionary), so both enter the
-    calibration. With one class only the score leans to that class; without any row it is 0.5.
+    calibration. ``class_weights`` tells how many rows of the table a row of each class stands for: with
+    them the calibration has the table's share of good texts, and not that of a limited sample. With one
+    class only the score leans to that class; without any row it is 0.5.
     """
     by = {label: [t.encode() for t, x in sample if x == label] for label in (0, 1)}
     good, bad = (_dictionary(by[label][::2]) for label in (1, 0))
@@ -75,7 +79,8 @@ def fit_quality(sample: Sequence[tuple[str, int]]) -> QualityModel:
     if not rows:
         return QualityModel(good, bad, (0.0,) * len(_features(1, 1, 1)))
     features, target = np.array([f for f, _ in rows]), np.array([x for _, x in rows], float)
-    weights = logistic(features, target, ridge=1e-2)
+    each = row_weights([x for _, x in rows], class_weights)
+    weights = logistic(features, target, ridge=1e-2, each=each)
     return QualityModel(good, bad, tuple(float(w) for w in weights))
 
 

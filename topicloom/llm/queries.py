@@ -18,7 +18,7 @@ from topicloom.llm import (
     toxicity,
     warc,
 )
-from topicloom.llm.sample import crc_remainder, labelled_sample
+from topicloom.llm.sample import class_weights, crc_remainder, labelled_sample
 from topicloom.plans.base import Query
 from topicloom.sources.tables import load
 
@@ -43,7 +43,8 @@ def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = load(spark, folder, "documents"), load(spark, folder, "labels")
     seen = labels.where(crc_remainder("doc_id", 3) != 1)
     sample = labelled_sample(docs, seen, "quality", QUALITY_TEXTS, TEXT_LETTERS)
-    return _predicted(quality.score_quality(docs, quality.fit_quality(sample)), 3, 1)
+    model = quality.fit_quality(sample, class_weights(seen, "quality", QUALITY_TEXTS))
+    return _predicted(quality.score_quality(docs, model), 3, 1)
 
 
 def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,7 +52,8 @@ def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = load(spark, folder, "documents"), load(spark, folder, "labels")
     seen = labels.where(crc_remainder("doc_id", 5) != 0)
     sample = labelled_sample(docs, seen, "toxic", TOXICITY_TEXTS, TEXT_LETTERS)
-    return _predicted(toxicity.score_toxicity(docs, toxicity.fit_toxicity(sample)), 5, 0)
+    model = toxicity.fit_toxicity(sample, class_weights(seen, "toxic", TOXICITY_TEXTS))
+    return _predicted(toxicity.score_toxicity(docs, model), 5, 0)
 
 
 def fitted_language(docs: DataFrame) -> language.LanguageModel:

@@ -5,15 +5,15 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.sample import logistic
+from topicloom.llm.sample import logistic, row_weights
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -204,13 +204,19 @@ def _draw_lexicons(corpus: _Corpus, rows: Sequence[int], labels: np.ndarray) ->
     return [np.array(best[i::LEXICONS], int) for i in range(LEXICONS)]
 
 
-def fit_toxicity(sample: Sequence[tuple[str, int]]) -> ToxicityModel:
+def fit_toxicity(
+    sample: Sequence[tuple[str, int]], class_weights: Mapping[object, float] | None = None
+) -> ToxicityModel:
     """Fit on ``(text, label)`` rows; label 1 is toxic.
 
     Labels serve to draw the lexicons, to know the share of toxic texts and to place the threshold.
     What each voter is worth comes from the label model, which sees votes only; the classifier is
     trained on its posterior labels. Every third row is kept from both and only calibrates. Without
     rows of both classes every score is that of the share.
+
+    ``class_weights`` tells how many rows of the table a row of each class stands for. What a voter or
+    a word says given the truth is the same in any mix of labels, so it is learned in that of the
+    sample; the prior and the calibration, which place the threshold, have the share of the table.
     """
     labels = np.array([label for _, label in sample], float)
     if len(set(labels.tolist())) < 2:
@@ -221,13 +227,15 @@ def fit_toxicity(sample: Sequence[tuple[str, int]]) -> ToxicityModel:
     lexicons = _draw_lexicons(corpus, fitted, labels[fitted])
     votes = _votes(corpus, fitted, lexicons)
     label_model = fit_label_model(votes, float(labels.mean()))
+    share = float((row_weights(labels.tolist(), class_weights) * labels).mean())
     weights, bias = _fit_linear(corpus, fitted, label_model.posterior(votes))
     margins = [bias + weights[corpus.keys[i]].sum() for i in held]
     features = np.array([[m, _length(corpus.words[i]), 1.0] for m, i in zip(margins, held, strict=True)])
-    scale, length, shift = logistic(features, labels[held], ridge=1e-2)
+    each = row_weights(labels[held].tolist(), class_weights)
+    scale, length, shift = logistic(features, labels[held], ridge=1e-2, each=each)
     return ToxicityModel(
         tuple(frozenset(corpus.names[k] for k in lexicon) for lexicon in lexicons),
-        label_model,
+        replace(label_model, prior=share),
         {corpus.names[k]: float(weights[k] * scale) for k in np.flatnonzero(weights)},
         float(length),
         float(bias * scale + shift),
