@@ -47,6 +47,23 @@ def test_pieces_of_large_buckets(spark, monkeypatch):
     check(spark, variants(3))
 
 
+def test_bands_follow_the_similarity(spark):
+    # Pairs of similarity 0.50, 0.51, 0.32 and 0.29, each with words of its own.
+    rows = []
+    for k in range(60):
+        shift = (32, 31, 49, 53)[k % 4]
+        words = [f"p{k}w{i}" for i in range(100 + shift)]
+        rows += [(2 * k, " ".join(words[:100])), (2 * k + 1, " ".join(words[shift:]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (50, 30):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, percent).collect()}
+        assert got == brute.near_duplicates(rows, percent)
+    assert [minhash.band_rows(p) for p in (100, 85, 80, 70, 50, 30, 10)] == [6, 6, 6, 4, 2, 2, 1]
+    for percent in (0, 3):
+        with pytest.raises(ValueError):
+            minhash.near_duplicates(df, percent)
+
+
 def test_kept_and_odd_ids(spark):
     text = " ".join(f"w{i}" for i in range(30))
     other = " ".join(f"v{i}" for i in range(30))

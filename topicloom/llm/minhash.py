@@ -18,11 +18,12 @@ from topicloom.operators.skew import frequent_keys, salted_join
 #: Words of a shingle, and the similarity of a link in hundredths.
 SHINGLE = 5
 PERCENT = 85
-#: Bands and signature coordinates of a band. A pair of similarity 0.85 shares no band with
-#: probability (1 - 0.85 ** 6) ** 42 = 2e-9.
-BANDS = 42
+#: Coordinates of a signature, and of a band at most. A pair of similarity 0.85 shares none of 42 bands
+#: of 6 with probability (1 - 0.85 ** 6) ** 42 = 2e-9; lower similarities have shorter bands where
+#: the probability were above ``MISSED``.
+COORDINATES = 252
 ROWS = 6
-COORDINATES = BANDS * ROWS
+MISSED = 1e-5
 #: Size of the permuted universe, a power of two.
 UNIVERSE = 1 << 22
 #: Standard errors below the threshold from which an estimate rules a pair out.
@@ -43,6 +44,15 @@ SIGNATURE_SCHEMA = pa.schema(
 )
 
 
+def band_rows(percent: int) -> int:
+    """Coordinates of a band for pairs of this similarity: as many as miss few enough of them."""
+    for rows in range(ROWS, 0, -1):
+        missed = (1 - (percent / 100) ** rows) ** (COORDINATES // rows)
+        if COORDINATES % rows == 0 and missed <= MISSED:
+            return rows
+    raise ValueError(f"pairs of similarity {percent / 100} share too few of {COORDINATES} coordinates")
+
+
 @functools.cache
 def _circulant() -> np.ndarray:
     """The second permutation, prolonged so that every shift of it is a window.
@@ -106,7 +116,8 @@ def signatures(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return found
 
 
-def _signed(ids: pa.Array, words: Words) -> pa.RecordBatch:
+def _signed(ids: pa.Array, words: Words, rows: int) -> pa.RecordBatch:
+    number = COORDINATES // rows
     values, counts = shingle_sets(words)
     has = counts > 0
     found = signatures(values, counts)
@@ -115,12 +126,12 @@ def _signed(ids: pa.Array, words: Words) -> pa.RecordBatch:
     if len(starts):
         for i, salt in enumerate((0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)):
             digests[i, has] = np.add.reduceat(mix(values ^ np.uint64(salt)), starts)
-    bands = np.zeros((len(found), BANDS), np.uint64)
-    parts = found.reshape(len(found), BANDS, ROWS).astype(np.uint64)
-    for i in range(ROWS):
-        bands = mix(bands + parts[:, :, i] + np.arange(BANDS, dtype=np.uint64) * np.uint64(i == 0))
+    bands = np.zeros((len(found), number), np.uint64)
+    parts = found.reshape(len(found), number, rows).astype(np.uint64)
+    for i in range(rows):
+        bands = mix(bands + parts[:, :, i] + np.arange(number, dtype=np.uint64) * np.uint64(i == 0))
     sketch = (mix(found.astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
-    places = np.concatenate([[0], np.cumsum(np.where(has, BANDS, 0))]).astype(np.int32)
+    places = np.concatenate([[0], np.cumsum(np.where(has, number, 0))]).astype(np.int32)
     sizes = np.concatenate([[0], np.cumsum(np.where(has, COORDINATES, 0))]).astype(np.int32)
     return pa.RecordBatch.from_arrays(
         [
@@ -141,8 +152,9 @@ def _texts(docs: DataFrame, id: str, text: str) -> DataFrame:
     return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
 
 
-def sign(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def sign(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """Number of shingles, digest of the set, band keys and a sketch of each text."""
+    rows = band_rows(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +162,7 @@ def sign(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
             for begin, end in slices(offsets):
                 cut = offsets[begin : end + 1]
                 words = Words(data[cut[0] : cut[-1]], cut - cut[0])
-                yield _signed(batch.column(0).slice(begin, end - begin), words)
+                yield _signed(batch.column(0).slice(begin, end - begin), words, rows)
 
     return _texts(docs, id, text).mapInArrow(run, SIGNATURES)
 
@@ -325,6 +337,9 @@ def near_duplicates(
     that has the links of all of them; rows without an id are alone and kept. Other columns are not
     read.
 
+    Bands are as long as ``percent`` allows (``band_rows``); one so low that hardly any coordinate is
+    shared is an error.
+
     Equal sets are one class from the start, by a digest that is grouped with partial aggregation.
     Texts that share a band are candidates. Within a bucket the least id is tested against all
     others: linear, and enough where copies are alike. In buckets that still hold several components
@@ -333,7 +348,7 @@ def near_duplicates(
     of a group are tested where they must be, and never become rows.
     """
     texts = _texts(docs, id, text)
-    signed = written(sign(docs, id, text), "signatures")
+    signed = written(sign(docs, id, text, percent), "signatures")
     real = signed.where(F.col("id").isNotNull() & (F.col("n") > 0))
     key = ["n", "d1", "d2"]
     classes = written(
