@@ -160,6 +160,22 @@ def test_spectrum_like_a_dense_solver(spark, apart):
     assert max(found.residuals) <= spectral.TOLERANCE
 
 
+def test_spectrum_of_many_vectors(spark):
+    # A ring of nodes with weights at random; a round has 134 columns, more than half of ``COLUMNS``.
+    rng = np.random.default_rng(3)
+    n, m = 400, 130
+    w = np.zeros((n, n))
+    for step in (1, 2):
+        at = np.arange(n)
+        w[at, (at + step) % n] = w[(at + step) % n, at] = rng.random(n) + 0.1
+    degree = w.sum(1)
+    expected = np.linalg.eigvalsh(np.eye(n) - w / np.sqrt(np.outer(degree, degree)))[:m]
+    data = [(int(i), int(j), float(w[i, j])) for i, j in zip(*np.nonzero(w), strict=True)]
+    found = spectral.spectrum(spark.createDataFrame(data, "i long, j long, w double"), m, max_rounds=10)
+    assert np.allclose(found.eigenvalues, expected, atol=1e-6)
+    assert max(found.residuals) <= spectral.TOLERANCE
+
+
 def test_spectral_on_blobs(table):
     edges = neighbours.self_tuning_affinity(neighbours.knn(table, 10, "id", "embedding"))
     labels, k = spectral.spectral_clustering(edges, k=4)
