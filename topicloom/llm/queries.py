@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from topicloom.llm import (
     bpe,
     language,
+    lines,
     minhash,
     nearest,
     quality,
@@ -241,6 +242,34 @@ SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, compo
 FROM named LEFT JOIN sizes USING (doc_id)
 """
 
+
+def frequent_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents less the lines that ten or more of them share."""
+    return lines.drop_frequent_lines(load(spark, folder, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+FREQUENT_LINES_SQL = r"""
+WITH texts AS (
+    SELECT row_number() OVER () AS nr, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), places AS (
+    SELECT nr, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS place FROM texts
+), keyed AS (
+    SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM places
+), frequent AS (
+    SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT nr) >= 10
+), kept AS (
+    SELECT nr, count(*) AS n, string_agg(line, chr(10) ORDER BY place) AS text
+    FROM keyed ANTI JOIN frequent USING (key) GROUP BY nr
+)
+SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - coalesce(n, 0) AS BIGINT) AS n_dropped,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (nr)
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_quality": Query(quality_scores),
     "op2_substring": Query(repeated_words, REPEATED_WORDS_SQL),
@@ -252,4 +281,5 @@ QUERIES: dict[str, Query] = {
     "op8_warc": Query(archived_pages, ARCHIVED_PAGES_SQL),
     "op9_nearest": Query(nearest_vectors, NEAREST_VECTORS_SQL),
     "op10_spaced_seeds": Query(leaked_passages, LEAKED_PASSAGES_SQL),
+    "op13_lines": Query(frequent_lines, FREQUENT_LINES_SQL),
 }
