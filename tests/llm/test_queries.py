@@ -37,7 +37,7 @@ def digests(library, i, text):
 
 def test_every_operator_has_a_query():
     names = set(entry.queries())
-    for n in (*range(1, 11), 13):
+    for n in range(1, 14):
         assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
     assert "pipeline" in names
 

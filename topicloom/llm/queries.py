@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from topicloom.llm import (
     bpe,
+    hard_negatives,
     language,
     lines,
     minhash,
     nearest,
     quality,
     spaced_seeds,
+    spelling,
     substring,
     suffixes,
     toxicity,
@@ -243,6 +245,42 @@ FROM named LEFT JOIN sizes USING (doc_id)
 """
 
 
+def mined_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; labels of every seventh are moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = load(spark, folder, "embeddings")
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0, label=moved)
+
+
+MINED_NEGATIVES_SQL = """
+WITH vectors AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+    SELECT a.vec_id AS anchor_id, c.vec_id AS vec_id, a.label = c.label AS same,
+           CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+    FROM vectors a JOIN vectors c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id
+), positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id AS negative_id,
+       positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER best <= 5
+"""
+
+
+def spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents and the spelling each belongs to."""
+    return spelling.group_variants(load(spark, folder, "documents"))
+
+
 def frequent_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Documents less the lines that ten or more of them share."""
     return lines.drop_frequent_lines(load(spark, folder, "documents")).select(
@@ -281,5 +319,7 @@ QUERIES: dict[str, Query] = {
     "op8_warc": Query(archived_pages, ARCHIVED_PAGES_SQL),
     "op9_nearest": Query(nearest_vectors, NEAREST_VECTORS_SQL),
     "op10_spaced_seeds": Query(leaked_passages, LEAKED_PASSAGES_SQL),
+    "op11_hard_negatives": Query(mined_negatives, MINED_NEGATIVES_SQL),
+    "op12_spelling": Query(spelling_variants),
     "op13_lines": Query(frequent_lines, FREQUENT_LINES_SQL),
 }
