@@ -1,4 +1,5 @@
 import random
+from functools import partial
 
 import pytest
 from conftest import rows
@@ -6,6 +7,8 @@ from pyspark.sql import functions as F
 
 from topicloom.functions.intervals import literal_intervals
 from topicloom.operators.content import chapters_content
+from topicloom.operators import intervals as intervals_module
+from topicloom.operators import skew
 from topicloom.operators.intervals import augment_captions, interval_label, interval_table_label
 
 CHAPTERS = [(0.0, 5.0, "one"), (3.0, 10.0, "two"), (12.0, 20.0, "one")]
@@ -87,3 +90,58 @@ def test_table_without_intervals(spark, captions):
     empty = spark.createDataFrame([], "video_id int, p int, start_time double, end_time double, v string")
     found = interval_table_label(captions, empty, "video_id", "run", "c", "v", "p", default="d")
     assert found.where(F.col("c") == "d").count() == captions.count()
+
+
+def label_brute(spans, intervals):
+    return sorted(
+        (i, min(((p, v) for p, a, b, v in intervals if a <= s and e <= b), default=(0, None))[1]) for i, s, e in spans
+    )
+
+
+SPAN = "k int, id int, start double, end double"
+INTERVAL = "k int, p int, start_time double, end_time double, v string"
+
+
+@pytest.mark.parametrize("rows_per_task", [1_000_000, 40], ids=["plain", "sliced"])
+@pytest.mark.parametrize("shape", ["random", "nested", "growing", "equal ends"])
+def test_busy_keys_in_slices(spark, monkeypatch, rows_per_task, shape):
+    monkeypatch.setattr(intervals_module, "find_slices", partial(skew.find_slices, rows=rows_per_task))
+    rng = random.Random(shape)
+    n = 200
+    ends = {
+        "random": lambda i: sorted(rng.uniform(0, 50) for _ in range(2)),
+        "nested": lambda i: (50 - i / 10, 50 + i / 10),  # later ones hold all earlier ones
+        "growing": lambda i: (i / 10, 60 - i / 10),  # earlier ones hold all later ones
+        "equal ends": lambda i: (float(rng.randrange(5)), float(40 + rng.randrange(5))),
+    }[shape]
+    held = [(p, *map(float, ends(p)), f"v{p}") for p in range(n)]
+    spans = [(i, s, s + rng.choice([0.0, 0.5, 5.0])) for i, s in enumerate(rng.uniform(0, 60) for _ in range(300))]
+    rows_df = spark.createDataFrame([(1, *s) for s in spans] + [(2, 0, 1.0, 2.0)], SPAN)
+    iv_df = spark.createDataFrame([(1, *i) for i in held] + [(2, 0, 0.0, 9.0, "other")], INTERVAL)
+    found = interval_table_label(rows_df, iv_df, "k", "id", "c", "v", "p")
+    assert rows(found.where("k = 1"), "id", "c") == sorted(label_brute(spans, held), key=repr)
+    assert rows(found.where("k = 2"), "c") == [("other",)]
+
+
+def test_rows_without_key_or_ends(spark):
+    rows_df = spark.createDataFrame(
+        [(None, 1, 1.0, 2.0), (1, 2, None, 2.0), (1, 3, 1.0, None), (1, 4, 1.0, 2.0), (1, 5, 9.0, 1.0)], SPAN
+    )
+    iv_df = spark.createDataFrame([(None, 0, 0.0, 9.0, "null"), (1, 0, 0.0, 9.0, "x"), (1, 1, 5.0, 2.0, "no")], INTERVAL)
+    found = interval_table_label(rows_df, iv_df, "k", "id", "c", "v", "p", default="none")
+    assert rows(found, "id", "c") == [(1, "none"), (2, "none"), (3, "none"), (4, "x"), (5, "x")]
+
+
+def test_every_interval_holds_every_row_of_one_key(spark):
+    """100,000 rows in the same 100,000 intervals: pairs would be 1e10."""
+    n = 100_000
+    iv_df = spark.range(n).selectExpr(
+        "1 AS k", f"CAST({n} - id AS int) AS p", "CAST(id AS double) AS start_time",
+        f"CAST({4 * n} - id AS double) AS end_time", "concat('v', id) AS v",
+    )
+    rows_df = spark.range(n).selectExpr(
+        "1 AS k", "CAST(id AS int) AS id", f"CAST({n} + id AS double) AS start", f"CAST({n} + id AS double) AS end"
+    )
+    found = interval_table_label(rows_df, iv_df, "k", "id", "c", "v", "p")
+    # Earlier positions are shorter: the one of position 1 starts last and ends first, and holds all.
+    assert found.where(F.col("c") == f"v{n - 1}").count() == n

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 from typing import Any
 
 import pandas as pd
@@ -100,28 +100,75 @@ def process_json(df: DataFrame, column: str, schema: T.StructType | str) -> Data
     )
 
 
-def per_row(
-    df: DataFrame,
-    column: str,
-    make: Callable[[], Callable[[Any], Any]],
-    out: str = "value",
-    value_type: str = "string",
-) -> DataFrame:
-    """Apply a Python function to a column; adds ``out``, ``successful`` and ``error``.
+#: A value, whether it was made, and what went wrong otherwise.
+Outcome = tuple[Any, bool, str | None]
+
+
+def _failed(problem: BaseException) -> Outcome:
+    return None, False, f"{type(problem).__name__}: {problem}"
+
+
+def ask_one_by_one(function: Callable[[Any], Any], items: Sequence[Any]) -> list[Outcome]:
+    """Outcome of each item; an exception ends only its own item."""
+    results = []
+    for item in items:
+        try:
+            results.append((function(item), True, None))
+        except Exception as problem:  # the outcome is the report
+            results.append(_failed(problem))
+    return results
 
-    ``make`` builds the function, once per task. Only this column goes to Python. An exception ends
-    only its own row, and no row is asked twice by the plan.
+
+def ask_together(function: Callable[[list[Any]], Sequence[Any]], items: Sequence[Any]) -> list[Outcome]:
+    """Outcome of each item when the function takes all of them in one call.
+
+    A call that fails, or gives another number of answers than it got items, is made again for
+    either half, down to single items: one bad item among ``n`` costs about ``2 log n`` calls and no other
+    item's answer. An answer that is an exception fails its own item without another call.
+    """
+    if not items:
+        return []
+    try:
+        answers = list(function(list(items)))
+        if len(answers) != len(items):
+            raise ValueError(f"{len(answers)} answers to {len(items)} items")
+    except Exception as problem:  # the outcome is the report
+        if len(items) == 1:
+            return [_failed(problem)]
+        half = len(items) // 2
+        return ask_together(function, items[:half]) + ask_together(function, items[half:])
+    return [_failed(a) if isinstance(a, BaseException) else (a, True, None) for a in answers]
+
+
+def batches_of_like_length(lengths: Sequence[int], size: int, padded: int | None = None) -> list[list[int]]:
+    """Places of items, in batches of at most ``size`` by rising length.
+
+    A batch is as long as its longest item for each of its items; ``padded`` limits that product. An
+    item longer than that is alone.
     """
+    if size < 1:
+        raise ValueError("a batch has at least one item")
+    found: list[list[int]] = []
+    for place in sorted(range(len(lengths)), key=lambda i: (lengths[i], i)):
+        last = found[-1] if found else []
+        fits = padded is None or lengths[place] * (len(last) + 1) <= padded
+        if last and len(last) < size and fits:
+            last.append(place)
+        else:
+            found.append([place])
+    return found
+
+
+def _with_outcomes(
+    df: DataFrame, column: str, run: Callable[[], Callable[[list[Any]], list[Outcome]]], out: str, value_type: str
+) -> DataFrame:
+    """Add what ``run``'s function makes of each item. Only this column goes to Python, and no row is
+    asked twice by the plan."""
 
     def outcomes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        function = make()
+        function = run()
         for batch in batches:
-            results = []
-            for item in batch:
-                try:
-                    results.append((function(item), True, None))
-                except Exception as problem:  # the outcome columns are the report
-                    results.append((None, False, f"{type(problem).__name__}: {problem}"))
+            results = function(list(batch))
             values, good, errors = zip(*results, strict=True) if results else ((), (), ())
             yield pd.DataFrame(
                 {
@@ -146,6 +193,57 @@ def per_row(
     )
 
 
+def per_row(
+    df: DataFrame,
+    column: str,
+    make: Callable[[], Callable[[Any], Any]],
+    out: str = "value",
+    value_type: str = "string",
+) -> DataFrame:
+    """Apply a Python function to a column; adds ``out``, ``successful`` and ``error``.
+
+    ``make`` builds the function, once per task. An exception ends only its own row.
+    """
+
+    def run() -> Callable[[list[Any]], list[Outcome]]:
+        return partial(ask_one_by_one, make())
+
+    return _with_outcomes(df, column, run, out, value_type)
+
+
+def per_batch(
+    df: DataFrame,
+    column: str,
+    make: Callable[[], Callable[[list[Any]], Sequence[Any]]],
+    size: int,
+    length: Callable[[Any], int] = len,
+    padded: int | None = None,
+    out: str = "value",
+    value_type: str = "string",
+) -> DataFrame:
+    """As :func:`per_row` with a function that takes a list of items and gives a list of answers.
+
+    Items of like ``length`` go together, ``size`` at most and no more than ``padded`` in all when padded to
+    the longest. A bad item fails alone, see :func:`ask_together`. Missing items have no length and
+    go first.
+    """
+
+    def run() -> Callable[[list[Any]], list[Outcome]]:
+        function = make()
+
+        def ask(items: list[Any]) -> list[Outcome]:
+            results: list[Any] = [None] * len(items)
+            lengths = [0 if item is None else length(item) for item in items]
+            for places in batches_of_like_length(lengths, size, padded):
+                for place, outcome in zip(places, ask_together(function, [items[i] for i in places]), strict=True):
+                    results[place] = outcome
+            return results
+
+        return ask
+
+    return _with_outcomes(df, column, run, out, value_type)
+
+
 def process_all(
     df: DataFrame,
     column: str,

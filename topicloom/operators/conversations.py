@@ -25,13 +25,16 @@ from topicloom.functions.messages import (
     message,
     no_history,
 )
-from topicloom.operators.columns import per_row
+from topicloom.operators.columns import per_batch, per_row
 from topicloom.operators.skew import SLICE, Slices, as_list, find_slices
 
 #: Makes a model: called once per task with the length limit, returns a function from a list of
 #: messages (dicts of role and content) to the answer.
 ModelFactory = Callable[[int | None], Callable[[list[dict[str, str]]], str]]
 
+#: The same for a model that takes many prompts per call, each a list of messages, and gives a list of answers.
+BatchModelFactory = Callable[[int | None], Callable[[list[list[dict[str, str]]]], Sequence[str]]]
+
 # Fixed value: the longest answer a model may give unless told otherwise.
 MAX_LENGTH = 700
 
@@ -101,37 +104,53 @@ def last_message(turns: DataFrame, key: str = "conv_id") -> DataFrame:
 def batch_infer(
     df: DataFrame,
     prompt: str,
-    model: ModelFactory,
+    model: ModelFactory | BatchModelFactory,
     out: str = "answer",
     max_length: int | None = MAX_LENGTH,
     tasks: int | None = None,
+    batch_size: int | None = None,
+    batch_letters: int | None = None,
 ) -> DataFrame:
     """Ask the model for every row; adds the answer, ``successful`` and ``error``.
 
     The model is made once per task. ``prompt`` holds messages, or a text that is sent as the only
     user message. A failure ends only its own row. ``tasks`` spreads the rows over as many calls.
+
+    With ``batch_size`` the model takes a list of prompts per call and answers with a list. Prompts of
+    like length go together; ``batch_letters`` limits the letters of a call, its prompts counted as long
+    as the longest. A call that fails is made again for its halves, so that one bad prompt fails alone.
     """
     is_text = isinstance(df.schema[prompt].dataType, T.StringType)
 
-    def make() -> Callable[[Any], str]:
-        chat = model(max_length)
-
-        def ask(value: Any) -> str:
-            if is_text:
-                return chat([{"role": USER, "content": value}])
-            return chat([{"role": m["role"], "content": m["content"]} for m in value])
+    def messages(value: Any) -> list[dict[str, str]]:
+        if is_text:
+            return [{"role": USER, "content": value}]
+        return [{"role": m["role"], "content": m["content"]} for m in value]
 
-        return ask
+    def letters(value: Any) -> int:
+        return sum(len(m["content"] or "") for m in messages(value))
 
     spread = df if tasks is None else df.repartition(tasks)
-    return per_row(spread, prompt, make, out)
+    if batch_size is None:
+
+        def make() -> Callable[[Any], str]:
+            chat = model(max_length)
+            return lambda value: chat(messages(value))
+
+        return per_row(spread, prompt, make, out)
+
+    def make_batches() -> Callable[[list[Any]], Sequence[Any]]:
+        chat = model(max_length)
+        return lambda values: chat([messages(v) for v in values])
+
+    return per_batch(spread, prompt, make_batches, batch_size, letters, batch_letters, out)
 
 
 @dataclass(frozen=True)
 class Assistant:
     """What a conversation step needs to know about the one who answers."""
 
-    model: ModelFactory
+    model: ModelFactory | BatchModelFactory
     system: str
     user: str = PASS_THROUGH
     answer: str = PASS_THROUGH
@@ -141,6 +160,8 @@ class Assistant:
     trigger: str = PROACTIVE_TRIGGER
     max_length: int | None = MAX_LENGTH
     tasks: int | None = None
+    batch_size: int | None = None
+    batch_letters: int | None = None
 
     def system_message(self, params: dict[str, Column] | None = None) -> Column:
         return fill_template(self.system, SYSTEM, params or self.system_params)
@@ -150,8 +171,9 @@ def _asked(state: DataFrame, assistant: Assistant, prompt: Column, history: str)
     """Send a prompt; the answer goes to the history and to ``response``."""
     asked = state.withColumn("__prompt", prompt.cast(HISTORY))
     answered = batch_infer(
-        asked, "__prompt", assistant.model, "__answer", assistant.max_length, assistant.tasks
-    )
+        asked, "__prompt", assistant.model, "__answer", assistant.max_length, assistant.tasks,
+        assistant.batch_size, assistant.batch_letters,
+    )
     reply = fill_template(assistant.answer, ASSISTANT, {"message": F.col("__answer")})
     # A failed call leaves the history as it was.
     grown = F.when(F.col("successful"), F.concat(F.col(history), F.array(reply))).otherwise(F.col(history))

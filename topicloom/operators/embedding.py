@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA, StandardScaler
+from pyspark.ml.feature import PCA, PCAModel, StandardScaler, StandardScalerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +50,38 @@ def embed(df: DataFrame, text: str, out: str = "embedding", normalize: bool = Tr
     return computed(raw, out, l2_normalize(F.col(out))) if normalize else raw
 
 
+@dataclass(frozen=True)
+class Components:
+    """Principal components of some vectors, to be applied to these and to others."""
+
+    centred: StandardScalerModel
+    model: PCAModel
+    signs: tuple[float, ...]
+
+    def transform(self, df: DataFrame, column: str = "embedding", out: str = "reduced") -> DataFrame:
+        """Add the coordinates of each row along the components."""
+        raw = self.model.transform(self.centred.transform(df.withColumn("__v", array_to_vector(column))))
+        raw = raw.withColumn("__p", vector_to_array("__p"))
+        flipped = F.zip_with("__p", F.array(*[F.lit(s) for s in self.signs]), lambda x, s: x * s)
+        return computed(raw, out, flipped).drop("__v", "__centred", "__p")
+
+
+def fit_components(df: DataFrame, column: str = "embedding", k: int = 2) -> Components:
+    """Principal components of the centred vectors.
+
+    The driver holds one matrix of dimensions squared. The sign of a component is chosen so that
+    its largest loading is positive.
+    """
+    vectors = df.withColumn("__v", array_to_vector(column))
+    centred = StandardScaler(
+        inputCol="__v", outputCol="__centred", withMean=True, withStd=False
+    ).fit(vectors)
+    model = PCA(k=k, inputCol="__centred", outputCol="__p").fit(centred.transform(vectors))
+    loadings = model.pc.toArray()
+    signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])])
+    return Components(centred, model, tuple(float(s) for s in signs))
+
+
 def reduce(
     df: DataFrame,
     column: str = "embedding",
@@ -56,26 +89,12 @@ def reduce(
     k: int = 2,
     out: str = "reduced",
 ) -> DataFrame:
-    """Principal components of the centred vectors, or the vectors themselves ("identity").
-
-    The driver holds one matrix of dimensions squared. The sign of a component is chosen so that
-    its largest loading is positive.
-    """
+    """Coordinates along the principal components, or the vectors themselves ("identity")."""
     if method == "identity":
         return df.withColumn(out, F.col(column))
     if method != "pca":
         raise ValueError(f"unknown method {method!r}")
-    vectors = df.withColumn("__v", array_to_vector(column))
-    centre = StandardScaler(
-        inputCol="__v", outputCol="__centred", withMean=True, withStd=False
-    ).fit(vectors)
-    centred = centre.transform(vectors)
-    model = PCA(k=k, inputCol="__centred", outputCol="__p").fit(centred)
-    loadings = model.pc.toArray()
-    signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])])
-    raw = model.transform(centred).withColumn("__p", vector_to_array("__p"))
-    flipped = F.zip_with("__p", F.array(*[F.lit(float(s)) for s in signs]), lambda x, s: x * s)
-    return computed(raw, out, flipped).drop("__v", "__centred", "__p")
+    return fit_components(df, column, k).transform(df, column, out)
 
 
 def project_2d(

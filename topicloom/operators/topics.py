@@ -41,23 +41,28 @@ DEFAULT_K_RANGE = range(2, 20)
 # --- words -------------------------------------------------------------------------------------
 
 
-def representative_documents(
-    df: DataFrame,
-    scores: DataFrame,
-    id: str = "doc_id",
-    text: str = "text",
-    topic: str = "topic",
-    n: int = REPRESENTATIVE_DOCUMENTS,
-    reduce_frequent_words: bool = True,
-    **options: Any,
+def document_terms(
+    df: DataFrame, id: str = "doc_id", text: str = "text", extra: Sequence[str] = ("topic",), **options: Any
 ) -> DataFrame:
-    """``(topic, id, similarity)``: the documents closest to their topic's class TF-IDF vector.
+    """``(id, extra ..., term, tf, __total)``: what scores and representatives of topics are made of.
 
-    A document is weighted like a class: share of its terms times the same inverse frequencies.
-    All documents of a topic take part.
+    Written once, as texts are costly to cut into n-grams.
+    """
+    return checkpoint(count_vectorize(df, [id, *extra], text, total="__total", **options))
+
+
+def topic_counts(terms: DataFrame, topic: str = "topic") -> DataFrame:
+    """``(topic, term, n)`` from the terms of documents, combined within each task first."""
+    return terms.groupBy(topic, "term").agg(F.sum("tf").alias("n"))
+
+
+def similarities(placed: DataFrame, scores: DataFrame, id: str, topic: str, reduce_frequent_words: bool) -> DataFrame:
+    """``(topic, id, similarity)``: cosine of each document with the class TF-IDF vector of its topic.
+
+    ``placed`` has ``(id, topic, term, tf, __total)``. A document is weighted like a class: share of its
+    terms times the same inverse frequencies.
     """
     terms = scores.select(topic, "term", "score", "idf")
-    placed = count_vectorize(df, [id, topic], text, total="__total", **options)
     # The count in the class is no less than the number of documents that have the term.
     hot = frequent_keys(scores, [topic, "term"], weight="n")
     joined = salted_join(placed, terms, [topic, "term"], id, hot)
@@ -67,9 +72,27 @@ def representative_documents(
     )
     squares = terms.groupBy(topic).agg(F.sum(F.col("score") * F.col("score")).alias("__class"))
     similarity = F.col("__dot") / F.sqrt(F.col("__own") * F.col("__class"))
-    similar = attach(sums, squares, topic, "inner").select(
-        topic, id, F.round(similarity, 9).alias("similarity")
-    )
+    return attach(sums, squares, topic, "inner").select(topic, id, F.round(similarity, 9).alias("similarity"))
+
+
+def representative_documents(
+    df: DataFrame,
+    scores: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    topic: str = "topic",
+    n: int = REPRESENTATIVE_DOCUMENTS,
+    reduce_frequent_words: bool = True,
+    terms: DataFrame | None = None,
+    **options: Any,
+) -> DataFrame:
+    """``(topic, id, similarity)``: the documents closest to their topic's class TF-IDF vector.
+
+    All documents of a topic take part. ``terms`` are those of the documents, where they are at hand.
+    """
+    if terms is None:
+        terms = count_vectorize(df, [id, topic], text, total="__total", **options)
+    similar = similarities(terms, scores, id, topic, reduce_frequent_words)
     best = Window.partitionBy(topic).orderBy(F.desc("similarity"), id)
     ranked = similar.withColumn("__rank", F.row_number().over(best))
     return ranked.where(F.col("__rank") <= n).drop("__rank")
@@ -92,7 +115,7 @@ def keyword_words(
     similarity is the cosine between word vector and mean, in the space of the document vectors.
     """
     words = top_terms(scores, topic, candidates).select(topic, "term")
-    chosen = df.select(id, F.col(vector).alias("__v")).join(representatives.select(topic, id), id)
+    chosen = representatives.select(topic, id).join(df.select(id, F.col(vector).alias("__v")), id)
     means = (
         chosen.select(topic, F.posexplode("__v").alias("__at", "__x"))
         .groupBy(topic, "__at")
@@ -347,22 +370,15 @@ def score_words(
 
 
 def describe(
-    documents: DataFrame, scores: DataFrame, settings: dict[str, Any]
+    documents: DataFrame, scores: DataFrame, near: DataFrame, settings: dict[str, Any]
 ) -> DataFrame:
-    """``(topic, main, <aspect> ...)`` for all topics.
+    """``(topic, main, <aspect> ...)`` for all topics, ``near`` being their representative documents.
 
     Word tables have at most the number of keywords per topic and are written once, as several
     aspects build on the same ones.
     """
     id, embedding = settings["id"], settings["embedding"]
     table = word_lists(top_terms(scores, "topic", MAIN_WORDS), out="main")
-    near = checkpoint(
-        representative_documents(
-            documents, scores, id, settings["text"],
-            reduce_frequent_words=settings["reduce_frequent_words"],
-            sizes=settings["sizes"], stop_words=settings["stop_words"],
-        )
-    )
     made: dict[Any, DataFrame] = {}
     for name, aspect in settings["aspects"].items():
         wanted = (aspect.keywords, aspect.diversity, aspect.diverse_words)
@@ -435,9 +451,14 @@ def update_topics(model: TopicModel, **changes: Any) -> TopicModel:
     Takes ``stop_words``, ``sizes``, ``reduce_frequent_words``, ``aspects`` and ``generator``.
     """
     settings = {**model.settings, **changes}
-    words = ("text", "sizes", "stop_words", "reduce_frequent_words")
-    scores = checkpoint(score_words(model.documents, *[settings[name] for name in words]))
-    descriptions = checkpoint(describe(model.documents, scores, settings))
+    id, reduced = settings["id"], settings["reduce_frequent_words"]
+    options = {name: settings[name] for name in ("sizes", "stop_words")}
+    terms = document_terms(model.documents, id, settings["text"], **options)
+    scores = checkpoint(class_tfidf(checkpoint(topic_counts(terms)), "topic", reduced))
+    near = representative_documents(
+        model.documents, scores, id, reduce_frequent_words=reduced, terms=terms
+    )
+    descriptions = checkpoint(describe(model.documents, scores, checkpoint(near), settings))
     return replace(model, scores=scores, descriptions=descriptions, settings=settings)
 
 

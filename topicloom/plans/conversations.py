@@ -108,6 +108,26 @@ def batch_infer(spark: SparkSession, folder: str) -> DataFrame:
     return chats.batch_infer(asked, "prompt", picky, max_length=100).drop("prompt")
 
 
+def batch_infer_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """The same model asked for up to 16 turns of like length per call; one turn of the system fails a
+    whole call."""
+
+    def picky(max_length: int | None) -> Callable[[list[list[dict[str, str]]]], list[str]]:
+        def answer(prompts: list[list[dict[str, str]]]) -> list[str]:
+            texts = [p[-1]["content"] for p in prompts]
+            if any(t.startswith("system|") for t in texts):
+                raise ValueError("not for me")
+            return [t[:max_length][::-1] for t in texts]
+
+        return answer
+
+    asked = _turns(spark, folder).select(
+        "conv_id", "turn", F.concat_ws("|", "role", "text").alias("prompt")
+    )
+    found = chats.batch_infer(asked, "prompt", picky, max_length=100, batch_size=16, batch_letters=20_000)
+    return found.drop("prompt")
+
+
 BATCH_INFER_SQL = """
 SELECT conv_id, turn,
        CASE WHEN role <> 'system' THEN reverse(substr(role || '|' || text, 1, 100)) END AS answer,
@@ -247,6 +267,7 @@ QUERIES = {
         "SELECT conv_id, arg_max(text, turn) AS text FROM conversations"
         " WHERE role = 'assistant' GROUP BY conv_id",
     ),
+    "batch_infer_lists": Query(batch_infer_lists, BATCH_INFER_SQL),
     "batch_infer": Query(batch_infer, BATCH_INFER_SQL),
     "prime": Query(primed, PRIMED_SQL),
     "proactive": Query(proactive, PROACTIVE_SQL),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from topicloom.plans import captions, conversations, tables, text, topics, vectors
+from topicloom.plans import captions, conversations, soft_topics, tables, text, topics, vectors
 from topicloom.plans.base import Query
 
 QUERIES: dict[str, Query] = {
@@ -11,5 +11,6 @@ QUERIES: dict[str, Query] = {
     **text.QUERIES,
     **vectors.QUERIES,
     **topics.QUERIES,
+    **soft_topics.QUERIES,
     **conversations.QUERIES,
 }

@@ -38,8 +38,11 @@ assigned AS (SELECT doc_id, text, source AS video_title, {TOPIC_SQL} AS topic FR
 
 
 def _scores(docs: DataFrame) -> DataFrame:
-    # Written once: the counts are read for terms, totals and their mean, the scores several times.
-    counts = checkpoint(class_counts(docs, "topic", stop_words=STOP_WORDS))
+    return _scored(checkpoint(class_counts(docs, "topic", stop_words=STOP_WORDS)))
+
+
+def _scored(counts: DataFrame) -> DataFrame:
+    # Counts are written before: they are read for terms, totals and their mean. So are the scores.
     scored = class_tfidf(counts, "topic", reduce_frequent_words=True)
     return checkpoint(scored.withColumn("score", F.round("score", 9)))
 
@@ -205,10 +208,13 @@ REPRESENTATIVE_CTE = f"""{TOPIC_WORDS_CTE}, rounded AS (
 
 
 def _keywords(spark: SparkSession, folder: str) -> DataFrame:
-    docs = embed(assigned(spark, folder, text=True), "text")
-    scores = _scores(docs)
-    near = topics.representative_documents(docs, scores, stop_words=STOP_WORDS)
-    return topics.keyword_words(docs, scores, near)
+    docs = assigned(spark, folder, text=True)
+    terms = topics.document_terms(docs, stop_words=STOP_WORDS)
+    scores = _scored(checkpoint(topics.topic_counts(terms)))
+    near = checkpoint(topics.representative_documents(docs, scores, terms=terms))
+    # Only representatives are embedded: a few documents per topic.
+    chosen = docs.join(near.select("doc_id").distinct(), "doc_id", "left_semi")
+    return topics.keyword_words(embed(chosen, "text"), scores, near)
 
 
 def keyword_words(spark: SparkSession, folder: str) -> DataFrame:
