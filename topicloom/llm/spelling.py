@@ -14,10 +14,9 @@ out is a count and a best word per word and block, never pairs.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,27 +34,37 @@ DROPPED = 97
 #: Letters of an end that words are filed by, at most.
 END = 3
 #: Words of a bucket that are wanted, and words of a piece at most.
-BUCKET_WORDS = 4_096
-PIECE_WORDS = 16_384
+BUCKET_WORDS = 2_048
+PIECE_WORDS = 4_096
 #: 64-bit numbers of the sets that words carry along at a time.
 STRIP = 1 << 15
 
-# What a run of letters is, and the letters that are lowered.
-RUN = re.compile("[A-Za-zÀ-ÿ]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
+# Letters of a run are A-Z, a-z and U+00C0 to U+00FF, of which A-Z are lowered. In Latin-1
+# these are single bytes, and what is no letter parts runs, as does everything that Latin-1 lacks.
+_RUNS = bytes(
+    c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 0xC0 else 32 for c in range(256)
+)
 
 _COUNTED = "word string, n long"
 _FOUND = "word string, n_near long, best long, form string"
 
 
-def occurrences(id: object, text: str, dropped: int = DROPPED) -> Counter[str]:
-    """Words of a text and how often they occur, after a letter was taken from one in ``dropped``."""
-    found: Counter[str] = Counter()
-    for run, n in Counter(RUN.findall(text.translate(_LOWER))).items():
-        h = zlib.crc32(f"{id}:{run}".encode())
-        at = h % len(run)
-        found[run[:at] + run[at + 1 :] if h % dropped == 0 else run] += n
-    return found
+def runs_of(text: str) -> list[bytes]:
+    """Lowered runs of letters of a text, in Latin-1."""
+    return text.encode("latin-1", "replace").translate(_RUNS).split(b" ")
+
+
+def shortened(id: object, runs: Iterable[bytes], dropped: int = DROPPED) -> Iterator[tuple[bytes, bytes]]:
+    """The distinct runs that lose a letter in the text of this id, and what is left of them.
+
+    The crc32 is that of UTF-8 ``id:run``.
+    """
+    start = zlib.crc32(f"{id}:".encode())
+    for run in runs:
+        h = zlib.crc32(run if run.isascii() else run.decode("latin-1").encode(), start)
+        if h % dropped == 0 and run:
+            at = h % len(run)
+            yield run, run[:at] + run[at + 1 :]
 
 
 def count_words(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -63,13 +72,16 @@ def count_words(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: Counter[str] = Counter()
+            counts: Counter[bytes] = Counter()
             for i, value in zip(*batch.columns, strict=True):
-                counts.update(occurrences(i.as_py() or "", value.as_py() or ""))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
-                names=["word", "n"],
-            )
+                here = Counter(runs_of(value.as_py() or ""))
+                counts.update(here)
+                for whole, left in shortened(i.as_py() or "", here):
+                    counts[whole] -= here[whole]
+                    counts[left] += here[whole]
+            del counts[b""]
+            words = pa.array([w.decode("latin-1") for w in counts], pa.string())
+            yield pa.RecordBatch.from_arrays([words, pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
     rows = docs.select(F.col(id).cast("string").alias("id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, _COUNTED).groupBy("word").agg(F.sum("n").alias("n"))
@@ -198,7 +210,7 @@ def near_words(words: DataFrame) -> DataFrame:
     key = ["least", "first", "bucket"]
     filed = filed.withColumn("bucket", F.pmod(F.xxhash64("end"), wanted).cast("int"))
     filed = written(filed.select(*key, "k", "word", "n"), "filed_words")
-    # At most one bucket in 16,384 filed words is as large as that.
+    # Buckets larger than a piece: at most one in so many filed words.
     large = filed.groupBy(*key).count().where(F.col("count") > PIECE_WORDS)
     pieces = F.ceil(F.col("count") / PIECE_WORDS).cast("int").alias("pieces")
     large = written(large.select(*key, pieces), "large_buckets")
