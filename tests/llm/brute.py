@@ -84,13 +84,13 @@ def near_duplicates(rows, percent=85):
     return {i: (len(held), root(i)) for i, held in sets.items()}
 
 
-def leaks(rows, items, window=13, substituted=2, shortest=8):
+def leaks(rows, items, window=13, substituted=2):
     """{(id, item)} of (id, text) rows and (item, text) rows."""
     found = set()
     split = [(i, TOKEN.findall((t or "").lower())) for i, t in rows]
     for item, text in items:
         want = TOKEN.findall((text or "").lower())
-        if len(want) < shortest:
+        if not want:
             continue
         width = min(window, len(want))
         least = len(want) if len(want) < window else window - substituted

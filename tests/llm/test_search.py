@@ -123,7 +123,7 @@ def test_empty_pages(spark):
 def passages():
     rng = random.Random(4)
     words = [f"w{i}" for i in range(400)] + ["the", "of"] * 100
-    items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([5, 8, 12, 13, 20, 40])))) for i in range(30)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([1, 3, 5, 7, 8, 12, 13, 20, 40])))) for i in range(30)]
     items += [(None, items[0][1]), (50, None), (51, ""), (52, items[1][1]), (5, items[5][1])]
     rows = []
     for k in range(150):
@@ -175,3 +175,32 @@ def test_passages_need_no_python(spark):
     plan = spaced_seeds.find_passages(docs, spark.createDataFrame(items, "item_id long, text string"))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "NestedLoop") if x in text]
+
+
+def test_very_long_items_and_texts(spark):
+    """The time of a comparison grows with its words: 20,000 of them are a matter of seconds."""
+    words = [f"w{i}" for i in range(20_000)]
+    changed = [w if i % 40 else "changed" for i, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, "before " + " ".join(changed)), (3, " ".join(words[5000:5013])), (4, "w1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(words)), (8, "w1 w2")], "item_id long, text string")
+    found = spaced_seeds.find_passages(docs, bench)
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    # What agrees is made once; were it written into the windows, they would make it at every place.
+    assert text.count("zip_with(") == 1
+    got = {(r.doc_id, r.item_id): (r.start, r.matched, r.aligned) for r in found.collect()}
+    assert got[1, 7] == (0, 20_000, 20_000) and got[2, 7] == (1, 19_500, 20_000)
+    assert got[3, 7] == (0, 13, 13) and got[1, 8] == (1, 2, 2) and (4, 7) not in got and (4, 8) not in got
+
+
+@pytest.mark.parametrize("seeds", [10**6, 0], ids=["broadcast", "shuffle"])
+def test_rows_without_an_id_meet_their_own_hits_only(spark, monkeypatch, seeds):
+    monkeypatch.setattr(spaced_seeds, "BROADCAST_SEEDS", seeds)
+    passage = " ".join(f"p{i}" for i in range(15))
+    rows = [(None, f"{passage} {i}") for i in range(300)] + [(None, "clean"), (5, passage), (5, "clean too")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, passage), (2, "p3 p4")], "item_id long, text string")
+    found = spaced_seeds.find_passages(docs, bench).collect()
+    assert sorted(((r.doc_id, r.item_id, r.start) for r in found), key=repr) == [
+        (5, 1, 0), (5, 2, 3), (None, 1, 0), (None, 2, 3)
+    ]

@@ -167,7 +167,7 @@ WITH texts AS (
     FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS place FROM texts)
 ), item_grams AS (
     SELECT item_id, place, array_to_string(words[place:place + 2], ' ') AS gram
-    FROM (SELECT item_id, words, unnest(range(1, len(words) - 1)) AS place FROM items WHERE len(words) >= 8)
+    FROM (SELECT item_id, words, unnest(range(1, len(words) - 1)) AS place FROM items WHERE len(words) >= 13)
 ), shifts AS (  -- thirteen words of which two differ hold three in a row that agree
     SELECT DISTINCT doc_id, item_id, t.place - i.place AS shift
     FROM text_grams t JOIN item_grams i USING (gram)
@@ -176,20 +176,28 @@ WITH texts AS (
            greatest(1, 1 - shift) AS first, least(len(i.words), len(t.words) - shift) AS last
     FROM shifts JOIN texts t USING (doc_id) JOIN items i USING (item_id)
 ), agreed AS (
-    SELECT doc_id, item_id, shift, first, last, len(item_words) AS size,
+    SELECT doc_id, item_id, shift, first, last,
            list_transform(range(first, last + 1), lambda j:
                CASE WHEN item_words[j] = words[j + shift] THEN 1 ELSE 0 END) AS agree
     FROM opposite
 ), windows AS (
-    SELECT *, list_filter(range(1, len(agree) - least(13, size) + 2), lambda s:
-               list_sum(agree[s:s + least(13, size) - 1]) >=
-                   CASE WHEN size < 13 THEN size ELSE 11 END) AS starts
+    SELECT *, list_filter(range(1, len(agree) - 13 + 2), lambda s: list_sum(agree[s:s + 12]) >= 11) AS starts
     FROM agreed
+), sizes AS (  -- shorter items stand in the text as a whole and unchanged
+    SELECT DISTINCT len(words) AS size FROM items WHERE len(words) BETWEEN 1 AND 12
+), runs AS (
+    SELECT doc_id, size, words, unnest(range(1, len(words) - size + 2)) AS place FROM texts, sizes
+), whole AS (
+    SELECT doc_id, item_id, size, min(place) - 1 AS start
+    FROM runs JOIN items i ON size = len(i.words) AND runs.words[place:place + size - 1] = i.words
+    GROUP BY doc_id, item_id, size
 )
 SELECT doc_id, item_id, CAST(min(starts[1] - 1 + first - 1 + shift) AS BIGINT) AS start,
        CAST(max(list_sum(agree)) AS BIGINT) AS matched,
        CAST(max_by(len(agree), list_sum(agree) * 1000000 + len(agree)) AS BIGINT) AS aligned
 FROM windows WHERE len(starts) > 0 GROUP BY doc_id, item_id
+UNION ALL
+SELECT doc_id, item_id, CAST(start AS BIGINT), CAST(size AS BIGINT), CAST(size AS BIGINT) FROM whole
 """
 
 REPEATED_WORDS_SQL = r"""
