@@ -67,9 +67,9 @@ def brute_pipeline(model, docs, items, library):
     """The stages one after another; also the ids that each one leaves."""
     left = []
     labelled = language._label(model, [t or "" for _, t in docs], language.SWITCH)
-    docs = [d for d, (lang, score, _) in zip(docs, labelled, strict=True) if lang != "und" and score >= 0.5]
+    docs = [d for d, (lang, _, _) in zip(docs, labelled, strict=True) if lang != "und"]
     left.append({i for i, _ in docs})
-    groups = brute.near_duplicates(docs)
+    groups = brute.near_duplicates(docs, 80)
     docs = [d for d in docs if groups[d[0]][1] == d[0]]
     left.append({i for i, _ in docs})
     cut = {i: (n, gone, kept.decode()) for i, n, gone, kept in brute.repeated_words(docs)}
@@ -124,3 +124,35 @@ def test_stages_take_odd_rows(spark, name):
     else:
         assert len(got) == len(ODD)
     assert stage(spark, docs.where("doc_id > 99"), FOLDER).collect() == []
+
+
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    texts = [" ".join(f"{w}{i}" for i in range(30)) for w in "abc"]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1] + " end"), (2, texts[1]), (3, texts[2]), (None, texts[2])]
+    docs = spark.createDataFrame(
+        [(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"
+    )
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    found = sorted(((r.doc_id, r.text) for r in stage(spark, docs, FOLDER).collect()), key=repr)
+    assert found == sorted([(1, texts[0]), (1, texts[1]), (3, texts[2]), (None, texts[2])], key=repr)
+
+
+def test_texts_of_several_languages_stay(spark):
+    seen = load(spark, FOLDER, "documents").where("lang IS NOT NULL")
+    parts = [r.text for r in seen.groupBy("lang").agg(F.max(F.substring("text", 1, 400)).alias("text")).collect()]
+    mixed = spark.createDataFrame([(10**6, " ".join(parts))], "doc_id long, text string")
+    docs = seen.unionByName(mixed, allowMissingColumns=True)
+    stage = dict(corpus_pipeline.STAGES)["language"]
+    assert stage(spark, docs, FOLDER).where("doc_id = 1000000").count() == 1
+
+
+def test_words_that_powers_of_one_number_confuse(spark):
+    """The word of 1,024 letters and its complement of which such hashes agree in all bits."""
+    bits = [i.bit_count() % 2 for i in range(1024)]
+    one, other = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    start = " ".join(f"w{i}" for i in range(12))
+    schema = "doc_id long, text string"
+    docs = spark.createDataFrame([(1, f"{start} {one}"), (2, f"{start} {other}")], schema)
+    assert queries.substring.remove_repeats(docs).where("n_removed > 0").count() == 0
+    alone = spark.createDataFrame([(1, one), (2, other)], schema)
+    assert queries.minhash.near_duplicates(alone).where("kept").count() == 2

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +39,9 @@ TABLE_ROWS = 1 << 18
 #: the number of languages.
 LETTERS = 1 << 21
 PATH_LETTERS = 1 << 24
+
+#: Rows whose texts are Python strings at a time.
+PART_ROWS = 2_048
 _MIX = np.uint32(0x9E3779B1)
 
 
@@ -272,33 +276,39 @@ def label_languages(
     ``keep`` names some: then a struct ``row`` of them follows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    within = keep is not None and text in keep
     span = pa.struct(
         [("first_word", pa.int64()), ("words", pa.int64()), ("letters", pa.int64()), ("lang", pa.string())]
     )
 
     def labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            column = pc.struct_field(batch.column(1), text) if within else batch.column(1)
             held = PATH_LETTERS // max(1, len(shared.value.languages))
-            found = [x for run in _groups(texts, held) for x in _label(shared.value, run, penalty)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([x[0] for x in found], pa.string()),
-                    pa.array([x[1] for x in found], pa.float64()),
-                    pa.array([x[2] for x in found], pa.list_(span)),
-                    *batch.columns[2:],
-                ],
-                names,
-            )
-
+            # Texts become Python strings, and spans Python lists, for a part of the batch at a time.
+            for begin in range(0, len(batch), PART_ROWS):
+                part = batch.slice(begin, PART_ROWS)
+                texts = [t or "" for t in column.slice(begin, PART_ROWS).to_pylist()]
+                found = [x for run in _groups(texts, held) for x in _label(shared.value, run, penalty)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        pa.array([x[0] for x in found], pa.string()),
+                        pa.array([x[1] for x in found], pa.float64()),
+                        pa.array([x[2] for x in found], pa.list_(span)),
+                        *part.columns[1 if within else 2 :],
+                    ],
+                    names,
+                )
+
+    # Where the kept columns hold the text, it travels once.
     rows = docs.select(
         F.col(id).alias("id"),
-        F.col(text).alias("text"),
+        *([] if within else [F.col(text).alias("text")]),
         *([] if keep is None else [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")]),
     )
     found = T.StructType.fromDDL(f"lang_pred string, score double, spans {SPANS}").fields
-    kind = T.StructType([rows.schema["id"], *found, *rows.schema.fields[2:]])
+    kind = T.StructType([rows.schema["id"], *found, *rows.schema.fields[1 if within else 2 :]])
     names = kind.names
     labelled = rows.mapInArrow(labels, kind)
     return labelled.withColumnRenamed("id", id)

@@ -43,6 +43,16 @@ def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return _power_table(1 << max(20, int(size).bit_length()))
 
 
+@functools.cache
+def _multiplier_table(size: int) -> np.ndarray:
+    return mix(np.arange(size, dtype=np.uint64) + np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+
+
+def _multipliers(size: int) -> np.ndarray:
+    """Odd numbers without pattern, at least ``size`` of them."""
+    return _multiplier_table(1 << max(20, int(size).bit_length()))
+
+
 class Hasher:
     """Hashes of substrings of one buffer, each in constant time."""
 
@@ -106,7 +116,11 @@ class Words:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
     def hashes(self, lower: bool = False) -> np.ndarray:
-        """A hash of each word; ``lower`` takes A-Z as a-z."""
+        """A hash of each word; ``lower`` takes A-Z as a-z.
+
+        Every place of a word has a multiplier of its own, drawn without pattern: powers of one number
+        would let long words be built that agree in all bits, whatever that number is.
+        """
         found = np.empty(len(self.starts), np.uint64)
         begin = 0
         while begin < len(found):
@@ -116,8 +130,14 @@ class Words:
             part = self.data[base : self.ends[end - 1]]
             if lower:
                 part = part + np.where((part >= 65) & (part <= 90), np.uint8(32), np.uint8(0))
-            hasher = Hasher(part)
-            found[begin:end] = hasher(self.starts[begin:end] - base, self.ends[begin:end] - base)
+            starts, ends = self.starts[begin:end] - base, self.ends[begin:end] - base
+            place = np.zeros(len(part), np.int64)
+            place[starts] = starts
+            place = np.arange(len(part)) - np.maximum.accumulate(place)
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(_LETTERS[part] * _multipliers(len(part))[place], out=sums[1:])
+            sizes = (ends - starts).astype(np.uint64)
+            found[begin:end] = mix(sums[ends] - sums[starts] + sizes * np.uint64(0x9E3779B97F4A7C15))
             begin = end
         return found
 
