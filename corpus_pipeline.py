@@ -9,44 +9,54 @@ from pyspark.sql import functions as F
 
 from topicloom.llm import bpe, language, minhash, queries, spaced_seeds, substring
 from topicloom.llm.store import written
+from topicloom.operators.skew import frequent_keys, salted_join
 from topicloom.sources.tables import load
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Share of the letters that the main language of a document must have.
-LEAST_SHARE = 0.5
+#: Hundredths of similarity from which documents are near-duplicates.
+SIMILARITY = 80
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language the model knows.
 
     The model is fitted on the labelled documents of the stage's input. A document goes if its text is
-    null or has no letter, or if no language has half of its letters. Where nothing is labelled there
-    is no model, and every document with a letter stays.
+    null or has no letter. Texts of several languages stay: every span of theirs is in one that is known.
+    Where nothing is labelled there is no model, and every document with a letter stays.
     """
     model = queries.fitted_language(docs)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     labelled = language.label_languages(docs, model, keep=docs.columns)
-    good = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE)
-    return labelled.where(good).select("row.*")
+    return labelled.where(F.col("lang_pred") != language.UNKNOWN).select("row.*")
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one of the smallest id.
 
-    Of rows that share this id the first by text stays. Documents without words or without an id are
-    in no group and all stay.
+    Rows whose id is repeated are documents of their own, known by a hash of id and text; of those of the
+    smallest id in a group the first by its columns stays.
+    Documents without words or without an id are in no group and all stay.
     """
-    kept = minhash.near_duplicates(docs).where("kept")
-    ids = written(kept.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows")), "kept")
-    rest = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")))
-    repeated = (F.col("__rows") > 1) & F.col("__id").isNotNull()
-    if not ids.where(repeated).take(1):
-        return rest.select(docs.columns)
-    order = Window.partitionBy("__id").orderBy("text", F.xxhash64(*docs.columns))
-    first = rest.where(repeated).withColumn("__rank", F.row_number().over(order)).where("__rank = 1")
-    return rest.where(~repeated).select(docs.columns).unionByName(first.select(docs.columns))
+    several = docs.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows"))
+    several = written(several.where("__rows > 1 AND __id IS NOT NULL").select("__id"), "repeated_ids")
+    if not several.take(1):
+        kept = minhash.near_duplicates(docs, SIMILARITY).where("kept AND doc_id IS NOT NULL")
+        ids = written(kept.select(F.col("doc_id").alias("__id")), "kept")
+        stay = docs.join(ids, F.col("doc_id") == F.col("__id"), "left_semi")
+        return stay.unionByName(docs.where("doc_id IS NULL"))
+    marks = several.select(F.col("__id").alias("doc_id"), F.lit(True).alias("__several"))
+    keyed = salted_join(docs, marks, "doc_id", "text", frequent_keys(docs, "doc_id"), "left")
+    own = F.when(F.col("__several"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))
+    keyed = written(keyed.withColumn("__key", own).drop("__several"), "keyed")
+    found = minhash.near_duplicates(keyed, SIMILARITY, id="__key").where("__key IS NOT NULL")
+    groups = written(found.select("__key", "component_id").distinct(), "groups")
+    placed = salted_join(keyed, groups, "__key", "source", frequent_keys(keyed, "__key"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    first = F.min(F.struct(F.col("doc_id").alias("__first"), F.struct(*columns).alias("row"))).alias("__least")
+    stay = placed.groupBy("component_id").agg(first).select("__least.row.*")
+    return stay.unionByName(keyed.where("__key IS NULL").select(docs.columns))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +79,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of a benchmark item."""
     # Rows are told apart by id and text, so that null and repeated ids do no harm.
-    row = F.xxhash64("doc_id", "text")
+    row = F.concat_ws(":", F.col("doc_id").cast("string"), F.hex(F.xxhash64("doc_id", "text")))
     benchmark = load(spark, sf_dir, "benchmark")
     leaks = spaced_seeds.find_passages(docs.select(row.alias("__row"), "text"), benchmark, id="__row")
     return docs.join(leaks.select("__row").distinct(), row == F.col("__row"), "left_anti")
