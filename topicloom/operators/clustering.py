@@ -3,21 +3,20 @@
 from __future__ import annotations
 
 import logging
-import time
 from collections.abc import Callable, Iterable, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark import InheritableThread, StorageLevel
+from pyspark import StorageLevel
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.functions.binding import computed
+from topicloom.operators import shared_scan
 from topicloom.operators.embedding import embed, reduce
 from topicloom.session import checkpoint
 
@@ -82,10 +81,7 @@ def _nearest(vectors: pd.Series, centres: np.ndarray) -> tuple[np.ndarray, np.nd
     """Place of the nearest centre and the distance to it; missing vectors count as zero."""
     zero = np.zeros(centres.shape[1])
     x = np.array([zero if v is None else v for v in vectors], dtype=float)
-    x = x.reshape(-1, centres.shape[1])
-    rough = (centres * centres).sum(1)[None, :] - 2.0 * (x @ centres.T)
-    best = rough.argmin(1)
-    return best, np.sqrt(((x - centres[best]) ** 2).sum(1))
+    return shared_scan.nearest(x.reshape(-1, centres.shape[1]), centres)
 
 
 def inertia(df: DataFrame, centroids: Centroids, vector: str = "embedding") -> DataFrame:
@@ -143,11 +139,16 @@ def choose_k(spark: SparkSession, points: Iterable[tuple[int, float]]) -> int:
 
 @dataclass
 class Chosen:
-    """The model for the chosen ``k`` and the ``(k, score, fit_seconds)`` of all fits."""
+    """The model for the chosen ``k``, the ``(k, score, fit_seconds)`` of all fits, why others failed.
+
+    ``scans`` of the data served all fits together, so ``fit_seconds`` of them overlap.
+    """
 
     k: int
     model: Any
     tried: list[tuple[int, float, float]]
+    problems: dict[int, str] = field(default_factory=dict)
+    scans: int = 0
 
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [(k, s, t, k == self.k) for k, s, t in self.tried]
@@ -164,51 +165,25 @@ def vectors(df: DataFrame, id: str, vector: str) -> DataFrame:
     )
 
 
-def _fit_range(
-    data: DataFrame,
-    ks: Iterable[int],
-    fit: Callable[[DataFrame, int], tuple[Any, float]],
-    parallel: int,
+def _chosen(
+    spark: SparkSession, fits: shared_scan.Fits, scores: dict[int, float], wanted: Iterable[int]
 ) -> Chosen:
-    """Fit every ``k`` on the kept vectors, several at a time; a ``k`` that fails is left out.
-
-    The vectors are written once and then kept in memory: a lost executor costs a read.
-    """
-    ks = list(ks)
-    kept = checkpoint(data).persist(StorageLevel.MEMORY_AND_DISK)
-
-    def one(k: int) -> tuple[int, Any, float, float] | None:
-        begun = time.time()
-        try:
-            model, score = fit(kept, k)
-        except Exception as problem:
-            log.error("no fit with k=%s: %s", k, problem)
-            return None
-        return k, model, score, time.time() - begun
-
-    results: list[Any] = [None] * len(ks)
+    fits.problems.update({k: "not a number of clusters" for k in wanted if k < 1})
+    for k, problem in fits.problems.items():
+        log.error("no fit with k=%s: %s", k, problem)
+    best = choose_k(spark, scores.items())
+    tried = [(k, scores[k], fits.seconds[k]) for k in sorted(scores)]
+    return Chosen(best, fits.models[best], tried, fits.problems, fits.scans)
 
-    def run(place: int) -> None:
-        # Carries the session's job settings into the thread.
-        def body() -> None:
-            results[place] = one(ks[place])
 
-        thread = InheritableThread(target=body, session=kept.sparkSession)
-        thread.start()
-        thread.join()
-
-    try:
-        # The first fit runs alone and fills the memory that the others read.
-        if ks:
-            run(0)
-        with ThreadPoolExecutor(max(1, parallel)) as pool:
-            list(pool.map(run, range(1, len(ks))))
-    finally:
-        kept.unpersist()
-    done = [r for r in results if r is not None]
-    best = choose_k(data.sparkSession, [(k, s) for k, _, s, _ in done])
-    model = next(m for k, m, _, _ in done if k == best)
-    return Chosen(best, model, [(k, s, t) for k, _, s, t in done])
+def _starts(
+    df: DataFrame, ks: Iterable[int], id: str, vector: str, seed: int
+) -> tuple[DataFrame, int, dict[int, np.ndarray]]:
+    """The vectors, kept in memory and on disk, their width, and starts for every ``k``."""
+    width = shared_scan.width_of(df, vector)
+    rows = shared_scan.start_rows(df, id, vector, width, seed)
+    kept = checkpoint(shared_scan.usable(df, vector, width)).persist(StorageLevel.MEMORY_AND_DISK)
+    return kept, width, {k: shared_scan.spread_starts(rows, k, seed) for k in ks if k > 0}
 
 
 def kmeans(df: DataFrame, k: int, id: str = "id", vector: str = "embedding", seed: int = 42):
@@ -222,17 +197,18 @@ def auto_kmeans(
     id: str = "id",
     vector: str = "embedding",
     seed: int = 42,
-    parallel: int = 4,
 ) -> Chosen:
-    """K-means for every ``k``, the elbow of the inertia decides. The best fit is kept."""
-
-    def fit(data: DataFrame, k: int) -> tuple[Any, float]:
-        model = KMeans(k=k, seed=seed, featuresCol=FEATURES).fit(data)
-        if len(model.clusterCenters()) < 1:
-            raise ValueError("no centres")
-        return model, float(model.summary.trainingCost)
+    """K-means for every ``k`` in the same scans, the elbow of the inertia decides. The best fit is kept.
 
-    return _fit_range(vectors(df, id, vector), k_range, fit, parallel)
+    The starts are drawn from a bounded number of rows, always the same for a seed.
+    """
+    k_range = list(k_range)
+    kept, width, starts = _starts(df, k_range, id, vector, seed)
+    try:
+        fits = shared_scan.kmeans_range(kept, width, starts)
+    finally:
+        kept.unpersist()
+    return _chosen(df.sparkSession, fits, fits.scores, k_range)
 
 
 def centroids(model: Any) -> list[tuple[int, list[float]]]:
@@ -259,33 +235,50 @@ def auto_gaussian_mixture(
     id: str = "id",
     vector: str = "embedding",
     seed: int = 42,
-    parallel: int = 4,
 ) -> Chosen:
-    """A mixture for every ``k``, the elbow of AIC decides."""
+    """A mixture for every ``k`` in the same scans, the elbow of AIC decides.
+
+    The means start where those of a k-means would. A ``k`` that has no proper covariances is left out and
+    told of in ``problems``.
+    """
+    k_range = list(k_range)
+    kept, width, starts = _starts(df, k_range, id, vector, seed)
+    try:
+        fits = shared_scan.mixture_range(kept, width, starts)
+    finally:
+        kept.unpersist()
+    return _chosen(df.sparkSession, fits, {k: aic(x, k, width) for k, x in fits.scores.items()}, k_range)
 
-    def fit(data: DataFrame, k: int) -> tuple[Any, float]:
-        model = GaussianMixture(k=k, seed=seed, featuresCol=FEATURES).fit(data)
-        dimensions = model.gaussians[0].mean.size
-        return model, aic(float(model.summary.logLikelihood), k, dimensions)
 
-    return _fit_range(vectors(df, id, vector), k_range, fit, parallel)
+def mixture_shares(
+    df: DataFrame, model: Any, vector: str = "embedding", out: str = "shares"
+) -> DataFrame:
+    """Add the probability of every component, of our own mixtures or Spark's, as an array.
+
+    Rows without a vector have none.
+    """
+    if isinstance(model, shared_scan.Mixture):
+        return computed(df, out, model.column(F.col(vector)))
+    there = df.where(F.col(vector).isNotNull()).withColumn(FEATURES, array_to_vector(vector))
+    found = model.transform(there).select(*df.columns, F.col(model.getProbabilityCol()).alias("__p"))
+    found = computed(found, out, vector_to_array("__p")).drop("__p")
+    return found.unionByName(df.where(F.col(vector).isNull()), allowMissingColumns=True)
 
 
 def mixture_labels(
     df: DataFrame, model: Any, vector: str = "embedding", out: str = "cluster"
 ) -> DataFrame:
-    """Most probable component of each row."""
-    scored = model.transform(df.withColumn(FEATURES, array_to_vector(vector)))
-    return scored.select(*df.columns, F.col(model.getPredictionCol()).alias(out))
+    """Most probable component of each row, the first of equal ones."""
+    best = F.array_position("__shares", F.array_max("__shares")).cast("int") - 1
+    return mixture_shares(df, model, vector, "__shares").withColumn(out, best).drop("__shares")
 
 
 def soft_topics(
     df: DataFrame, model: Any, id: str = "id", vector: str = "embedding"
 ) -> DataFrame:
-    """``(id, topic, p)``: probability of every component for every row."""
-    scored = model.transform(df.select(id, array_to_vector(vector).alias(FEATURES)))
-    shares = vector_to_array(F.col(model.getProbabilityCol()))
-    return scored.select(id, F.posexplode(shares).alias("topic", "p"))
+    """``(id, topic, p)``: probability of every component for every row that has a vector."""
+    shares = mixture_shares(df.select(id, vector), model, vector, "__shares")
+    return shares.select(id, F.posexplode("__shares").alias("topic", "p"))
 
 
 @dataclass

@@ -11,14 +11,12 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicloom.functions.binding import computed
 from topicloom.functions.stopwords import english
 from topicloom.functions.text import topic_name
-from topicloom.operators.clustering import FEATURES, Chosen, auto_gaussian_mixture
+from topicloom.operators.clustering import Chosen, auto_gaussian_mixture, mixture_shares
 from topicloom.operators.embedding import Components, embed, fit_components
 from topicloom.operators.skew import attach
 from topicloom.operators.text_features import class_tfidf
@@ -127,15 +125,6 @@ def describe_soft_topics(
     return scores, near, checkpoint(describe(vectors, scores, near, settings))
 
 
-def mixture_shares(
-    df: DataFrame, model: Any, vector: str = "embedding", out: str = "shares"
-) -> DataFrame:
-    """Add the probability of every component of a mixture as an array."""
-    scored = model.transform(df.withColumn(FEATURES, array_to_vector(vector)))
-    found = scored.select(*df.columns, F.col(model.getProbabilityCol()).alias("__p"))
-    return computed(found, out, vector_to_array("__p")).drop("__p")
-
-
 @dataclass
 class SoftTopicModel:
     """A fitted run: the shares of every document, what the topics are about, and the model for new text."""
@@ -173,7 +162,6 @@ def fit_soft_topics(
     components: int = COMPONENTS,
     seed: int = 42,
     embedding: dict[str, Any] | None = None,
-    parallel: int = 4,
     **describing: Any,
 ) -> SoftTopicModel:
     """Embed, reduce, fit mixtures and describe the components of the chosen one as topics.
@@ -188,7 +176,7 @@ def fit_soft_topics(
     width = embedded.agg(F.max(F.size("embedding"))).first()[0] or 0
     fitted = fit_components(embedded, k=min(components, width))
     reduced = checkpoint(fitted.transform(embedded).drop("embedding"))
-    chosen = auto_gaussian_mixture(reduced, k_range, id, "reduced", seed, parallel)
+    chosen = auto_gaussian_mixture(reduced, k_range, id, "reduced", seed)
     documents = checkpoint(mixture_shares(reduced, chosen.model, "reduced").drop("reduced"))
     settings = {"id": id, "text": text, "embedding": embedding, **describing}
     model = SoftTopicModel(documents, None, None, None, chosen, fitted, settings)

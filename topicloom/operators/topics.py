@@ -413,7 +413,6 @@ def fit_topics(
     aspects: dict[str, Aspect] | None = None,
     embedding: dict[str, Any] | None = None,
     generator: Callable[[DataFrame, str], DataFrame] | None = None,
-    parallel: int = 4,
     parent_topics: Sequence[int] = (),
     embedded: bool = False,
 ) -> TopicModel:
@@ -428,11 +427,10 @@ def fit_topics(
         "id": id, "text": text, "seed": seed, "stop_words": tuple(stop_words), "sizes": sizes,
         "reduce_frequent_words": reduce_frequent_words, "embedding": embedding or {},
         "aspects": DEFAULT_ASPECTS if aspects is None else aspects, "generator": generator,
-        "parallel": parallel,
     }
     with_vectors = df if embedded else embed(df, text, **settings["embedding"])
     with_vectors = with_vectors.persist(StorageLevel.MEMORY_AND_DISK)
-    chosen = auto_kmeans(with_vectors, k_range, id, seed=seed, parallel=parallel)
+    chosen = auto_kmeans(with_vectors, k_range, id, seed=seed)
     labelled = assign_topics(with_vectors, centroids(chosen.model), out="topic")
     sizes_found = topic_sizes(labelled).orderBy(F.desc("count"), "topic").collect()
     numbers = {r.topic: n for n, r in enumerate(sizes_found)}
@@ -464,7 +462,7 @@ def update_topics(model: TopicModel, **changes: Any) -> TopicModel:
 
 _FIT_SETTINGS = (
     "id", "text", "seed", "stop_words", "sizes", "reduce_frequent_words",
-    "aspects", "embedding", "generator", "parallel",
+    "aspects", "embedding", "generator",
 )
 
 

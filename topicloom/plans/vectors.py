@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.functions.vectors import l2_normalize
-from topicloom.operators import clustering, density, neighbours, spectral
+from topicloom.operators import clustering, density, neighbours, shared_scan, spectral
 from topicloom.operators.embedding import embed, project_2d, reduce
 from topicloom.plans.base import Query, text_table
 from topicloom.session import checkpoint
@@ -195,6 +196,67 @@ def auto_kmeans(spark: SparkSession, folder: str) -> DataFrame:
     return chosen.table(spark).select("k", F.round("score", 3).alias("score"), "chosen")
 
 
+#: Numbers of clusters and steps that SQL follows too, from the vectors of the smallest ids.
+RANGE, STEPS = (2, 3, 5), 3
+
+
+def kmeans_range(spark: SparkSession, folder: str) -> DataFrame:
+    """Three of Lloyd's steps for several numbers of clusters, and the clusters that they end in."""
+    df = _vectors(spark, folder)
+    first = df.orderBy("vec_id").limit(max(RANGE)).select("embedding").collect()
+    starts = {k: np.array([r.embedding for r in first[:k]], float) for k in RANGE}
+    width = shared_scan.width_of(df, "embedding")
+    vectors = checkpoint(shared_scan.usable(df, "embedding", width))
+    fits = shared_scan.kmeans_range(vectors, width, starts, STEPS)
+    found = shared_scan.scan(
+        vectors, width, {k: m.centres for k, m in fits.models.items()}, shared_scan.mean_parts
+    )
+    rows = [
+        (k, j, int(n[j]), float(cost[j]), float(fits.models[k].centres[j, 0]), fits.scores[k])
+        for k, (n, cost, _) in found.items()
+        for j in range(k)
+    ]
+    table = spark.createDataFrame(rows, "k int, cluster int, n long, cost double, first double, inertia double")
+    return table.select("k", "cluster", "n", *[F.round(c, 5).alias(c) for c in ("cost", "first", "inertia")])
+
+
+def _steps_sql() -> str:
+    """One pair of subqueries per step: who is nearest, and the means of these."""
+    parts = [
+        """rows AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings
+), centres0 AS (
+  SELECT k::INTEGER AS k, place::INTEGER AS cluster, v AS mean FROM rows, (SELECT unnest(%s) AS k) WHERE place < k
+)""" % list(RANGE)
+    ]
+    for step in range(STEPS + 1):
+        parts.append(f"""near{step} AS (
+  SELECT k, vec_id, any_value(v) AS v, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d
+  FROM (SELECT k, cluster, vec_id, v, list_distance(v, mean) AS d FROM rows, centres{step}) GROUP BY k, vec_id
+)""")
+        if step < STEPS:
+            parts.append(f"""moved{step} AS (
+  SELECT k, cluster, list(x ORDER BY place) AS mean
+  FROM (
+    SELECT k, cluster, place, avg(x) AS x
+    FROM (SELECT k, cluster, generate_subscripts(v, 1) AS place, unnest(v) AS x FROM near{step})
+    GROUP BY k, cluster, place
+  ) GROUP BY k, cluster
+), centres{step + 1} AS (
+  SELECT k, cluster, coalesce(m.mean, c.mean) AS mean FROM centres{step} c LEFT JOIN moved{step} m USING (k, cluster)
+)""")
+    return ", ".join(parts)
+
+
+KMEANS_RANGE_SQL = f"""
+WITH {_steps_sql()}, costs AS (
+  SELECT k, cluster, count(*) AS n, sum(d * d) AS cost FROM near{STEPS} GROUP BY k, cluster
+)
+SELECT k, cluster, coalesce(n, 0) AS n, round(coalesce(cost, 0), 5) AS cost, round(mean[1], 5) AS first,
+       round(sum(cost) OVER (PARTITION BY k), 5) AS inertia
+FROM centres{STEPS} LEFT JOIN costs USING (k, cluster)"""
+
+
 def _components(spark: SparkSession, folder: str, k: int = 4) -> DataFrame:
     return reduce(_vectors(spark, folder), "embedding", "pca", k, "reduced")
 
@@ -270,6 +332,7 @@ QUERIES = {
     "self_tuning_affinity": Query(self_tuning_affinity, SELF_TUNING_SQL),
     "dbscan": Query(dbscan, DBSCAN_SQL),
     "kmeans": Query(kmeans_labels),
+    "kmeans_range": Query(kmeans_range, KMEANS_RANGE_SQL),
     "auto_kmeans": Query(auto_kmeans),
     "auto_gaussian_mixture": Query(auto_gaussian_mixture),
     "soft_topics": Query(soft_topics),
