@@ -28,7 +28,7 @@ MAX_NUMBERS = 10_000_000
 ITERATIONS = 30
 #: Squared distance that no centre moves any more, and gain of the mean log-likelihood, at the end.
 CENTRE_TOLERANCE = 1e-8
-GAIN_TOLERANCE = 1e-4
+GAIN_TOLERANCE = 1e-3
 
 #: What is added to the variances of a mixture, in parts of the mean variance of the data.
 RIDGE = 1e-6
