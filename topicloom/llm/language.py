@@ -300,6 +300,8 @@ def label_languages(
                     ],
                     names,
                 )
+            # What earlier batches held goes back to the machine.
+            pa.default_memory_pool().release_unused()
 
     # Where the kept columns hold the text, it travels once.
     rows = docs.select(

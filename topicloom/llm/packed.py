@@ -30,7 +30,7 @@ from topicloom.operators.skew import partitions
 #: Keys that a task sorts and sends together, keys of a bucket, bytes of text of a place.
 KEYS_SENT = 1 << 20
 KEYS_PER_BUCKET = 1 << 21
-BYTES_PER_PLACE = 1 << 24
+BYTES_PER_PLACE = 1 << 22
 
 BLOCKS = "bucket int, block binary"
 REPLIES = "place int, block binary"
@@ -335,6 +335,8 @@ def _received(texts, replies: list[DataFrame], work, layout, schema, kind) -> Da
         result = pa.concat_tables(parts) if parts else schema.empty_table()
         for name in names:
             result = result.append_column(name, left.column(name))
+        # What earlier groups and operators of this worker held goes back to the machine.
+        pa.default_memory_pool().release_unused()
         return result
 
     sent = replies[0].withColumn("sort", F.lit(0))

@@ -69,7 +69,8 @@ def remove_repeats(
     ``kept``, the other words joined by one blank. Windows of ``window`` words are judged on the
     input. A null or empty text has no words. Rows with the same id are no smaller than each other;
     a row without an id is kept whole and makes nothing else a repeat. Other columns are not read,
-    unless ``keep`` names some: then the row's ``text`` and a struct ``row`` of them follow the result.
+    unless ``keep`` names some: then the row's ``text`` and a struct ``row`` of them follow the result, and
+    ``kept`` is empty where nothing is removed.
 
     A window holds at least one whole block of the texts' fixed blocks of ``(window + 1) // 2``
     words, wherever it lies. So the blocks that do not overlap are indexed, and every rolling block
@@ -117,14 +118,15 @@ def remove_repeats(
         start = np.zeros(size, bool)
         whole = (_left(words) >= window) & named
         start[whole] = entered(_padded(ngrams(words.hashes(), window), size)[whole], doc[whole])
-        yield _result(ids, words, covered(start, window, size))
+        yield _result(ids, words, covered(start, window, size), keep is not None)
 
     rows = packed.texts_by_place(docs, id, text, coarse, keep)
     result = packed.receive(rows, repeats, cut, fine, RESULT, RESULT_KIND)
     return result.withColumnRenamed("id", id)
 
 
-def _result(ids: pa.Array, words: Words, removed: np.ndarray) -> pa.Table:
+def _result(ids: pa.Array, words: Words, removed: np.ndarray, carried: bool = False) -> pa.Table:
+    """Results by text; of a text that is carried along and loses nothing no words are kept apart."""
     owner = words.text_of_word()
     texts = len(words.counts)
     # Spans are runs of removed words; the first word of a text begins a new one.
@@ -139,7 +141,8 @@ def _result(ids: pa.Array, words: Words, removed: np.ndarray) -> pa.Table:
         pa.StructArray.from_arrays([pa.array(begins - base), pa.array(ends - base)], fields=list(SPAN)),
     )
     # Every kept word with the byte after it, which becomes the blank; the last one has none.
-    kept = np.flatnonzero(~removed)
+    lost = np.bincount(owner, removed, texts).astype(np.int64)
+    kept = np.flatnonzero(~removed & (lost > 0)[owner] if carried else ~removed)
     data = np.append(words.data, np.uint8(32))
     letters = gather(data, words.starts[kept], words.ends[kept] + 1)
     sizes = words.ends[kept] + 1 - words.starts[kept]
@@ -158,7 +161,7 @@ def _result(ids: pa.Array, words: Words, removed: np.ndarray) -> pa.Table:
         [
             ids,
             pa.array(words.counts.astype(np.int64)),
-            pa.array(np.bincount(owner, removed, texts).astype(np.int64)),
+            pa.array(lost),
             spans,
             text,
         ],
