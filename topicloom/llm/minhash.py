@@ -265,7 +265,9 @@ def _piecewise(members: DataFrame, group: str, work) -> DataFrame:
         columns = [[x for x, _ in found], [y for _, y in found]]
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
-    return placed.groupBy(group, "p", "q").applyInArrow(run, "a long, b long")
+    # Rows of a group come together by the join on it, and its pieces would stay where they are.
+    dealt = placed.repartition(group, "p", "q")
+    return dealt.groupBy(group, "p", "q").applyInArrow(run, "a long, b long")
 
 
 def _partners(table: pa.Table, left: np.ndarray, right: np.ndarray, least: int):
