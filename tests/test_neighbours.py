@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from conftest import rows
 
-from topicloom.operators import density, neighbours
+from topicloom.operators import density, neighbours, projections
 from topicloom.operators.components import connected_components
 from topicloom.operators.density import dbscan
 from topicloom.operators.neighbours import Cells
@@ -161,3 +161,83 @@ def test_chain_is_one_cluster(spark):
     df = spark.createDataFrame(data, "id long, embedding array<double>")
     found = dbscan(df, 0.5, 2, block_rows=16)
     assert [tuple(r) for r in found.select("cluster", "core").distinct().collect()] == [(0, True)]
+
+
+def test_search_reports_its_work(spark):
+    """Clustered points: few of the pairs of blocks are compared, and nothing is missed."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 4)) * 50
+    x = np.concatenate([c + rng.normal(size=(50, 4)) for c in centres])
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "id long, vector array<double>")
+    found, report = neighbours.knn_with_report(df, 3, block_rows=50)
+    assert report.points == 2000 and report.blocks >= 40 and report.rounds >= 1
+    assert report.pairs < report.blocks**2 / 3
+    d = distances(x)
+    np.fill_diagonal(d, np.inf)
+    order = np.argsort(d, axis=1, kind="stable")[:, :3]
+    want = sorted((i, int(order[i, r]), r + 1) for i in range(2000) for r in range(3))
+    assert sorted(rows(found, "i", "j", "rank")) == want
+
+
+@pytest.mark.parametrize("far", [0.0, 1e7])
+def test_distances_far_from_the_origin(spark, far):
+    """Where products of raw numbers are of no use: neighbours 1e-4 apart at 1e7."""
+    rng = np.random.default_rng(1)
+    x = far + rng.normal(scale=1e-3, size=(150, 3))
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "id long, embedding array<double>")
+    d = distances(x)
+    found = neighbours.knn(df, 2, "id", "embedding", 20)
+    want = [(i, int(j)) for i in range(150) for j in np.argsort(np.where(np.arange(150) == i, np.inf, d[i]), kind="stable")[:2]]
+    assert sorted(rows(found, "i", "j")) == sorted(want)
+    eps = float(np.quantile(d, 0.02))
+    core = (d <= eps).sum(1) >= 3
+    assert {r.id for r in dbscan(df, eps, 3, block_rows=20).where("core").collect()} == set(np.flatnonzero(core).tolist())
+
+
+def test_ids_of_any_kind_and_rows_without_vectors(spark):
+    data = [("a", [0.0]), ("b", [1.0]), ("c", None), ("d", [3.0]), ("e", [])]
+    df = spark.createDataFrame(data, "id string, vector array<float>")
+    assert rows(neighbours.knn(df, 1), "i", "j") == [("a", "b"), ("b", "a"), ("d", "b")]
+
+
+def recall(found, x, k):
+    """Share of the true neighbours that were found; distances must be those of the vectors."""
+    d = distances(x)
+    np.fill_diagonal(d, np.inf)
+    pairs = {}
+    for r in found.collect():
+        assert abs(d[r.i, r.j] - r.distance) < 1e-9
+        pairs.setdefault(r.i, {})[r["rank"]] = r.j
+    assert all(sorted(v) == list(range(1, len(v) + 1)) and len(set(v.values())) == len(v) for v in pairs.values())
+    true = np.argsort(d, axis=1, kind="stable")[:, :k]
+    return np.mean([len(set(true[i].tolist()) & set(pairs.get(i, {}).values())) / k for i in range(len(x))])
+
+
+def test_approximate_neighbours_of_planted_blobs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(60, 16)) * 5
+    x = np.concatenate([c + rng.normal(size=(50, 16)) for c in centres])
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "id long, vector array<double>")
+    found = projections.approximate_knn(df, 5, bucket_rows=100)
+    assert recall(found, x, 5) >= 0.9
+    # More probes find more, and pieces of a bucket leave nothing out.
+    few = projections.approximate_knn(df, 5, tables=2, probes=0, bucket_rows=100)
+    monkeypatch.setattr(projections, "PIECE_ROWS", 40)
+    cut = projections.approximate_knn(df, 5, tables=2, probes=0, bucket_rows=100)
+    assert rows(few) == rows(cut) and recall(few, x, 5) < recall(found, x, 5)
+
+
+def test_approximate_with_one_bucket_is_exact(table, points, spark):
+    found = projections.approximate_knn(table, 7, "id", "embedding", tables=1, probes=3)
+    assert sorted(rows(found, "i", "j", "rank")) == brute_knn(points, 7)
+    none = spark.createDataFrame([], "id long, vector array<double>")
+    assert projections.approximate_knn(none, 3).count() == 0
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [1.0]), (4, [1.0])], "id long, vector array<double>")
+    assert rows(projections.approximate_knn(odd, 3), "i", "j", "distance") == [(3, 4, 0.0), (4, 3, 0.0)]
+
+
+def test_probes_are_the_nearest_buckets():
+    planes, medians = np.eye(3), np.array([0.0, 1.0, 2.0])
+    found = projections.buckets(np.array([[0.1, 3.0, 1.5]]), planes, medians, 4)[0].tolist()
+    # Distances from the medians are 0.1, 2 and 0.5: the first bit turns first, then the third, then both.
+    assert found == [0b011, 0b010, 0b111, 0b110, 0b001]

@@ -7,11 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topicloom.operators.blocks import product_slack
 from topicloom.operators.components import connected_components
 from topicloom.operators.neighbours import (
     BLOCK_ROWS,
-    ROUNDING,
     Cells,
+    about_middle,
     compare_blocks,
     squared_distances,
 )
@@ -25,9 +26,10 @@ def _within(a: pd.DataFrame, b: pd.DataFrame, eps: float) -> np.ndarray:
     """Which points of ``b`` lie within ``eps`` of each point of ``a``, exact at the edge."""
     x = np.array(a["v"].tolist(), dtype=float)
     y = np.array(b["v"].tolist(), dtype=float)
-    squares = squared_distances(x, y)
+    a, b = about_middle(x, y)
+    squares = squared_distances(a, b)
     near = squares <= eps * eps
-    for i, j in np.argwhere(np.abs(squares - eps * eps) <= ROUNDING):
+    for i, j in np.argwhere(np.abs(squares - eps * eps) <= product_slack(a, b)):
         near[i, j] = np.sqrt(((x[i] - y[j]) ** 2).sum()) <= eps
     return near
 

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.functions.vectors import l2_normalize
-from topicloom.operators import clustering, density, neighbours, shared_scan, spectral
+from topicloom.operators import clustering, density, neighbours, projections, shared_scan, spectral
 from topicloom.operators.embedding import embed, project_2d, reduce
 from topicloom.plans.base import Query, text_table
 from topicloom.session import checkpoint
@@ -124,6 +124,47 @@ def nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return _knn(spark, folder).withColumn("distance", F.round("distance", 6))
 
 
+#: Vectors made from each given one, neighbours of these, and points of a block.
+VARIANTS, NEAR_VARIANTS, VARIANT_BLOCK = 10, 5, 512
+
+
+def variants(spark: SparkSession, folder: str) -> DataFrame:
+    """``(id, v)``: ten vectors close to each given one, so that there are blocks to leave out."""
+    def moved_by(i: Column) -> Column:
+        digest = F.md5(F.concat_ws(":", F.col("vec_id"), F.col("t"), i).cast("binary"))
+        return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 4294967296 / 50
+
+    moved = F.transform("embedding", lambda x, i: x.cast("double") + moved_by(i))
+    made = _vectors(spark, folder).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))))
+    return made.select((F.col("vec_id") * VARIANTS + F.col("t")).alias("id"), moved.alias("v"))
+
+
+def variant_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """Neighbours among the variants, block by block."""
+    found = neighbours.knn(variants(spark, folder), NEAR_VARIANTS, "id", "v", VARIANT_BLOCK)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+VARIANT_NEIGHBOURS_SQL = f"""
+WITH made AS (
+  SELECT vec_id * {VARIANTS} + t AS id,
+         list_transform(range(1, len(embedding) + 1), lambda p: embedding[p]::DOUBLE
+           + ('0x' || substr(md5(vec_id || ':' || t || ':' || (p - 1)), 1, 8))::BIGINT / 4294967296 / 50) AS v
+  FROM embeddings, (SELECT unnest(range({VARIANTS})) AS t)
+), pairs AS (
+  SELECT a.id AS i, b.id AS j, list_distance(a.v, b.v) AS distance FROM made a JOIN made b ON a.id <> b.id
+)
+SELECT i, j, round(distance, 6) AS distance,
+       (row_number() OVER (PARTITION BY i ORDER BY distance, j))::INTEGER AS rank
+FROM pairs QUALIFY rank <= {NEAR_VARIANTS}"""
+
+
+def approximate_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """Near vectors by random projections; distances are exact."""
+    found = projections.approximate_knn(_vectors(spark, folder), NEIGHBOURS, "vec_id", "embedding")
+    return found.withColumn("distance", F.round("distance", 6))
+
+
 KNN_CTE = f"""
 pairs AS (
   SELECT a.vec_id AS i, b.vec_id AS j, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS distance
@@ -320,6 +361,8 @@ QUERIES = {
         nearest_neighbours,
         f"WITH {KNN_CTE} SELECT i, j, round(distance, 6) AS distance, rank::INTEGER AS rank FROM knn",
     ),
+    "variant_neighbours": Query(variant_neighbours, VARIANT_NEIGHBOURS_SQL),
+    "approximate_neighbours": Query(approximate_neighbours),
     "nn_affinity": Query(
         nn_affinity,
         f"WITH {KNN_CTE} SELECT i, j, count(*) * 0.5::DOUBLE AS w"
