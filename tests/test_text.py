@@ -147,3 +147,18 @@ def test_summaries(spark):
     found = {r.doc_id: r.summary for r in features.tfidf_summarize(df, "doc_id", n=1).collect()}
     assert found[2] == "common words here" and [found[i] for i in (3, 4, 5)] == [""] * 3
     assert rows(features.tfidf_summarize(df, "doc_id", n=9))[0] == (1, text)
+
+
+@pytest.mark.parametrize("few", [True, False], ids=["map", "join"])
+def test_lemmas(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(features, "LEMMAS_IN_ROW", 1)
+    data = [(1, ["cats", "dog", "cats", "mice"]), (2, []), (3, None), (None, ["cats"]), (4, ["é'\"\\"])]
+    df = spark.createDataFrame(data, "id long, tokens array<string>")
+    table = [("cats", "cat"), ("cats", "catt"), ("mice", "mouse"), (None, "x"), ("dog", None), ("é'\"\\", "e")]
+    lemmas = spark.createDataFrame(table, "term string, lemma string")
+    found = {r.id: r.tokens for r in features.lemmatize(df, lemmas, "id").collect()}
+    assert found[1] == ["cat", "dog", "cat", "mouse"] and found[2] == [] and found[3] is None and found[4] == ["e"]
+    assert found[None] == ["cats"]
+    none = features.lemmatize(df, lemmas.where("term = 'no'"), "id", out="same")
+    assert all(r.same == r.tokens for r in none.collect())

@@ -6,6 +6,7 @@ are combined within each task before they are shuffled.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -31,6 +32,10 @@ from topicloom.operators.skew import (
 )
 
 
+#: Terms of a lemma table that is looked up inside the row: a map is searched from its first entry on.
+LEMMAS_IN_ROW = 256
+
+
 def _kept(words: Column, clean: bool, stop_words: Sequence[str], extra: Sequence[str]) -> Column:
     """Stop words are met in any case; extra ones are compared with the token as it comes out."""
     cleaned = F.transform(words, F.lower) if clean else words
@@ -86,6 +91,37 @@ def sentence_tokens(
     )
 
 
+def lemmatize(
+    df: DataFrame,
+    lemmas: DataFrame,
+    id: str,
+    tokens: str = "tokens",
+    out: str = "tokens",
+) -> DataFrame:
+    """Replace tokens by their lemmas, given as ``(term, lemma)``; others stay as they are.
+
+    A table of at most ``LEMMAS_IN_ROW`` terms becomes a map that is looked up inside the row. A larger one
+    is joined with the distinct terms of each row, of which only those with a lemma go on. Of several
+    lemmas of a term the smallest counts; missing terms and lemmas do not. ``id`` must identify a row; rows
+    without an id or tokens keep their tokens.
+    """
+    known = lemmas.where(F.col("term").isNotNull() & F.col("lemma").isNotNull())
+    known = known.groupBy("term").agg(F.min("lemma").alias("lemma"))
+    few = known.limit(LEMMAS_IN_ROW + 1).collect()
+    if len(few) <= LEMMAS_IN_ROW:
+        # A constant, so that the map is made once and not for every row.
+        table = F.from_json(F.lit(json.dumps({r.term: r.lemma for r in few})), "map<string,string>")
+        replaced = F.transform(tokens, lambda t: F.coalesce(table[t], t))
+        return df.withColumn(out, F.when(F.col(id).isNotNull(), replaced).otherwise(F.col(tokens)))
+    found = df.where(F.col(id).isNotNull()).select(id, F.explode(F.array_distinct(tokens)).alias("term"))
+    met = salted_join(found, known, "term", id, frequent_keys(found, "term"))
+    # A row holds its own distinct terms.
+    pairs = F.map_from_entries(F.collect_list(F.struct("term", "lemma"))).alias("__lemmas")
+    joined = attach(df, met.groupBy(id).agg(pairs), id)
+    replaced = F.transform(tokens, lambda t: F.coalesce(F.col("__lemmas")[t], t))
+    return joined.withColumn(out, replaced).drop("__lemmas")
+
+
 def terms(
     text: str, sizes: tuple[int, int] = (1, 1), stop_words: Sequence[str] = ()
 ) -> Column:

@@ -50,6 +50,49 @@ WITH t AS (
 SELECT doc_id, len(w)::INTEGER AS n, array_to_string(w, ' ') AS tokens FROM t"""
 
 
+#: Terms with lemmas in the small table.
+FEW_LEMMAS = 50
+
+
+def _plurals(found: DataFrame) -> DataFrame:
+    """Terms that end in s with what is left without it, and in how many places they stand."""
+    terms = found.select(F.explode("tokens").alias("term")).where("term LIKE '%s' AND length(term) > 3")
+    counted = terms.groupBy("term").agg(F.count("*").alias("n"))
+    return counted.withColumn("lemma", F.expr("left(term, length(term) - 1)"))
+
+
+def _lemmas(spark: SparkSession, folder: str, few: bool) -> DataFrame:
+    found = features.tokenize(text_table(spark, folder), "text", stop_words=STOP_WORDS).select("doc_id", "tokens")
+    table = checkpoint(_plurals(found))
+    if few:
+        table = table.orderBy(F.desc("n"), "term").limit(FEW_LEMMAS)
+    replaced = features.lemmatize(found, table.select("term", "lemma"), "doc_id")
+    return replaced.select("doc_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+def lemmas_in_row(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens with the lemmas of a small table."""
+    return _lemmas(spark, folder, few=True)
+
+
+def lemmas_by_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens with the lemmas of a table of any size."""
+    return _lemmas(spark, folder, few=False)
+
+
+def lemmas_sql(chosen: str) -> str:
+    return f"""
+WITH {WORDS_SQL}, placed AS (
+  SELECT doc_id, generate_subscripts(w, 1) AS ix, unnest(w) AS term FROM words
+), plurals AS (
+  SELECT term, count(*) AS n FROM placed WHERE term LIKE '%s' AND length(term) > 3 GROUP BY term
+), chosen AS ({chosen}), replaced AS (
+  SELECT doc_id, string_agg(CASE WHEN c.term IS NULL THEN p.term ELSE left(p.term, -1) END, ' ' ORDER BY ix) AS tokens
+  FROM placed p LEFT JOIN chosen c USING (term) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(tokens, '') AS tokens FROM documents LEFT JOIN replaced USING (doc_id)"""
+
+
 def sentence_tokens(spark: SparkSession, folder: str) -> DataFrame:
     found = features.sentence_tokens(text_table(spark, folder), "text", stop_words=STOP_WORDS)
     rows = found.select("doc_id", F.posexplode("tokens").alias("sentence", "words"))
@@ -210,6 +253,10 @@ FROM documents d LEFT JOIN (
 
 QUERIES = {
     "tokens": Query(tokens, TOKENS_QUERY_SQL),
+    "lemmas_in_row": Query(
+        lemmas_in_row, lemmas_sql(f"SELECT term FROM plurals ORDER BY n DESC, term LIMIT {FEW_LEMMAS}")
+    ),
+    "lemmas_by_join": Query(lemmas_by_join, lemmas_sql("SELECT term FROM plurals")),
     "sentence_tokens": Query(sentence_tokens),
     "ngram_counts": Query(ngram_counts, NGRAM_COUNTS_SQL),
     "term_counts": Query(
