@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from topicloom.llm.words import give_back
+
 UNKNOWN = "und"
 
 # First code points of Unicode ranges, and the script from there on.
@@ -300,8 +302,7 @@ def label_languages(
                     ],
                     names,
                 )
-            # What earlier batches held goes back to the machine.
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     # Where the kept columns hold the text, it travels once.
     rows = docs.select(

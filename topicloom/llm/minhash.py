@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.llm.store import written
-from topicloom.llm.words import Words, flat, mix, ngrams, slices
+from topicloom.llm.words import Words, flat, give_back, mix, ngrams, slices
 from topicloom.operators.components import connected_components
 from topicloom.operators.skew import frequent_keys, salted_join
 
@@ -163,6 +163,7 @@ def sign(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int =
                 cut = offsets[begin : end + 1]
                 words = Words(data[cut[0] : cut[-1]], cut - cut[0])
                 yield _signed(batch.column(0).slice(begin, end - begin), words, rows)
+            give_back()
 
     return _texts(docs, id, text).mapInArrow(run, SIGNATURES)
 
@@ -183,6 +184,7 @@ def _sets(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(begin, end - begin), pa.array(sets, pa.binary())], schema=schema
                 )
+            give_back()
 
     return texts.mapInArrow(run, "id long, shingles binary")
 
@@ -204,9 +206,11 @@ def _pair_up(pairs: DataFrame, side: DataFrame, value: str) -> DataFrame:
 def _kept_pairs(pairs: DataFrame, value: str, keep) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            kept = pa.array([keep(x, y) for x, y in zip(left, right, strict=True)], pa.bool_())
+            # Views of the batch, not copies: sets are as long as their texts.
+            pairs = zip(batch.column(2), batch.column(3), strict=True)
+            kept = pa.array([keep(x.as_buffer(), y.as_buffer()) for x, y in pairs], pa.bool_())
             yield batch.select([0, 1]).filter(kept)
+            give_back()
 
     return pairs.select("a", "b", f"{value}_a", f"{value}_b").mapInArrow(run, "a long, b long")
 
@@ -272,7 +276,7 @@ def _piecewise(members: DataFrame, group: str, work) -> DataFrame:
 
 def _partners(table: pa.Table, left: np.ndarray, right: np.ndarray, least: int):
     """For each member on the left: those on the right of other components that may be linked with it."""
-    sketches = np.array([np.frombuffer(x.as_py(), np.uint8) for x in table.column("sketch")])
+    sketches = np.array([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("sketch")])
     now = table.column("now").to_numpy()
     for i in left.tolist():
         alike = (sketches[right] == sketches[i]).sum(1)
@@ -308,7 +312,7 @@ def _links_within(members: DataFrame, percent: int) -> DataFrame:
     least = _least_estimate(percent)
 
     def work(table: pa.Table, left: np.ndarray, right: np.ndarray):
-        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
         now = table.column("now").to_pylist()
         joined: dict[int, int] = {}
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from topicloom.llm.words import flat, mix, slices
+from topicloom.llm.words import flat, give_back, mix, slices
 from topicloom.operators.skew import partitions
 
 #: Keys that a task sorts and sends together, keys of a bucket, bytes of text of a place.
@@ -195,6 +195,8 @@ def send(docs: DataFrame, id: str, text: str, enter: Enter, layout: Layout) -> D
                     parts = []
         if parts:
             yield block_rows(blocks_of(layout, Entries.joined(parts)), BLOCK_SCHEMA)
+        parts = []
+        give_back()
 
     return (
         docs.where(F.col(id).isNotNull())
@@ -244,7 +246,9 @@ def meet(blocks: DataFrame, choose: Choose, layout: Layout) -> DataFrame:
         place, entries = place[order], entries[order]
         cuts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(place)] if len(place) else []
         found = ((int(place[a]), pack(entries[a:b])) for a, b in zip(cuts, cuts[1:], strict=False))
-        return pa.Table.from_batches([block_rows(found, REPLY_SCHEMA)])
+        result = pa.Table.from_batches([block_rows(found, REPLY_SCHEMA)])
+        give_back()
+        return result
 
     return blocks.groupBy("bucket").applyInArrow(run, REPLIES)
 
@@ -335,8 +339,7 @@ def _received(texts, replies: list[DataFrame], work, layout, schema, kind) -> Da
         result = pa.concat_tables(parts) if parts else schema.empty_table()
         for name in names:
             result = result.append_column(name, left.column(name))
-        # What earlier groups and operators of this worker held goes back to the machine.
-        pa.default_memory_pool().release_unused()
+        give_back()
         return result
 
     sent = replies[0].withColumn("sort", F.lit(0))

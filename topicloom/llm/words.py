@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Iterator
 
@@ -20,6 +21,14 @@ _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _LETTERS = np.random.default_rng(20_240_601).integers(0, 1 << 64, 256, np.uint64)
 
 
+def give_back() -> None:
+    """Return freed memory of this worker to the machine: workers stay, and the next stage needs it elsewhere."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (the finalizer of SplitMix64)."""
     values = values.astype(np.uint64)
