@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 FOLDER = "/root/testdata/sf0.001"
 # Fits run many jobs before they return a plan over a few rows.
 FITS = {"fit_topics", "subtopics", "assign_new_documents", "experiment", "auto_kmeans_text",
-        "recompute", "spectral_clustering", "auto_gaussian_mixture", "soft_topics"}
+        "recompute", "spectral_clustering", "auto_gaussian_mixture", "soft_topics", "fit_soft_topics"}
 
 
 def plan(df):

@@ -131,6 +131,7 @@ def hash_vector(terms: Column, size: int) -> Column:
     return let(weights, lambda m: F.transform(places, lambda b: F.coalesce(m[b], F.lit(0.0))))
 
 
+# Fixed value: how a topic is written.
 def topic_name(topic: Column, keywords: Column, n: int = 5) -> Column:
     """``Topic 3: `a, b, c...```, from the first keywords."""
     shown = F.array_join(F.slice(keywords, 1, n), ", ")
