@@ -1,6 +1,7 @@
 """Near-duplicates against all pairs in plain Python."""
 
 import random
+import re
 
 import brute
 import numpy as np
@@ -94,3 +95,11 @@ def test_signatures_estimate_similarity():
         truth = len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b]))
         assert abs((signed[a] == signed[b]).mean() - truth) < 0.13
     assert len(np.unique(minhash._scattered(np.arange(1 << 22, dtype=np.uint64) << np.uint64(42)))) == 1 << 22
+
+
+def test_pieces_of_a_group_are_dealt_to_tasks(spark):
+    """The join on the group brings its rows together; its pieces must not stay there."""
+    members = spark.range(50).selectExpr("id", "1L AS cluster")
+    found = minhash._piecewise(members, "cluster", lambda table, left, right: [(left[0], right[0])])
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(cluster#\d+L, p#\d+, q#\d+", text)
