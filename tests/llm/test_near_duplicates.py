@@ -99,7 +99,7 @@ def test_signatures_estimate_similarity():
 
 def test_pieces_of_a_group_are_dealt_to_tasks(spark):
     """The join on the group brings its rows together; its pieces must not stay there."""
-    members = spark.range(50).selectExpr("id", "1L AS cluster")
+    members = spark.range(50).selectExpr("id", "id % 3 AS cluster")
     found = minhash._piecewise(members, "cluster", lambda table, left, right: [(left[0], right[0])])
     text = found._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"hashpartitioning\(cluster#\d+L, p#\d+, q#\d+", text)
