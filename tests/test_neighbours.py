@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from conftest import rows
 
-from topicloom.operators import density, neighbours, projections
+from topicloom.operators import blocks, density, neighbours, projections
 from topicloom.operators.components import connected_components
 from topicloom.operators.density import dbscan
 from topicloom.operators.neighbours import Cells
@@ -241,3 +241,31 @@ def test_probes_are_the_nearest_buckets():
     found = projections.buckets(np.array([[0.1, 3.0, 1.5]]), planes, medians, 4)[0].tolist()
     # Distances from the medians are 0.1, 2 and 0.5: the first bit turns first, then the third, then both.
     assert found == [0b011, 0b010, 0b111, 0b110, 0b001]
+
+
+def test_blocks_are_sent_to_few_groups():
+    """What is sent is the points times the groups, whose number does not follow that of the blocks."""
+    noise = np.random.default_rng(3)
+    pivots = noise.normal(size=(900, 8))
+    directory = blocks.Directory(pivots, np.arange(900), np.ones(900))
+    groups = blocks.block_groups(directory, 200_000)
+    assert len(groups) == blocks.GROUPS
+    assert sorted(b for g in groups for b in g) == list(range(900))
+
+
+def test_points_ask_where_something_may_be_near():
+    noise = np.random.default_rng(4)
+    x, pivots = noise.normal(size=(600, 3)), noise.normal(size=(12, 3))
+    away = np.sqrt(((x[:, None] - pivots[None]) ** 2).sum(2))
+    cell = away.argmin(1)
+    directory = blocks.Directory(pivots, np.arange(12), np.array([away[cell == c, c].max() for c in range(12)]))
+    apart = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    left_out = 0
+    for own in range(12):
+        mine = np.flatnonzero(cell == own)
+        for target in set(range(12)) - {own}:
+            asks = directory.asking(x[mine], own, target, np.full(len(mine), 0.2))
+            silent = np.delete(mine, asks)
+            left_out += len(silent)
+            assert not (apart[np.ix_(silent, cell == target)] <= 0.2).any()
+    assert left_out > 600 * 11 / 2
