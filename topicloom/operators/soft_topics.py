@@ -29,7 +29,7 @@ from topicloom.operators.topics import (
     document_terms,
     similarities,
 )
-from topicloom.session import checkpoint
+from topicloom.session import at_rest, checkpoint
 
 #: Components that vectors are reduced to before they are clustered.
 COMPONENTS = 50
@@ -39,16 +39,18 @@ LEAST_SHARE = 0.05
 
 
 def soft_counts(terms: DataFrame, topics: int, shares: str = "shares") -> DataFrame:
-    """``(topic, term, n)``: sums of ``tf * share`` over the documents that hold the term.
+    """``(topic, term, n, everywhere)``: sums of ``tf * share`` over the documents that hold the term.
 
     ``terms`` has ``(term, tf, shares)``; a topic is a place in the array, from 0 on. A missing array or
-    share counts as 0; terms of no weight in a topic have no row there.
+    share counts as 0; terms of no weight in a topic have no row there. ``everywhere`` is the sum over topics.
     """
     sums = terms.groupBy("term").agg(
         *[F.sum(F.col("tf") * F.get(shares, F.lit(i)).cast("double")).alias(f"__{i}") for i in range(topics)]
     )
-    rows = sums.select("term", F.posexplode(F.array(*[F.col(f"__{i}") for i in range(topics)])).alias("topic", "n"))
-    return rows.where(F.col("n") > 0).select("topic", "term", "n")
+    found = [F.when(F.col(f"__{i}") > 0, F.col(f"__{i}")).otherwise(0.0) for i in range(topics)]
+    everywhere = sum(found[1:], found[0]).alias("everywhere")
+    held = F.posexplode(F.array(*[F.col(f"__{i}") for i in range(topics)])).alias("topic", "n")
+    return sums.select("term", everywhere, held).where(F.col("n") > 0).select("topic", "term", "n", "everywhere")
 
 
 def soft_representatives(
@@ -69,9 +71,9 @@ def soft_representatives(
     belonging = terms.select(
         id, "term", "tf", "__total", F.explode(F.filter(held, lambda s: s["p"] >= least_share)).alias("__s")
     ).select(id, F.col("__s.topic").alias("topic"), "term", "tf", "__total", F.col("__s.p").alias("__p"))
-    similar = similarities(belonging.drop("__p"), scores, id, "topic", reduce_frequent_words)
-    weights = belonging.groupBy(id, "topic").agg(F.first("__p").alias("__p"))
-    weighted = similar.join(weights, [id, "topic"]).select(
+    # Documents without an id stand for nothing.
+    belonging = belonging.where(F.col(id).isNotNull())
+    weighted = similarities(belonging, scores, id, "topic", reduce_frequent_words, ["__p"]).select(
         "topic", id, F.round(F.col("similarity") * F.col("__p"), 9).alias("similarity")
     )
     best = Window.partitionBy("topic").orderBy(F.desc("similarity"), id)
@@ -111,9 +113,9 @@ def describe_soft_topics(
     """
     aspects = DEFAULT_ASPECTS if aspects is None else aspects
     terms = document_terms(documents, id, text, [shares], sizes=sizes, stop_words=stop_words)
-    counts = checkpoint(soft_counts(terms, topics, shares))
+    counts = at_rest(soft_counts(terms, topics, shares))
     scored = class_tfidf(counts, "topic", reduce_frequent_words)
-    scores = checkpoint(scored.withColumn("score", F.round("score", 9)))
+    scores = at_rest(scored.withColumn("score", F.round("score", 9)))
     near = checkpoint(
         soft_representatives(
             terms, scores, id, shares, least_share=least_share, reduce_frequent_words=reduce_frequent_words

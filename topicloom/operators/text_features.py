@@ -30,12 +30,30 @@ from topicloom.operators.skew import (
     frequent_keys,
     salted_join,
 )
+from topicloom.session import checkpoint
 
 
 #: Terms of a lemma table that is looked up inside the row: a map is searched from its first entry on.
 LEMMAS_IN_ROW = 256
 
 
+#: Letters of text that a task cuts into terms: what it counts of them stays in its memory.
+LETTERS_PER_TASK = 8_000_000
+
+#: Classes whose counts stand beside each other in the row of a term.
+CLASSES_IN_ROW = 64
+
+
+def dealt(df: DataFrame, text: str = "text") -> DataFrame:
+    """Texts in so many tasks that none has many more than ``LETTERS_PER_TASK``, as they are if they are already."""
+    letters = df.agg(F.sum(F.length(text).cast("long")).alias("n")).first().n or 0
+    wanted = -(-letters // LETTERS_PER_TASK)
+    # The plans spread small tables over all cores.
+    if wanted <= df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 def _kept(words: Column, clean: bool, stop_words: Sequence[str], extra: Sequence[str]) -> Column:
     """Stop words are met in any case; extra ones are compared with the token as it comes out."""
     cleaned = F.transform(words, F.lower) if clean else words
@@ -223,27 +241,90 @@ def class_counts(
 ) -> DataFrame:
     """``(group, term, n)``: term counts per class, combined within each task first."""
     group = as_list(group)
-    exploded = df.select(*group, F.explode(terms(text, sizes, stop_words)).alias("term"))
+    exploded = dealt(df, text).select(*group, F.explode(terms(text, sizes, stop_words)).alias("term"))
     return exploded.groupBy(*group, "term").agg(F.count("*").alias("n"))
 
 
+def class_totals(
+    df: DataFrame,
+    group: str,
+    text: str = "text",
+    sizes: tuple[int, int] = (1, 1),
+    stop_words: Sequence[str] = (),
+) -> DataFrame:
+    """``(group, total)``: the number of terms in each class, from the number of words of its texts."""
+    words = F.size(without(tokens(F.col(text)), stop_words))
+    sized = computed(df.where(F.col(text).isNotNull()).select(group, text), "__words", words)
+    found = [F.greatest(F.col("__words") - (n - 1), F.lit(0)) for n in range(sizes[0], sizes[1] + 1)]
+    sums = sized.groupBy(group).agg(F.sum(sum(found[1:], found[0]).cast("long")).alias("total"))
+    return checkpoint(sums.where("total > 0"))
+
+
+def counts_side_by_side(
+    rows: DataFrame, group: str, classes: DataFrame, n: Column | None = None
+) -> DataFrame:
+    """``(group, term, n, everywhere)`` from ``(group, term)``, ``n`` telling how often a row counts.
+
+    ``classes`` has a row per class. A term is shuffled once per task, with a sum for every class, so that
+    the count over all of them is at hand. More than ``CLASSES_IN_ROW`` classes go by rows of their own.
+    """
+    kind = rows.schema[group].dataType
+    some = [r[0] for r in classes.select(group).limit(CLASSES_IN_ROW + 1).collect()]
+    one = F.lit(1) if n is None else n
+    if not 0 < len(some) <= CLASSES_IN_ROW:
+        counts = rows.groupBy(group, "term").agg(F.sum(one).alias("n"))
+        return counts.withColumn("everywhere", F.sum("n").over(Window.partitionBy("term")))
+    values = [F.lit(v).cast(kind) for v in some]
+    sums = rows.groupBy("term").agg(
+        *[F.sum(F.when(F.col(group).eqNullSafe(v), one)).alias(f"__{i}") for i, v in enumerate(values)]
+    )
+    everywhere = sum([F.coalesce(F.col(f"__{i}"), F.lit(0)) for i in range(1, len(some))], F.coalesce(F.col("__0"), F.lit(0)))
+    held = F.array(*[F.struct(v.alias("c"), F.col(f"__{i}").alias("n")) for i, v in enumerate(values)])
+    found = sums.select("term", everywhere.alias("everywhere"), F.explode(held).alias("__s"))
+    return found.where(F.col("__s.n").isNotNull()).select(
+        F.col("__s.c").alias(group), "term", F.col("__s.n").alias("n"), "everywhere"
+    )
+
+
+def class_scores(
+    df: DataFrame,
+    group: str,
+    text: str = "text",
+    sizes: tuple[int, int] = (1, 1),
+    stop_words: Sequence[str] = (),
+    reduce_frequent_words: bool = False,
+) -> DataFrame:
+    """:func:`class_tfidf` of :func:`class_counts` from texts, with one shuffle of terms and none written."""
+    options = {"sizes": sizes, "stop_words": stop_words}
+    totals = class_totals(df, group, text, **options)
+    exploded = dealt(df, text).select(group, F.explode(terms(text, **options)).alias("term"))
+    counts = counts_side_by_side(exploded, group, totals)
+    return class_tfidf(counts, group, reduce_frequent_words, totals)
+
+
 def class_tfidf(
-    counts: DataFrame, group: str, reduce_frequent_words: bool = False
+    counts: DataFrame, group: str, reduce_frequent_words: bool = False, totals: DataFrame | None = None
 ) -> DataFrame:
     """``(group, term, n, idf, score)`` from class counts: ``tf * ln(1 + A / f)``.
 
     ``tf`` is the share of the term in its class, or the root of it when frequent words are
     reduced; ``f`` the count over all classes; ``A`` the mean number of terms per class, cut to a
     whole number. The class totals are small and joined as measured at run time. The counts are
-    read three times, so write or checkpoint them first.
+    read three times, so write or checkpoint them first; once, if ``totals`` are given as ``(group, total)``
+    and the counts have a column ``everywhere``.
     """
-    totals = counts.groupBy(group).agg(F.sum("n").alias("__total"))
+    small = totals is not None and totals.limit(CLASSES_IN_ROW + 1).count() <= CLASSES_IN_ROW
+    if totals is None:
+        totals = counts.groupBy(group).agg(F.sum("n").alias("total"))
+    totals = totals.select(group, F.col("total").alias("__total"))
     mean = totals.agg(F.floor(F.avg("__total")).alias("a")).scalar()
-    # A window holds one term: a row per class.
-    everywhere = F.sum("n").over(Window.partitionBy("term"))
-    idf = F.log(1.0 + mean / F.col("__f"))
-    weighted = counts.withColumn("__f", everywhere).select(group, "term", "n", idf.alias("idf"))
+    if "everywhere" not in counts.columns:
+        # A window holds one term: a row per class.
+        counts = counts.withColumn("everywhere", F.sum("n").over(Window.partitionBy("term")))
+    idf = F.log(1.0 + mean / F.col("everywhere"))
+    weighted = counts.select(group, "term", "n", idf.alias("idf"))
     score = share(F.col("n"), F.col("__total"), reduce_frequent_words) * F.col("idf")
+    totals = F.broadcast(totals) if small else totals
     return weighted.join(totals, group).select(group, "term", "n", "idf", score.alias("score"))
 
 

@@ -18,15 +18,18 @@ from topicloom.functions.text import topic_name
 from topicloom.functions.vectors import cosine
 from topicloom.operators.clustering import Chosen, assign, auto_kmeans, centroids
 from topicloom.operators.embedding import embed
-from topicloom.operators.skew import attach, frequent_keys, salted_join
+from topicloom.operators.skew import ROWS_PER_TASK, attach, frequent_keys, salted_join
 from topicloom.operators.text_features import (
-    class_counts,
+    class_scores,
     class_tfidf,
+    class_totals,
     count_vectorize,
+    counts_side_by_side,
+    dealt,
     share,
     top_terms,
 )
-from topicloom.session import checkpoint
+from topicloom.session import at_rest, checkpoint
 
 # The defaults of the topic descriptions.
 CANDIDATE_WORDS = 100
@@ -46,9 +49,9 @@ def document_terms(
 ) -> DataFrame:
     """``(id, extra ..., term, tf, __total)``: what scores and representatives of topics are made of.
 
-    Written once, as texts are costly to cut into n-grams.
+    Cut anew from the texts wherever it is read: written, n-grams are many times the size of the texts.
     """
-    return checkpoint(count_vectorize(df, [id, *extra], text, total="__total", **options))
+    return count_vectorize(dealt(df, text), [id, *extra], text, total="__total", **options)
 
 
 def topic_counts(terms: DataFrame, topic: str = "topic") -> DataFrame:
@@ -56,23 +59,30 @@ def topic_counts(terms: DataFrame, topic: str = "topic") -> DataFrame:
     return terms.groupBy(topic, "term").agg(F.sum("tf").alias("n"))
 
 
-def similarities(placed: DataFrame, scores: DataFrame, id: str, topic: str, reduce_frequent_words: bool) -> DataFrame:
-    """``(topic, id, similarity)``: cosine of each document with the class TF-IDF vector of its topic.
+def similarities(
+    placed: DataFrame, scores: DataFrame, id: str, topic: str, reduce_frequent_words: bool, extra: Sequence[str] = ()
+) -> DataFrame:
+    """``(topic, id, similarity, extra ...)``: cosine of each document with the class TF-IDF vector of its topic.
 
-    ``placed`` has ``(id, topic, term, tf, __total)``. A document is weighted like a class: share of its
+    ``placed`` has ``(id, topic, term, tf, __total)`` and what goes with a document, ``extra``. A document is weighted like a class: share of its
     terms times the same inverse frequencies.
     """
     terms = scores.select(topic, "term", "score", "idf")
-    # The count in the class is no less than the number of documents that have the term.
-    hot = frequent_keys(scores, [topic, "term"], weight="n")
+    # The count in the class is no less than the number of documents that have the term. A key is one row.
+    many = scores.where(F.col("n") > ROWS_PER_TASK)
+    hot = frequent_keys(many, [topic, "term"], weight="n")
     joined = salted_join(placed, terms, [topic, "term"], id, hot)
     weight = share(F.col("tf"), F.col("__total"), reduce_frequent_words) * F.col("idf")
     sums = joined.groupBy(id, topic).agg(
-        F.sum(weight * F.col("score")).alias("__dot"), F.sum(weight * weight).alias("__own")
+        F.sum(weight * F.col("score")).alias("__dot"),
+        F.sum(weight * weight).alias("__own"),
+        *[F.first(c).alias(c) for c in extra],
     )
     squares = terms.groupBy(topic).agg(F.sum(F.col("score") * F.col("score")).alias("__class"))
     similarity = F.col("__dot") / F.sqrt(F.col("__own") * F.col("__class"))
-    return attach(sums, squares, topic, "inner").select(topic, id, F.round(similarity, 9).alias("similarity"))
+    return attach(sums, squares, topic, "inner").select(
+        topic, id, F.round(similarity, 9).alias("similarity"), *extra
+    )
 
 
 def representative_documents(
@@ -365,8 +375,7 @@ def score_words(
     reduce_frequent_words: bool = True,
 ) -> DataFrame:
     """Class TF-IDF of the words of each topic."""
-    counts = checkpoint(class_counts(documents, "topic", text, sizes, stop_words))
-    return class_tfidf(counts, "topic", reduce_frequent_words)
+    return class_scores(documents, "topic", text, sizes, stop_words, reduce_frequent_words)
 
 
 def describe(
@@ -452,7 +461,9 @@ def update_topics(model: TopicModel, **changes: Any) -> TopicModel:
     id, reduced = settings["id"], settings["reduce_frequent_words"]
     options = {name: settings[name] for name in ("sizes", "stop_words")}
     terms = document_terms(model.documents, id, settings["text"], **options)
-    scores = checkpoint(class_tfidf(checkpoint(topic_counts(terms)), "topic", reduced))
+    totals = class_totals(model.documents, "topic", settings["text"], **options)
+    counts = counts_side_by_side(terms, "topic", totals, F.col("tf"))
+    scores = at_rest(class_tfidf(counts, "topic", reduced, totals))
     near = representative_documents(
         model.documents, scores, id, reduce_frequent_words=reduced, terms=terms
     )

@@ -101,7 +101,7 @@ def sentence_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 def ngram_counts(spark: SparkSession, folder: str) -> DataFrame:
     counts = features.count_vectorize(
-        text_table(spark, folder), "doc_id", sizes=(1, 3), stop_words=STOP_WORDS
+        features.dealt(text_table(spark, folder)), "doc_id", sizes=(1, 3), stop_words=STOP_WORDS
     )
     return counts.groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("tf").alias("n"))
 
@@ -187,10 +187,9 @@ SELECT quality, term, n, round(score, 6) AS score FROM scores"""
 
 
 def top_terms(spark: SparkSession, folder: str) -> DataFrame:
-    counts = checkpoint(
-        features.class_counts(text_table(spark, folder), "lang", sizes=(1, 3), stop_words=STOP_WORDS)
+    scored = features.class_scores(
+        text_table(spark, folder), "lang", sizes=(1, 3), stop_words=STOP_WORDS, reduce_frequent_words=True
     )
-    scored = features.class_tfidf(counts, "lang", reduce_frequent_words=True)
     best = features.top_terms(scored.withColumn("score", F.round("score", 9)), "lang", 50)
     return best.select("lang", "rank", "term", "n", F.round("score", 6).alias("score"))
 
