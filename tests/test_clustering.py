@@ -215,3 +215,20 @@ def test_embedded_text_can_be_assigned(spark):
     df = spark.createDataFrame([(1, "some words"), (2, "other words")], "id int, text string")
     found = clustering.assign(embed(df, "text"), [(0, [0.1] * 64), (1, [-0.1] * 64)]).drop("embedding", "distance")
     assert found.count() == 2 and found.where("cluster is null").count() == 0
+
+
+def test_experiment_makes_vectors_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def vector(n):
+        made.add(1)
+        return [float(n % 7), float(n % 5), float(n % 3)]
+
+    df = spark.range(200)
+    done = clustering.run_experiment(
+        df, "id", "id", lambda d: d.withColumn("embedding", vector("id")),
+        lambda d: clustering.auto_kmeans(d, range(2, 4)), components=2,
+    )
+    assert done.labelled.count() == 200
+    assert made.value == 200

@@ -162,3 +162,23 @@ def test_lemmas(spark, monkeypatch, few):
     assert found[None] == ["cats"]
     none = features.lemmatize(df, lemmas.where("term = 'no'"), "id", out="same")
     assert all(r.same == r.tokens for r in none.collect())
+
+
+@pytest.mark.parametrize("in_row", [64, 1])
+def test_scores_of_classes_from_texts(spark, monkeypatch, in_row):
+    """As from counts; a class may be null, a text may be missing, copies of a row count."""
+    monkeypatch.setattr(features, "CLASSES_IN_ROW", in_row)
+    data = [("a", "cat dog cat"), ("b", "dog cow the dog"), (None, "cow cat"), ("a", None), ("c", ""), ("a", "cat dog cat")]
+    df = spark.createDataFrame(data, "kind string, text string")
+    options = {"sizes": (1, 2), "stop_words": ["the"]}
+    counts = features.class_counts(df, "kind", **options)
+    expected = rows(features.class_tfidf(counts, "kind", True).select("kind", "term", "n", F.round("score", 9)))
+    found = features.class_scores(df, "kind", **options, reduce_frequent_words=True)
+    assert rows(found.select("kind", "term", "n", F.round("score", 9))) == expected
+
+
+def test_texts_are_dealt_by_letters(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "word " * 20) for i in range(100)], "doc_id int, text string").coalesce(1)
+    assert features.dealt(df).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(features, "LETTERS_PER_TASK", 500)
+    assert features.dealt(df).rdd.getNumPartitions() == 20
