@@ -269,3 +269,28 @@ def test_points_ask_where_something_may_be_near():
             left_out += len(silent)
             assert not (apart[np.ix_(silent, cell == target)] <= 0.2).any()
     assert left_out > 600 * 11 / 2
+
+
+def test_density_sends_a_block_once_per_group(spark):
+    """Points without structure: every block meets every other, and is sent to 12 tiles, not to all blocks."""
+    x = np.random.default_rng(3).normal(size=(640, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in p], 1) for i, p in enumerate(x)], "p long, v array<double>, n long")
+    packed, directory, n = density.pack_blocks(df, 8)
+    groups = density.block_groups(directory, n)
+
+    def sent(tile):
+        met = sum(1 for _ in tile.pairs())
+        return density.pa.table({"blocks": [len(tile.vectors)], "pairs": [met]})
+
+    found = density._tiles(packed, directory, groups, 100.0, sent, "blocks long, pairs long").collect()
+    blocks = packed.count()
+    assert blocks > 50 and len(groups) == 12 and len(found) == 78
+    assert sum(r.blocks for r in found) == 12 * blocks
+    assert sum(r.pairs for r in found) == blocks * (blocks + 1) // 2
+
+
+def test_broken_vectors_are_noise(spark):
+    data = [(i, [0.1 * i, 0.0]) for i in range(6)] + [(7, None), (8, [float("nan"), 0.0]), (9, [None, 0.0])]
+    df = spark.createDataFrame(data, "id long, embedding array<double>")
+    found = rows(dbscan(df, 0.25, 3))
+    assert found == sorted([(i, True, 0) for i in range(6)] + [(i, False, -1) for i in (7, 8, 9)], key=repr)
