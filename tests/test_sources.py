@@ -169,3 +169,13 @@ def test_root_folder_and_lines_of_white_space(spark, tmp_path):
     assert found == [("a", "s.vtt", 0.0, 2.389, "first\n \nthird"), ("c", "s.vtt", 0.0, 2.389, "welcome to")]
     assert rows(read_captions(spark, f"{tmp_path}/*/*.vtt"), "video_id") == [("a",)]
     assert rows(read_video_info(spark, str(tmp_path)), "video_id") == [("a",), ("c",)]
+
+
+def test_files_of_conversations_are_dealt_to_tasks(spark):
+    from topicloom.plans import captions as plans
+
+    turns = spark.range(100).select(F.col("id").alias("conv_id"), F.lit("text").alias("value"))
+    files = turns.groupBy("conv_id").agg(F.first("value").alias("value"))
+    found = spark.read.text(plans._files(files, spark, "videos"), wholetext=True, recursiveFileLookup=True)
+    names = [r.n for r in found.select(F.col("_metadata.file_name").alias("n")).collect()]
+    assert len(names) == 100 and len({n[:10] for n in names}) == 4

@@ -407,10 +407,18 @@ SELECT doc_id,
 FROM documents"""
 
 
+#: Files that a task writes, about.
+FILES_PER_TASK = 32
+
+
 def _files(df: DataFrame, spark: SparkSession, name: str) -> str:
-    """Write one text file per conversation below a folder of its own; returns the root folder."""
+    """Write one text file per conversation below a folder of its own; returns the root folder.
+
+    Time goes by files and not by bytes, so files are what is dealt to tasks.
+    """
     path = scratch_path(spark, name)
-    df.write.partitionBy("conv_id").text(path)
+    tasks = max(1, -(-df.count() // FILES_PER_TASK))
+    df.repartition(tasks, "conv_id").write.partitionBy("conv_id").text(path)
     return path
 
 
