@@ -182,3 +182,25 @@ def test_texts_are_dealt_by_letters(spark, monkeypatch):
     assert features.dealt(df).rdd.getNumPartitions() == 1
     monkeypatch.setattr(features, "LETTERS_PER_TASK", 500)
     assert features.dealt(df).rdd.getNumPartitions() == 20
+
+
+@pytest.mark.parametrize("common", [100_000, 2])
+def test_sentences_are_scored_without_sending_common_terms(spark, monkeypatch, common):
+    """As by weights of terms joined with sentences, also for ids of several rows; null ids have no summary."""
+    monkeypatch.setattr(features, "COMMON_TERMS", common)
+    text = "one two two\nthree one\n\n  two four five "
+    data = [(1, text), (2, "two six\nseven two"), (3, text), (3, "six six\ntwo"), (None, text), (4, None), (5, "one\none two")]
+    df = spark.createDataFrame(data, "doc_id int, text string")
+    places = features._places_of_terms(df, "doc_id", "text", "\n")
+    found = {(r.doc_id, r.term): r["__places"] for r in places.where("doc_id = 1").collect()}
+    assert found[1, "two"] == [0, 0, 3] and found[1, "one"] == [0, 1] and len(found) == 5
+    by_join = features._sentence_scores(df, features.tfidf(df, "doc_id"), "doc_id", "text", "\n")
+    single = df.where("doc_id IN (1, 2, 5)")
+    idf = features._inverse(places, df.count())
+    by_sums = features._scores_by_sums(features._places_of_terms(single, "doc_id", "text", "\n"), idf, "doc_id")
+    columns = ["doc_id", "__at", F.round("__score", 12)]
+    assert rows(by_sums.select(*columns)) == rows(by_join.where("doc_id IN (1, 2, 5)").select(*columns))
+    partial = by_sums._jdf.queryExecution().executedPlan().toString()
+    assert ("BroadcastHashJoin" in partial) and partial.count("partial_sum") >= 2
+    got = {(r.doc_id, r.summary) for r in features.tfidf_summarize(df, "doc_id", n=1).collect()}
+    assert len(got) == 6 and (None, "") in got and (4, "") in got

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from topicloom.functions.binding import computed
 from topicloom.functions.text import (
+    collapse_repeats,
     hash_weights,
     ngrams,
     split_text,
@@ -30,7 +31,7 @@ from topicloom.operators.skew import (
     frequent_keys,
     salted_join,
 )
-from topicloom.session import checkpoint
+from topicloom.session import at_rest, checkpoint
 
 
 #: Terms of a lemma table that is looked up inside the row: a map is searched from its first entry on.
@@ -40,6 +41,9 @@ LEMMAS_IN_ROW = 256
 #: Letters of text that a task cuts into terms: what it counts of them stays in its memory.
 LETTERS_PER_TASK = 8_000_000
 
+#: Terms of the most documents whose weights every task may hold.
+COMMON_TERMS = 100_000
+
 #: Classes whose counts stand beside each other in the row of a term.
 CLASSES_IN_ROW = 64
 
@@ -194,12 +198,17 @@ def tfidf(
     """``(id, term, tfidf)`` with ``tf * (ln((1 + n) / (1 + df)) + 1)`` at document length one."""
     options = {"sizes": sizes, "stop_words": stop_words}
     counts = count_vectorize(df, id, text, **options)
-    n = df.count()
+    idf = _inverse(counts, df.count())
+    return _at_length_one(counts, idf, id, frequent_terms(df, id, text, **options))
+
+
+def _inverse(counts: DataFrame, n: int) -> DataFrame:
+    """``(term, __idf)`` of terms that have one row per document, of ``n`` documents."""
     documents = counts.groupBy("term").agg(F.count("*").alias("__df"))
-    idf = documents.select(
-        "term", (F.log((1.0 + n) / (1.0 + F.col("__df"))) + 1.0).alias("__idf")
-    )
-    hot = frequent_terms(df, id, text, **options)
+    return documents.select("term", (F.log((1.0 + n) / (1.0 + F.col("__df"))) + 1.0).alias("__idf"))
+
+
+def _at_length_one(counts: DataFrame, idf: DataFrame, id: str, hot: Sequence[int]) -> DataFrame:
     weighted = salted_join(counts, idf, "term", id, hot).withColumn(
         "__w", F.col("tf") * F.col("__idf")
     )
@@ -344,26 +353,87 @@ def top_terms(
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
 
 
+def _sentence_scores(df: DataFrame, weights: DataFrame, id: str, text: str, separator: str) -> DataFrame:
+    """``(id, __at, __score)`` by a join of the terms of sentences with weights of documents."""
+    sentences = df.select(id, F.posexplode(split_text(F.col(text), separator)).alias("__at", "__sentence"))
+    words = sentences.select(id, "__at", F.explode(tokens(strip(F.col("__sentence")))).alias("term"))
+    # Term counts per sentence meet the weights on document and term, which no row dominates.
+    return (
+        words.groupBy(id, "__at", "term")
+        .agg(F.count("*").alias("__n"))
+        .join(weights, [id, "term"])
+        .groupBy(id, "__at")
+        .agg((F.sum(F.col("tfidf") * F.col("__n")) / F.sum("__n")).alias("__score"))
+    )
+
+
+def _places_of_terms(df: DataFrame, id: str, text: str, separator: str) -> DataFrame:
+    """``(id, term, __places)``: of each term of a document the sentence of every occurrence. No shuffle."""
+
+    def said(sentence: Column, at: Column) -> Column:
+        return F.transform(tokens(sentence), lambda term: F.struct(term.alias("term"), at.alias("at")))
+
+    pairs = F.sort_array(F.flatten(F.transform(split_text(F.col(text), separator), said)))
+    found = computed(df.select(id, text), "__pairs", pairs).drop(text)
+    runs = collapse_repeats(F.transform("__pairs", lambda p: p["term"]))
+    found = found.select(id, "__pairs", F.explode(runs).alias("__run"))
+    members = F.slice("__pairs", F.col("__run.first") + 1, F.col("__run.last") - F.col("__run.first") + 1)
+    return found.select(
+        id, F.col("__run.value").alias("term"), F.transform(members, lambda p: p["at"]).alias("__places")
+    )
+
+
+def _scores_by_sums(places: DataFrame, idf: DataFrame, id: str) -> DataFrame:
+    """``(id, __at, __score)`` of documents that are one row each.
+
+    Rows of common terms stay in the task that made them, and are summed up there before anything is
+    shuffled; only those of the other terms are sent to their weights.
+    """
+    common = F.broadcast(idf.orderBy("__idf", "term").limit(COMMON_TERMS))
+    # Each branch makes its terms anew: as rows they are many times the size of the texts.
+    near = places.join(common, "term")
+    far = places.join(common, "term", "left_anti").join(idf, "term")
+    weight = F.size("__places") * F.col("__idf")
+
+    def sums(rows: DataFrame) -> DataFrame:
+        # Place -1 stands for the whole document.
+        weighed = rows.select(id, weight.alias("__w"), F.explode(F.concat("__places", F.array(F.lit(-1)))).alias("__at"))
+        part = F.when(F.col("__at") < 0, F.col("__w") * F.col("__w")).otherwise(F.col("__w"))
+        return weighed.groupBy(id, "__at").agg(F.sum(part).alias("__sum"), F.count("*").alias("__n"))
+
+    parts = sums(near).unionByName(sums(far)).groupBy(id, "__at").agg(F.sum("__sum").alias("__sum"), F.sum("__n").alias("__n"))
+    squares = F.max(F.when(F.col("__at") < 0, F.col("__sum"))).over(Window.partitionBy(id))
+    scored = parts.withColumn("__squares", squares).where("__at >= 0")
+    return scored.select(id, "__at", (F.col("__sum") / F.col("__n") / F.sqrt("__squares")).alias("__score"))
+
+
 def tfidf_summarize(
     df: DataFrame, id: str, text: str = "text", n: int = 3, separator: str = "\n"
 ) -> DataFrame:
     """``(id, summary)``: the ``n`` sentences with the highest mean TF-IDF, in text order.
 
-    A document without any token has an empty summary.
+    A document without any token has an empty summary. Rows of one id are one document.
     """
-    weights = tfidf(df, id, text)
+    if separator.isspace():
+        # Sentences have the terms of their text, and a document of one row is summed up without a join of its own.
+        places = _places_of_terms(df, id, text, separator)
+        idf = at_rest(_inverse(places, df.count()))
+        counted = df.where(F.col(id).isNotNull()).groupBy(F.col(id).alias("__several")).count()
+        several = checkpoint(counted.where("count > 1").select("__several"))
+        repeated = F.col(id) == F.col("__several")
+        scored = None
+        if several.take(1):
+            rest = df.join(several, repeated, "left_semi")
+            weights = _at_length_one(count_vectorize(rest, id, text), idf, id, frequent_terms(rest, id, text))
+            scored = _sentence_scores(rest, weights, id, text, separator)
+            places = _places_of_terms(df.join(several, repeated, "left_anti"), id, text, separator)
+        summed = _scores_by_sums(places.where(F.col(id).isNotNull()), idf, id)
+        scored = summed if scored is None else summed.unionByName(scored)
+    else:
+        scored = _sentence_scores(df, tfidf(df, id, text), id, text, separator)
     sentences = df.select(
         id, F.posexplode(split_text(F.col(text), separator)).alias("__at", "__sentence")
     ).withColumn("__sentence", strip(F.col("__sentence")))
-    words = sentences.select(id, "__at", F.explode(tokens(F.col("__sentence"))).alias("term"))
-    # Term counts per sentence meet the weights on document and term, which no row dominates.
-    scored = (
-        words.groupBy(id, "__at", "term")
-        .agg(F.count("*").alias("__n"))
-        .join(weights, [id, "term"])
-        .groupBy(id, "__at")
-        .agg((F.sum(F.col("tfidf") * F.col("__n")) / F.sum("__n")).alias("__score"))
-    )
     best = Window.partitionBy(id).orderBy(F.desc(F.round("__score", 9)), "__at")
     chosen = scored.withColumn("__rank", F.row_number().over(best)).where(F.col("__rank") <= n)
     ordered = F.sort_array(F.collect_list(F.struct("__at", "__sentence")))
