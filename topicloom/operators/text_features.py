@@ -390,7 +390,6 @@ def _scores_by_sums(places: DataFrame, idf: DataFrame, id: str) -> DataFrame:
     shuffled; only those of the other terms are sent to their weights.
     """
     common = F.broadcast(idf.orderBy("__idf", "term").limit(COMMON_TERMS))
-    # Each branch makes its terms anew: as rows they are many times the size of the texts.
     near = places.join(common, "term")
     far = places.join(common, "term", "left_anti").join(idf, "term")
     weight = F.size("__places") * F.col("__idf")
@@ -416,7 +415,8 @@ def tfidf_summarize(
     """
     if separator.isspace():
         # Sentences have the terms of their text, and a document of one row is summed up without a join of its own.
-        places = _places_of_terms(df, id, text, separator)
+        # Terms are cut out of the texts once and read three times.
+        places = at_rest(_places_of_terms(df, id, text, separator))
         idf = at_rest(_inverse(places, df.count()))
         counted = df.where(F.col(id).isNotNull()).groupBy(F.col(id).alias("__several")).count()
         several = checkpoint(counted.where("count > 1").select("__several"))
@@ -426,7 +426,7 @@ def tfidf_summarize(
             rest = df.join(several, repeated, "left_semi")
             weights = _at_length_one(count_vectorize(rest, id, text), idf, id, frequent_terms(rest, id, text))
             scored = _sentence_scores(rest, weights, id, text, separator)
-            places = _places_of_terms(df.join(several, repeated, "left_anti"), id, text, separator)
+            places = places.join(several, repeated, "left_anti")
         summed = _scores_by_sums(places.where(F.col(id).isNotNull()), idf, id)
         scored = summed if scored is None else summed.unionByName(scored)
     else:
