@@ -1,9 +1,11 @@
 """Repeated words and bytes, and what carries them."""
 
 import random
+import tracemalloc
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +115,59 @@ def test_places_are_those_of_spark(spark):
     found = df.select("id", F.pmod(F.xxhash64("id"), F.lit(17)).alias("p")).collect()
     mine = packed.place_of(np.array([r.id for r in found]), 17)
     assert mine.tolist() == [r.p for r in found]
+
+
+def peak_of(work):
+    """Bytes held at most while ``work`` runs, and what it returns."""
+    tracemalloc.start()
+    try:
+        result = work()
+        return tracemalloc.get_traced_memory()[1], result
+    finally:
+        tracemalloc.stop()
+
+
+def some_entries(size, seed=0):
+    rng = np.random.default_rng(seed)
+    keys = rng.integers(0, 1 << 20, size).astype(np.uint64) << np.uint64(44)
+    return packed.Entries.of(keys, rng.integers(0, 1000, size), rng.random(size) < 0.2)
+
+
+def test_a_sender_holds_few_copies_of_its_entries():
+    size = 1 << 18
+    layout = packed.Layout(16, 4, 50)
+    # Each entry takes 25 bytes, which are made while memory is watched.
+    peak, blocks = peak_of(lambda: list(packed.blocks_of(layout, some_entries(size))))
+    assert peak < 3 * 25 * size
+    back = packed.Entries.joined([packed.unpack(b) for _, b in blocks])
+    pairs = {}
+    all_entries = some_entries(size)
+    for key, doc, mark in zip(
+        layout.shorten(all_entries.keys).tolist(), all_entries.docs.tolist(), all_entries.marks.tolist(), strict=True
+    ):
+        pairs[key, doc] = pairs.get((key, doc), False) or mark
+    assert set(zip(back.keys.tolist(), back.docs.tolist(), strict=True)) == set(pairs)
+    # Neighbouring entries of one key and text became one, marked where any of them was.
+    marked = set(zip(back.keys[back.marks].tolist(), back.docs[back.marks].tolist(), strict=True))
+    assert marked == {pair for pair, mark in pairs.items() if mark}
+
+
+@pytest.mark.parametrize("choose", [packed.shared_keys, packed.later_keys])
+def test_a_bucket_holds_few_copies_of_its_entries(choose):
+    parts = [some_entries(1 << 15, seed) for seed in range(16)]
+    blocks = pa.chunked_array([[packed.pack(p[np.argsort(p.keys, kind="stable")]) for p in parts]], pa.binary())
+    peak, found = peak_of(lambda: packed.chosen(blocks, choose))
+    assert peak < 2.8 * 25 * (16 << 15)
+    e = packed.Entries.joined(parts)
+    wanted = choose(e[np.argsort(e.keys, kind="stable")])
+    assert len(found) and sorted(zip(found.keys.tolist(), found.docs.tolist(), strict=True)) == sorted(
+        zip(wanted.keys.tolist(), wanted.docs.tolist(), strict=True)
+    )
+
+
+def test_words_are_hashed_in_small_pieces():
+    data = np.frombuffer(b"some words of a text " * 40_000, np.uint8)
+    split = words.Words(data, np.array([0, len(data)]))
+    split.hashes()  # the table of multipliers stays
+    peak, _ = peak_of(split.hashes)
+    assert peak < 16 * len(data)

@@ -96,7 +96,22 @@ def unpack(block: bytes) -> Entries:
 
 
 def unpack_all(blocks: pa.ChunkedArray) -> Entries:
-    return Entries.joined([unpack(b.as_py()) for b in blocks])
+    return taken([unpack(b.as_py()) for b in blocks])
+
+
+def taken(parts: list[Entries]) -> Entries:
+    """The entries of all parts, which are let go column by column: ``parts`` is empty then."""
+    if not parts:
+        return Entries.joined(parts)
+    columns = [list(c) for c in zip(*((p.keys, p.docs, p.values, p.marks) for p in parts), strict=True)]
+    parts.clear()
+    return Entries(*(_joined_column(c) for c in columns))
+
+
+def _joined_column(pieces: list[np.ndarray]) -> np.ndarray:
+    column = np.concatenate(pieces)
+    pieces.clear()
+    return column
 
 
 @dataclass(frozen=True)
@@ -155,13 +170,19 @@ def blocks_of(layout: Layout, entries: Entries) -> Iterator[tuple[int, bytes]]:
     """Blocks by bucket. Entries of one key, text and value that come together become one."""
     if not len(entries):
         return
+    # Columns that are done with are let go: a worker holds little more than the entries twice.
     short = layout.shorten(entries.keys)
     order = np.argsort(short, kind="stable")
-    short, e = short[order], entries[order]
+    short, docs, values, marks = short[order], entries.docs[order], entries.values[order], entries.marks[order]
+    del entries, order
     new = np.ones(len(short), bool)
-    new[1:] = (short[1:] != short[:-1]) | (e.docs[1:] != e.docs[:-1]) | (e.values[1:] != e.values[:-1])
+    new[1:] = (short[1:] != short[:-1]) | (docs[1:] != docs[:-1]) | (values[1:] != values[:-1])
     at = np.flatnonzero(new)
-    e = Entries(short[at], e.docs[at], e.values[at], np.logical_or.reduceat(e.marks, at))
+    if len(at) < len(short):
+        short, docs, values = short[at], docs[at], values[at]
+        marks = np.logical_or.reduceat(marks, at)
+    e = Entries(short, docs, values, marks)
+    del new, short, docs, values, marks
     bucket = layout.bucket(e.keys)
     cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(at)]
     for begin, end in zip(cuts, cuts[1:], strict=False):
@@ -191,11 +212,10 @@ def send(docs: DataFrame, id: str, text: str, enter: Enter, layout: Layout) -> D
                 cut = offsets[begin : end + 1]
                 parts.append(enter(data[cut[0] : cut[-1]], cut - cut[0], ids[begin:end]))
                 if sum(map(len, parts)) >= KEYS_SENT:
-                    yield block_rows(blocks_of(layout, Entries.joined(parts)), BLOCK_SCHEMA)
-                    parts = []
+                    yield block_rows(blocks_of(layout, taken(parts)), BLOCK_SCHEMA)
+                    give_back()
         if parts:
-            yield block_rows(blocks_of(layout, Entries.joined(parts)), BLOCK_SCHEMA)
-        parts = []
+            yield block_rows(blocks_of(layout, taken(parts)), BLOCK_SCHEMA)
         give_back()
 
     return (
@@ -218,8 +238,9 @@ def shared_keys(e: Entries) -> Entries:
     """Entries of keys that a text holds marked and a later one holds at all, from the first on."""
     starts, sizes = _groups(e.keys)
     first = np.minimum.reduceat(np.where(e.marks, e.docs, np.iinfo(np.int64).max), starts)
-    last = np.maximum.reduceat(e.docs, starts)
-    return e[np.repeat(first < last, sizes) & (e.docs >= np.repeat(first, sizes))]
+    shared = np.repeat(first < np.maximum.reduceat(e.docs, starts), sizes)
+    shared &= e.docs >= np.repeat(first, sizes)
+    return e[shared]
 
 
 def later_keys(e: Entries) -> Entries:
@@ -234,13 +255,20 @@ def repeated_keys(e: Entries) -> Entries:
     return e[np.repeat((sizes > 1) | np.logical_or.reduceat(e.marks, starts), sizes)]
 
 
+def chosen(blocks: pa.ChunkedArray, choose: Choose) -> Entries:
+    """What ``choose`` makes of the entries of a bucket; of these one copy is held meanwhile."""
+    entries = unpack_all(blocks)
+    if len(entries):
+        entries = entries[np.argsort(entries.keys, kind="stable")]
+        entries = choose(entries)
+    return entries
+
+
 def meet(blocks: DataFrame, choose: Choose, layout: Layout) -> DataFrame:
     """``(place, block)``: the entries that ``choose`` makes of each bucket, sent to their texts."""
 
     def run(table: pa.Table) -> pa.Table:
-        entries = unpack_all(table.column("block"))
-        if len(entries):
-            entries = choose(entries[np.argsort(entries.keys, kind="stable")])
+        entries = chosen(table.column("block"), choose)
         place = place_of(entries.docs, layout.places)
         order = np.argsort(place, kind="stable")
         place, entries = place[order], entries[order]

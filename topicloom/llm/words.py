@@ -134,7 +134,8 @@ class Words:
         begin = 0
         while begin < len(found):
             base = self.starts[begin]
-            end = int(np.searchsorted(self.ends, base + SLICE_BYTES, side="right"))
+            # Eight arrays of 64 bits per byte are held meanwhile, so pieces are smaller than slices.
+            end = int(np.searchsorted(self.ends, base + SLICE_BYTES // 8, side="right"))
             end = max(end, begin + 1)
             part = self.data[base : self.ends[end - 1]]
             if lower:
