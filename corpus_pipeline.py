@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from topicloom.llm import bpe, language, minhash, queries, spaced_seeds, substring
-from topicloom.llm.store import written
+from topicloom.llm.store import small_batches, written
 from topicloom.operators.skew import frequent_keys, salted_join
 from topicloom.sources.tables import load
 
@@ -25,6 +25,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     null or has no letter. Texts of several languages stay: every span of theirs is in one that is known.
     Where nothing is labelled there is no model, and every document with a letter stays.
     """
+    small_batches(spark)
     model = queries.fitted_language(docs)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
@@ -39,6 +40,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     smallest id in a group the first by its columns stays.
     Documents without words or without an id are in no group and all stay.
     """
+    small_batches(spark)
     several = docs.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows"))
     several = written(several.where("__rows > 1 AND __id IS NOT NULL").select("__id"), "repeated_ids")
     if not several.take(1):
@@ -65,6 +67,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A document that loses words is rewritten as the others joined by blanks, with ``n_chars`` anew; one
     that loses nothing stays as it is; one that loses all of its words goes.
     """
+    small_batches(spark)
     cut = substring.remove_repeats(docs, keep=[c for c in docs.columns if c != "text"])
     changed = F.col("n_removed") > 0
     left = F.col("kept").cast("string")
@@ -87,6 +90,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of every document, and a digest of what they decode to."""
+    small_batches(spark)
     encoded = bpe.encode_texts(docs, queries.vocabulary())
     return encoded.select(
         "doc_id",

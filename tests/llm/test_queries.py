@@ -5,6 +5,7 @@ import hashlib
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -156,3 +157,22 @@ def test_words_that_powers_of_one_number_confuse(spark):
     assert queries.substring.remove_repeats(docs).where("n_removed > 0").count() == 0
     alone = spark.createDataFrame([(1, one), (2, other)], schema)
     assert queries.minhash.near_duplicates(alone).where("kept").count() == 2
+
+
+@pytest.mark.parametrize("name", ["language", "near_duplicates", "repeats", "tokens"])
+def test_stages_send_texts_in_small_batches(spark, name):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.range(0, 600, 1, 1).selectExpr("id AS doc_id", "repeat('a b ', 5000) AS text")
+
+    def rows_of_batches():
+        sizes = lambda batches: (pa.RecordBatch.from_pydict({"doc_id": [b.num_rows]}) for b in batches)
+        return [r.doc_id for r in texts.mapInArrow(sizes, "doc_id long").collect()]
+
+    spark.conf.unset(setting)
+    try:
+        assert max(rows_of_batches()) == 600
+        docs = spark.createDataFrame([(1, "a", None, None, 1)], "doc_id long, text string, lang string, source string, n_chars long")
+        dict(corpus_pipeline.STAGES)[name](spark, docs, FOLDER)
+        assert max(rows_of_batches()) < 300
+    finally:
+        spark.conf.unset(setting)
