@@ -6,6 +6,7 @@ from topicloom.operators import blocks, density, neighbours, projections
 from topicloom.operators.components import connected_components
 from topicloom.operators.density import dbscan
 from topicloom.operators.neighbours import Cells
+from topicloom.plans import vectors as plans
 
 
 @pytest.fixture(scope="module")
@@ -294,3 +295,37 @@ def test_broken_vectors_are_noise(spark):
     df = spark.createDataFrame(data, "id long, embedding array<double>")
     found = rows(dbscan(df, 0.25, 3))
     assert found == sorted([(i, True, 0) for i in range(6)] + [(i, False, -1) for i in (7, 8, 9)], key=repr)
+
+
+@pytest.mark.parametrize("block_rows", [16, 10_000])
+def test_all_pairs(table, points, block_rows):
+    d, names = distances(points), ids(points)
+    found = neighbours.all_pairs(table, "id", "embedding", block_rows).collect()
+    assert len(found) == len({(r.i, r.j) for r in found}) == len(points) * (len(points) - 1)
+    at = {int(n): i for i, n in enumerate(names)}
+    assert all(abs(r.distance - d[at[r.i], at[r.j]]) < 1e-9 for r in found)
+
+
+def test_all_pairs_of_odd_rows(spark):
+    """Of several vectors of an id the nearest counts; numbers without end or sense spoil their own pairs only."""
+    odd = [("a", [0.0]), ("a", [4.0]), ("a", [4.0]), ("b", [5.0]), ("c", [float("inf")]), ("d", None), (None, [1.0]), ("e", [])]
+    df = spark.createDataFrame(odd, "id string, vector array<double>")
+    far = float("inf")
+    expected = [("a", "b", 1.0), ("a", "c", far), ("b", "a", 1.0), ("b", "c", far), ("c", "a", far), ("c", "b", far)]
+    assert rows(neighbours.all_pairs(df)) == expected
+    assert neighbours.all_pairs(df.where("id = 'z'")).count() == 0
+    close = [(i, [1e7 + 1e-4 * i, 1e7]) for i in range(30)]
+    found = neighbours.all_pairs(spark.createDataFrame(close, "id long, vector array<double>")).collect()
+    assert all(abs(r.distance - abs(close[r.i][1][0] - close[r.j][1][0])) < 1e-12 for r in found)
+
+
+def test_kernel_holds_all_pairs(spark, tmp_path):
+    """More points than a neighbour list has places: no pair is left out."""
+    x = np.random.default_rng(2).normal(size=(40, 4))
+    data = [(i, [float(v) for v in p], 0) for i, p in enumerate(x)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = plans.rbf_affinity(spark, str(tmp_path)).collect()
+    assert len(found) == 40 * 39
+    d = distances(x.astype(np.float32).astype(float))
+    assert all(abs(r.w - np.exp(-d[r.i, r.j] ** 2)) < 1e-6 for r in found)
