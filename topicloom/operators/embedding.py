@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import PCA, PCAModel, StandardScaler, StandardScalerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions.binding import computed
-from topicloom.functions.text import hash_vector, tokens
+from topicloom.functions.text import tokens
 from topicloom.functions.vectors import l2_normalize
 
 #: Makes an encoder: called once per worker, returns a function from texts to a matrix.
@@ -22,15 +25,33 @@ EncoderFactory = Callable[[], Callable[[Sequence[str]], np.ndarray]]
 DIMENSIONS = 64
 
 
+def hashed_words(words: Column, dimensions: int) -> Column:
+    """:func:`topicloom.functions.text.hash_vector` of lists of words, with one digest for each word of a batch."""
+
+    @F.arrow_udf("array<double>")
+    def hashed(lists: pa.Array) -> pa.Array:
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        encoded = lists.flatten().dictionary_encode()
+        digests = [hashlib.md5(w.encode(), usedforsecurity=False).hexdigest() for w in encoded.dictionary.to_pylist()]
+        bucket = np.array([int(d[:8], 16) % dimensions for d in digests], np.int64)
+        sign = np.array([1.0 if d[8] < "8" else -1.0 for d in digests])
+        codes = encoded.indices.to_numpy()
+        place = np.repeat(np.arange(len(lists)), lengths) * dimensions + bucket[codes]
+        sums = np.bincount(place, sign[codes], len(lists) * dimensions)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1, dtype=np.int32) * dimensions), pa.array(sums))
+
+    return hashed(words)
+
+
 def embedding(
     text: Column,
     encoder: EncoderFactory | None = None,
     dimensions: int = DIMENSIONS,
     normalize: bool = True,
 ) -> Column:
-    """Vector of a text. Without an encoder: signed hash counts of its tokens, in the JVM."""
+    """Vector of a text. Without an encoder: signed hash counts of its tokens."""
     if encoder is None:
-        vector = hash_vector(tokens(text), dimensions)
+        vector = hashed_words(tokens(text), dimensions)
     else:
 
         @F.pandas_udf("array<double>")

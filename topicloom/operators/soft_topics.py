@@ -11,13 +11,14 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions.stopwords import english
 from topicloom.functions.text import topic_name
 from topicloom.operators.clustering import Chosen, auto_gaussian_mixture, mixture_shares
 from topicloom.operators.embedding import Components, embed, fit_components
+from topicloom.operators.packed_terms import class_terms
 from topicloom.operators.skew import attach
 from topicloom.operators.text_features import class_tfidf
 from topicloom.operators.topics import (
@@ -27,6 +28,7 @@ from topicloom.operators.topics import (
     Aspect,
     describe,
     document_terms,
+    nearest_documents,
     similarities,
 )
 from topicloom.session import at_rest, checkpoint
@@ -73,11 +75,13 @@ def soft_representatives(
     ).select(id, F.col("__s.topic").alias("topic"), "term", "tf", "__total", F.col("__s.p").alias("__p"))
     # Documents without an id stand for nothing.
     belonging = belonging.where(F.col(id).isNotNull())
-    weighted = similarities(belonging, scores, id, "topic", reduce_frequent_words, ["__p"]).select(
-        "topic", id, F.round(F.col("similarity") * F.col("__p"), 9).alias("similarity")
-    )
-    best = Window.partitionBy("topic").orderBy(F.desc("similarity"), id)
-    return weighted.withColumn("__rank", F.row_number().over(best)).where(F.col("__rank") <= n).drop("__rank")
+    return _nearest(similarities(belonging, scores, id, "topic", reduce_frequent_words, ["__p"]), id, n)
+
+
+def _nearest(similar: DataFrame, id: str, n: int) -> DataFrame:
+    """The ``n`` documents of largest similarity times share ``__p`` in each topic."""
+    weighted = similar.select("topic", id, F.round(F.col("similarity") * F.col("__p"), 9).alias("similarity"))
+    return nearest_documents(weighted, id, "topic", n)
 
 
 def soft_sizes(documents: DataFrame, shares: str = "shares") -> DataFrame:
@@ -112,15 +116,22 @@ def describe_soft_topics(
     representatives are embedded. A topic that no document holds enough of has main words alone.
     """
     aspects = DEFAULT_ASPECTS if aspects is None else aspects
-    terms = document_terms(documents, id, text, [shares], sizes=sizes, stop_words=stop_words)
-    counts = at_rest(soft_counts(terms, topics, shares))
-    scored = class_tfidf(counts, "topic", reduce_frequent_words)
-    scores = at_rest(scored.withColumn("score", F.round("score", 9)))
-    near = checkpoint(
-        soft_representatives(
-            terms, scores, id, shares, least_share=least_share, reduce_frequent_words=reduce_frequent_words
-        )
+    packed = class_terms(
+        documents, id, text, shares, sizes, stop_words, reduce_frequent_words, topics, least_share, places=9
     )
+    if packed is not None:
+        scores = packed.scores
+        near = checkpoint(_nearest(packed.similar.where(F.col(id).isNotNull()), id, REPRESENTATIVE_DOCUMENTS))
+    else:
+        terms = document_terms(documents, id, text, [shares], sizes=sizes, stop_words=stop_words)
+        counts = at_rest(soft_counts(terms, topics, shares))
+        scored = class_tfidf(counts, "topic", reduce_frequent_words)
+        scores = at_rest(scored.withColumn("score", F.round("score", 9)))
+        near = checkpoint(
+            soft_representatives(
+                terms, scores, id, shares, least_share=least_share, reduce_frequent_words=reduce_frequent_words
+            )
+        )
     chosen = documents.select(id, text).join(near.select(id).distinct(), id, "left_semi")
     settings = {"id": id, "embedding": embedding or {}, "aspects": aspects, "generator": generator}
     vectors = embed(chosen, text, **settings["embedding"])

@@ -47,6 +47,9 @@ COMMON_TERMS = 100_000
 #: Classes whose counts stand beside each other in the row of a term.
 CLASSES_IN_ROW = 64
 
+#: Column of a table of scores that tells which rows may be among the so many best of their class.
+LEADS, LEADERS = "__leads", 100
+
 
 def dealt(df: DataFrame, text: str = "text") -> DataFrame:
     """Texts in so many tasks that none has many more than ``LETTERS_PER_TASK``, as they are if they are already."""
@@ -347,8 +350,11 @@ def top_terms(
 ) -> DataFrame:
     """The ``n`` best rows per group with their ``rank``; equal scores go by term.
 
-    Spark keeps the best ``n`` per group in each task before it shuffles.
+    Spark keeps the best ``n`` per group in each task before it shuffles. Only rows that lead are sorted where
+    the table tells them.
     """
+    if LEADS in scores.columns:
+        scores = (scores.where(LEADS) if n <= LEADERS else scores).drop(LEADS)
     best = Window.partitionBy(*as_list(group)).orderBy(F.desc(score), term)
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
 

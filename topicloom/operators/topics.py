@@ -9,7 +9,6 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +17,7 @@ from topicloom.functions.text import topic_name
 from topicloom.functions.vectors import cosine
 from topicloom.operators.clustering import Chosen, assign, auto_kmeans, centroids
 from topicloom.operators.embedding import embed
+from topicloom.operators.packed_terms import class_terms
 from topicloom.operators.skew import ROWS_PER_TASK, attach, frequent_keys, salted_join
 from topicloom.operators.text_features import (
     class_scores,
@@ -102,7 +102,11 @@ def representative_documents(
     """
     if terms is None:
         terms = count_vectorize(df, [id, topic], text, total="__total", **options)
-    similar = similarities(terms, scores, id, topic, reduce_frequent_words)
+    return nearest_documents(similarities(terms, scores, id, topic, reduce_frequent_words), id, topic, n)
+
+
+def nearest_documents(similar: DataFrame, id: str, topic: str, n: int = REPRESENTATIVE_DOCUMENTS) -> DataFrame:
+    """The ``n`` rows of largest ``similarity`` in each topic; equal ones go by id."""
     best = Window.partitionBy(topic).orderBy(F.desc("similarity"), id)
     ranked = similar.withColumn("__rank", F.row_number().over(best))
     return ranked.where(F.col("__rank") <= n).drop("__rank")
@@ -437,18 +441,15 @@ def fit_topics(
         "reduce_frequent_words": reduce_frequent_words, "embedding": embedding or {},
         "aspects": DEFAULT_ASPECTS if aspects is None else aspects, "generator": generator,
     }
-    with_vectors = df if embedded else embed(df, text, **settings["embedding"])
-    with_vectors = with_vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    # Written once and not kept in the memory of executors, where texts and vectors would fill it.
+    with_vectors = df if embedded else at_rest(embed(df, text, **settings["embedding"]))
     chosen = auto_kmeans(with_vectors, k_range, id, seed=seed)
     labelled = assign_topics(with_vectors, centroids(chosen.model), out="topic")
     sizes_found = topic_sizes(labelled).orderBy(F.desc("count"), "topic").collect()
     numbers = {r.topic: n for n, r in enumerate(sizes_found)}
     new = F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair])
     documents = labelled.withColumn("topic", new[F.col("topic")])
-    model = TopicModel(
-        uuid.uuid4().hex, documents, None, None, chosen, numbers, settings, tuple(parent_topics),
-        with_vectors,
-    )
+    model = TopicModel(uuid.uuid4().hex, documents, None, None, chosen, numbers, settings, tuple(parent_topics))
     return update_topics(model)
 
 
@@ -460,13 +461,17 @@ def update_topics(model: TopicModel, **changes: Any) -> TopicModel:
     settings = {**model.settings, **changes}
     id, reduced = settings["id"], settings["reduce_frequent_words"]
     options = {name: settings[name] for name in ("sizes", "stop_words")}
-    terms = document_terms(model.documents, id, settings["text"], **options)
-    totals = class_totals(model.documents, "topic", settings["text"], **options)
-    counts = counts_side_by_side(terms, "topic", totals, F.col("tf"))
-    scores = at_rest(class_tfidf(counts, "topic", reduced, totals))
-    near = representative_documents(
-        model.documents, scores, id, reduce_frequent_words=reduced, terms=terms
-    )
+    packed = class_terms(model.documents, id, settings["text"], "topic", reduce_frequent_words=reduced, **options)
+    if packed is not None:
+        scores, near = packed.scores, nearest_documents(packed.similar.drop("__p"), id, "topic")
+    else:
+        terms = document_terms(model.documents, id, settings["text"], **options)
+        totals = class_totals(model.documents, "topic", settings["text"], **options)
+        counts = counts_side_by_side(terms, "topic", totals, F.col("tf"))
+        scores = at_rest(class_tfidf(counts, "topic", reduced, totals))
+        near = representative_documents(
+            model.documents, scores, id, reduce_frequent_words=reduced, terms=terms
+        )
     descriptions = checkpoint(describe(model.documents, scores, checkpoint(near), settings))
     return replace(model, scores=scores, descriptions=descriptions, settings=settings)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from topicloom.operators import embedding
 from topicloom.operators import text_features as features
+from topicloom.operators.packed_terms import term_totals
 from topicloom.plans.base import EXTRA_STOP_WORDS, STOP_WORDS, Query, quoted, text_table
 from topicloom.session import checkpoint
 from topicloom.sources.tables import load
@@ -100,10 +101,8 @@ def sentence_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ngram_counts(spark: SparkSession, folder: str) -> DataFrame:
-    counts = features.count_vectorize(
-        features.dealt(text_table(spark, folder)), "doc_id", sizes=(1, 3), stop_words=STOP_WORDS
-    )
-    return counts.groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("tf").alias("n"))
+    """Terms of all documents: those of each (:func:`features.count_vectorize`) summed up, packed on their way."""
+    return term_totals(text_table(spark, folder), sizes=(1, 3), stop_words=STOP_WORDS)
 
 
 NGRAM_COUNTS_SQL = f"""
