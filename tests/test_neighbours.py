@@ -329,3 +329,28 @@ def test_kernel_holds_all_pairs(spark, tmp_path):
     assert len(found) == 40 * 39
     d = distances(x.astype(np.float32).astype(float))
     assert all(abs(r.w - np.exp(-d[r.i, r.j] ** 2)) < 1e-6 for r in found)
+
+
+def test_points_of_a_group_ask_together():
+    noise = np.random.default_rng(4)
+    x, pivots = noise.normal(size=(600, 3)), noise.normal(size=(12, 3))
+    away = np.sqrt(((x[:, None] - pivots[None]) ** 2).sum(2))
+    cell = away.argmin(1)
+    directory = blocks.Directory(pivots, np.arange(12), np.array([away[cell == c, c].max() for c in range(12)]))
+    limit = np.where(np.arange(600) % 7 == 0, np.inf, 0.2)
+    found = directory.asked(x, cell, np.arange(12), limit)
+    assert found[limit == np.inf].all() and not found.all()
+    for own in range(12):
+        mine = np.flatnonzero(cell == own)
+        for target in set(range(12)) - {own}:
+            alone = mine[directory.asking(x[mine], own, target, limit[mine])]
+            assert alone.tolist() == mine[found[mine, target]].tolist()
+
+
+def test_vectors_without_copies_are_not_joined(spark):
+    df = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(20)], "id long, vector array<double>")
+    found = neighbours.knn(df, 2)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert len(rows(found)) == 40
+    copied = df.union(df.where("id < 3").withColumn("id", df["id"] + 100))
+    assert (0, 100, 0.0, 1) in rows(neighbours.knn(copied, 2))
