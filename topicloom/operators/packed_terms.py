@@ -9,6 +9,7 @@ nor scores nor terms of documents are written or joined.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -22,11 +23,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.functions.text import tokens
-from topicloom.operators.text_features import CLASSES_IN_ROW, LEADERS, LEADS, dealt
+from topicloom.operators.text_features import CLASSES_IN_ROW, LEADERS, LEADS
 from topicloom.session import at_rest
 
 #: Letters of words that a task packs at a time, and letters of all texts for a bucket.
-CHUNK_LETTERS, BUCKET_LETTERS = 8_000_000, 8_000_000
+CHUNK_LETTERS, BUCKET_LETTERS = 3_000_000, 3_000_000
 #: Parts at least and at most, letters for a part between, and letters that make a part worth its task.
 FEWEST_PARTS, MOST_PARTS, PART_LETTERS, SMALL_PART = 12, 96, 160_000_000, 500_000
 #: Bytes about documents that a part may hold.
@@ -37,6 +38,14 @@ BATCH_ROWS = 50_000
 _PACKED = "part int, bucket int, chunk long, data binary"
 
 
+def _give_back() -> None:
+    """Freed memory goes back to the machine, as the worker lives on beside others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 # --- arrays as bytes -------------------------------------------------------------------------------
 
 
@@ -200,7 +209,7 @@ def _packed(
 
     That comes as bucket -1; one part of each chunk gets the ids too.
     """
-    rows = dealt(df, text).select(tokens(F.col(text)).alias("words"), *columns)
+    rows = df.select(tokens(F.col(text)).alias("words"), *columns)
     stop_words, labels, buckets = tuple(stop_words), where.labels, where.buckets
 
     def of_chunk(chunk: int, batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,11 +233,21 @@ def _packed(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, waiting, letters = TaskContext.get().partitionId() << 24, [], 0
         for batch in batches:
-            waiting.append(batch)
-            letters += batch.column(0).flatten().get_total_buffer_size() if batch.num_rows else 0
-            if letters >= CHUNK_LETTERS:
-                yield from of_chunk(chunk, waiting)
-                chunk, waiting, letters = chunk + 1, [], 0
+            lengths = pc.fill_null(pc.list_value_length(batch.column(0)), 0).to_numpy(zero_copy_only=False)
+            size = int(pc.sum(pc.binary_length(batch.column(0).flatten())).as_py() or 0)
+            # A batch of many letters is cut by its words.
+            share = np.cumsum(lengths) * (size / max(1, int(lengths.sum())))
+            begin = 0
+            while begin < batch.num_rows:
+                before = share[begin - 1] if begin else 0.0
+                end = max(begin + 1, int(np.searchsorted(share, before + CHUNK_LETTERS - letters, "right")))
+                waiting.append(batch.slice(begin, end - begin))
+                letters += int(share[min(end, len(share)) - 1] - before)
+                begin = end
+                if letters >= 0.9 * CHUNK_LETTERS:
+                    yield from of_chunk(chunk, waiting)
+                    chunk, waiting, letters = chunk + 1, [], 0
+                    _give_back()
         if letters or waiting:
             yield from of_chunk(chunk, waiting)
 
@@ -451,6 +470,7 @@ def class_terms(
                         names,
                     )
             yield from closed()
+            _give_back()
 
         return rows
 
